@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan, sharding
+import public_tokenizers
+
+from . import bpe, exact_dedup, secret_scan, sharding
 from .common import table
 
+#: The vocabulary of the production encoding; a parameter of the operator.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES = {
+    "op1_bpe": lambda spark, sf_dir: bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.secret_scan(table(spark, sf_dir, "documents")),
     "op8_sharding": lambda spark, sf_dir: sharding.shard_by_bytes(table(spark, sf_dir, "documents")),
