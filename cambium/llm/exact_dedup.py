@@ -74,8 +74,11 @@ def exact_dedup(docs: DataFrame, bits_per_row: int = 16, most_bits: int = 1 << 2
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = tested.filter("maybe").select("doc_id", "text_sha256", "n_points")
-    best = maybe.groupBy("text_sha256").agg(
-        F.expr("max(struct(n_points, -doc_id AS neg_id))").alias("best"), F.count("*").alias("group_size")
+    # stored, so that the join below is between two plain shuffles, which Spark can split by skew
+    best = stored(
+        maybe.groupBy("text_sha256").agg(
+            F.expr("max(struct(n_points, -doc_id AS neg_id))").alias("best"), F.count("*").alias("group_size")
+        )
     )
     repeated = maybe.join(best, "text_sha256").select(
         "doc_id",
