@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, secret_scan, sharding
+from . import bpe, decontaminate, exact_dedup, license_scan, secret_scan, sharding
 from .common import table
 
 #: The vocabulary of the production encoding; a parameter of the operator.
@@ -12,11 +12,15 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY),
+    "op4_decontaminate": lambda spark, sf_dir: decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
+    "op6_license_scan": lambda spark, sf_dir: license_scan.license_scan(table(spark, sf_dir, "documents")),
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.secret_scan(table(spark, sf_dir, "documents")),
     "op8_sharding": lambda spark, sf_dir: sharding.shard_by_bytes(table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_license_scan": license_scan.ORACLE_SQL,
 }
