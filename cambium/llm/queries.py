@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, exact_dedup, license_scan, ngram_join, secret_scan, sharding, suffix_dedup
+from . import bpe, decontaminate, exact_dedup, langid, license_scan, ngram_join, secret_scan, sharding, suffix_dedup
 from .common import table
 
 #: The vocabulary of the production encoding; a parameter of the operator.
@@ -13,6 +13,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY),
     "op2_suffix_dedup": lambda spark, sf_dir: suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")),
+    "op3_langid": lambda spark, sf_dir: langid.language_id(table(spark, sf_dir, "documents")),
     "op4_decontaminate": lambda spark, sf_dir: decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
     "op6_license_scan": lambda spark, sf_dir: license_scan.license_scan(table(spark, sf_dir, "documents")),
