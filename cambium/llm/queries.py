@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, exact_dedup, langid, license_scan, ngram_join, secret_scan, sharding, suffix_dedup
+from . import bpe, decontaminate, exact_dedup, langid, license_scan, ngram_join, secret_scan, sharding, suffix_dedup, toxicity
 from .common import table
 
 #: The vocabulary of the production encoding; a parameter of the operator.
@@ -19,6 +19,7 @@ QUERIES = {
     "op6_license_scan": lambda spark, sf_dir: license_scan.license_scan(table(spark, sf_dir, "documents")),
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.secret_scan(table(spark, sf_dir, "documents")),
     "op8_sharding": lambda spark, sf_dir: sharding.shard_by_bytes(table(spark, sf_dir, "documents")),
+    "op9_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_ngram_join": lambda spark, sf_dir: ngram_join.ngram_join(table(spark, sf_dir, "documents")),
 }
 
