@@ -212,8 +212,8 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs.
+def bpe_digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, an array of int) for every row of docs.
 
     Encodes every whole text and decodes the ids again in one pass, without a shuffle; the
     automaton is broadcast (bounded by the vocabulary). Strings of special tokens in a text
@@ -225,6 +225,8 @@ def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     def make(words: Words, text: str) -> tuple:
         ids = words.encode(text)
         decoded = words.automaton.decode(np.frombuffer(ids, "<u4").tolist())
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        digests = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return (*digests, np.frombuffer(ids, "<i4")) if with_ids else digests
 
-    return _per_text(docs, path, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _per_text(docs, path, make, schema, ["doc_id"])

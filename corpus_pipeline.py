@@ -1,3 +1,75 @@
-STAGES = []
+"""The corpus pipeline: documents -> identified, deduplicated, decontaminated, encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+read again as the next one's docs. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cambium.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
+from cambium.llm.common import stored, table
+from cambium.llm.queries import VOCABULARY
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that language identification rejects: no letter, or too far from every
+    centroid that was learned from this stage's own input."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    learned = docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = langid.fit(learned.select(F.lower("text").alias("text"), "lang"))
+    return langid.identify(docs, model, docs.columns).filter("NOT rejected").select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts."""
+    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each component of linked shingle sets."""
+    return _only(docs, ngram_join.ngram_join(docs).filter("component_id = doc_id").select("doc_id"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents in which a window of a benchmark item occurs."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _only(docs, found.filter("NOT contaminated").select("doc_id"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document that is left."""
+    return bpe.bpe_digest(docs, VOCABULARY, with_ids=True)
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept, once each.
+
+    What goes is less than what stays, so the ids that go are joined against: by broadcast
+    behind a count, by shuffle beyond it.
+    """
+    gone = stored(docs.select("doc_id").join(kept, "doc_id", "left_anti"))
+    gone = F.broadcast(gone) if gone.count() <= decontaminate.BROADCAST_ROWS else gone
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+STAGES = [
+    ("language identification", language_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("BPE encoding", encoding_stage),
+]
+
+#: Language identification and BPE are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written to the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
