@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +38,21 @@ def _bigrams(words: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _template_array(templates: dict[str, str]) -> Column:
-    return F.transform(
-        F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("text")) for k, v in sorted(templates.items()))),
-        lambda t: F.struct(t["id"].alias("id"), _bigrams(_normal_words(t["text"])).alias("grams")),
-    )
+def template_bigrams(text: str) -> list[str]:
+    words = re.findall("[a-z0-9]+", text.lower())
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+
+
+def needed_bigrams(grams: list[str], least: float) -> list[tuple[str, str]]:
+    """Bigrams of which a text has one at least, if it comes within `least` of the template.
+
+    Such a text has least / (2 - least) of the template's bigrams, so of any choice that is
+    larger than what may be missing it has one. Those with the longest words, or with a number,
+    are taken, since they are the rarest in prose.
+    """
+    may_miss = len(grams) - math.ceil(round(least * len(grams) / (2 - least), 9))
+    rarity = lambda g: max(6 if w.isdigit() else len(w) for w in g.split(" "))
+    return [tuple(g.split(" ")) for g in sorted(grams, key=lambda g: (-rarity(g), g))[: may_miss + 1]]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
@@ -49,22 +64,29 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     n_matches: (segment, template) pairs of `least` or more; licenses: their ids, sorted and
     comma-joined; best_dice: the highest coefficient among them, 0 without one.
 
-    Works row by row, without join or shuffle; the templates are a literal. Null, empty and
+    A text without any of the bigrams that a match needs (see needed_bigrams) is passed over, which
+    loses nothing. Works row by row, without join or shuffle; the templates are a literal. Null, empty and
     one-word segments have no bigrams and match nothing. Repeated rows stay; other columns are
     ignored. Empty input: no rows.
     """
-    known = _template_array(templates)
+    grams_of = {k: template_bigrams(v) for k, v in sorted(templates.items())}
+    known = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, g)).alias("grams")) for k, g in grams_of.items()))
+    pairs = sorted({pair for g in grams_of.values() for pair in needed_bigrams(g, least)})
+    lower = F.lower("text")
+    likely = reduce(operator.or_, (lower.contains(a) & lower.contains(b) for a, b in pairs), F.lit(False))
+    likely = F.coalesce(likely & F.rlike(lower, F.lit("|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs) or "$^")), F.lit(False))
     low, high = least / (2 - least), (2 - least) / least
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     segments = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
-    df = docs.select("doc_id", F.transform(segments, lambda s: _bigrams(_normal_words(s))).alias("grams"), known.alias("known"))
+    df = docs.select("doc_id", F.when(likely, F.transform(segments, lambda s: _bigrams(_normal_words(s)))).alias("grams"), known.alias("known"))
     both = lambda g, t: F.size(F.array_intersect(g, t["grams"])) * F.lit(2.0) / (F.size(g) + F.size(t["grams"]))
 
     def near(g: Column) -> Column:
         in_bounds = F.filter("known", lambda t: (F.size(t["grams"]) >= F.size(g) * low) & (F.size(t["grams"]) <= F.size(g) * high) & (F.size(g) > 0))
         return F.filter(F.transform(in_bounds, lambda t: F.struct(both(g, t).alias("dice"), t["id"].alias("id"))), lambda m: m["dice"] >= least)
 
-    df = df.select("doc_id", F.flatten(F.transform("grams", near)).alias("found"))
+    none = F.array().cast("array<struct<dice:double,id:string>>")
+    df = df.select("doc_id", F.coalesce(F.flatten(F.transform("grams", near)), none).alias("found"))
     return df.select(
         "doc_id",
         F.size("found").cast("long").alias("n_matches"),
