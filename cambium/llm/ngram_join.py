@@ -91,105 +91,119 @@ class Trie:
 
     Set j leaves the path of its parent, the nearest earlier set that shares less with its own
     predecessor, at depth shared[j]; what follows is its tail. So every edge is stored once.
+    Tails lie level by level, one after the other.
     """
 
     def __init__(self, sets: list[np.ndarray]):
         keys = [s.astype(">u4").tobytes() for s in sets]
-        self.order = sorted(range(len(sets)), key=keys.__getitem__)
-        paths = [sets[i] for i in self.order]
+        order = sorted(range(len(sets)), key=keys.__getitem__)
+        paths = [sets[i] for i in order]
         m = len(paths)
-        self.size = np.array([len(p) for p in paths])
-        self.shared, self.parent = np.zeros(m, np.int64), np.full(m, -1)
-        level, stack = np.zeros(m, np.int64), [0]
+        shared, parent, level, stack = np.zeros(m, np.int64), np.full(m, -1), np.zeros(m, np.int64), [0]
         for j in range(1, m):
             a, b = paths[j - 1], paths[j]
             k = min(len(a), len(b))
             differ = a[:k] != b[:k]
-            self.shared[j] = int(differ.argmax()) if differ.any() else k
-            while stack and self.shared[stack[-1]] >= self.shared[j] > 0:
-                stack.pop()
-            if self.shared[j] == 0:
+            shared[j] = int(differ.argmax()) if differ.any() else k
+            if not shared[j]:
                 stack = []
-            else:
-                self.parent[j] = stack[-1]
+            while stack and shared[stack[-1]] >= shared[j]:
+                stack.pop()
+            if stack:
+                parent[j] = stack[-1]
                 level[j] = level[stack[-1]] + 1
             stack.append(j)
-        self.levels = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1)]
-        tails = [p[s:] for p, s in zip(paths, self.shared, strict=True)]
-        self.tail_len = self.size - self.shared
-        self.begin = np.concatenate(([0], np.cumsum(self.tail_len)))[:-1]
-        self.flat = np.concatenate(tails)
+        by_level = np.argsort(level, kind="stable")
+        place = np.empty(m, np.int64)
+        place[by_level] = np.arange(m)
+        self.order = np.array(order)[by_level]
+        self.size = np.array([len(paths[j]) for j in by_level])
+        self.shared, parent = shared[by_level], parent[by_level]
+        self.parent = np.where(parent >= 0, place[parent], -1)
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(level))))
+        self.begin = np.concatenate(([0], np.cumsum(self.size - self.shared)))
+        self.flat = np.concatenate([paths[j][shared[j] :] for j in by_level])
+        up = np.maximum(self.parent, 0)
+        self.leaves_at = self.begin[up] + self.shared - self.shared[up]  # where a set leaves its parent's tail
 
     def overlaps(self, member: np.ndarray, most_misses: int) -> np.ndarray:
         """Intersection size of every set with the query (member: by token), or -1 in pruned subtrees.
 
-        A subtree whose shared path already has more tokens outside the query than the remaining
-        length allows is left out.
+        What a set shares with its parent is counted once, in the parent's tail. A subtree whose
+        shared path already has more tokens outside the query than the remaining length allows
+        is pruned, and levels without any other node aren't read.
         """
         m = len(self.size)
         total, before = np.full(m, -1), np.zeros(m, np.int64)
-        running = np.zeros(len(self.flat), np.int64)  # hits in a tail up to each of its tokens
-        for k, nodes in enumerate(self.levels):
-            if k:
-                nodes = nodes[total[self.parent[nodes]] >= 0]
-                up = self.parent[nodes]
-                before[nodes] = before[up] + running[self.begin[up] + self.shared[nodes] - self.shared[up] - 1]
-            nodes = nodes[self.shared[nodes] - before[nodes] <= most_misses]
-            if not len(nodes):
-                break
-            length = self.tail_len[nodes]
-            ends = np.cumsum(length)
-            at = np.arange(ends[-1]) + np.repeat(self.begin[nodes] - (ends - length), length)
-            hits = np.concatenate(([0], np.cumsum(member[self.flat[at]])))
-            running[at] = hits[1:] - np.repeat(hits[ends - length], length)
-            total[nodes] = before[nodes] + hits[ends] - hits[ends - length]
+        hits, start = np.zeros(1, np.int32), 0  # hits[i]: in the flat tokens start .. start + i of the level above
+        for lo, hi in zip(self.bounds[:-1], self.bounds[1:], strict=True):
+            nodes = np.arange(lo, hi)
+            if lo:
+                up = self.parent[lo:hi]
+                before[lo:hi] = before[up] + hits[self.leaves_at[lo:hi] - start] - hits[self.begin[up] - start]
+                alive = (total[up] >= 0) & (self.shared[lo:hi] - before[lo:hi] <= most_misses)
+                nodes = nodes[alive]
+                if not len(nodes):
+                    break
+            start, stop = self.begin[lo], self.begin[hi]
+            hits = np.zeros(stop - start + 1, np.int32)
+            np.cumsum(member[self.flat[start:stop]], out=hits[1:])
+            total[nodes] = before[nodes] + hits[self.begin[nodes + 1] - start] - hits[self.begin[nodes] - start]
         return total
 
 
 def trie_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of indices whose links connect the same sets as all links do.
 
-    Pairs that are already connected aren't tested again. side: a label of each set; if there
-    are two labels, only pairs across them are of interest.
+    Linked sets differ in size by a factor of 100 / PERCENT at most, so the sets of each size
+    class are looked up in the trie of their class and of the next. What is already connected
+    isn't looked up again. side: a label of each set; with two labels, only links across them
+    are of interest.
     """
-    m = len(sets)
-    parent = list(range(m))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    m, out = len(sets), []
     sizes = np.array([len(s) for s in sets])
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if 100 * both >= PERCENT * (sizes.sum() - both) else []
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    label = np.arange(m)
+    klass = np.floor(np.log(sizes) / np.log(1.0001 * 100 / PERCENT)).astype(int)
+    sides = [None] if side is None or len(np.unique(side)) < 2 else np.unique(side).tolist()
+    for k in np.unique(klass).tolist():
+        for one in sides:
+            ask = np.flatnonzero((klass == k) & (True if one is None else side == one))
+            found = np.flatnonzero(((klass == k) | (klass == k + 1)) & (True if one is None else side != one))
+            if len(ask) and len(found) > (one is None):
+                _look_up(sets, ask, found, label, out)
+    return out
+
+
+def _look_up(sets: list[np.ndarray], ask: np.ndarray, found: np.ndarray, label: np.ndarray, out: list) -> None:
+    """Adds to out the links between ask and found that connect labels, and joins those."""
+    every = np.union1d(ask, found)
+    if len(np.unique(label[every])) == 1:
+        return
+    sizes = np.array([len(sets[i]) for i in every])
+    values, inverse, counts = np.unique(np.concatenate([sets[i] for i in every]), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))  # shared tokens first: long shared paths
-    ranked = [np.sort(x) for x in np.split(rank[inverse.ravel()], np.cumsum(sizes)[:-1])]
-    trie, out, groups = Trie(ranked), [], m
-    order = np.array(trie.order)
-    member = np.zeros(len(values), np.int64)
-    label = None if side is None or len(set(side.tolist())) < 2 else side
-    for q in range(m):
-        if groups == 1:
-            break
-        if label is not None and label[q] != label.min():
+    ranked = dict(zip(every.tolist(), (np.sort(x) for x in np.split(rank[inverse.ravel()], np.cumsum(sizes)[:-1])), strict=True))
+    trie = Trie([ranked[i] for i in found.tolist()])
+    stored_as = found[trie.order]
+    member = np.zeros(len(values), np.uint8)
+    for q in ask.tolist():
+        if (label[found] == label[q]).all():
             continue
-        n = int(sizes[q])
+        own = ranked[q]
+        n = len(own)
         longest = 100 * n // PERCENT
-        member[ranked[q]] = 1
+        member[own] = 1
         shared = trie.overlaps(member, longest - int(least_overlap(n, longest)) + 1)
-        member[ranked[q]] = 0
-        linked = order[(shared >= 0) & (100 * shared >= PERCENT * (n + trie.size - shared))]
+        member[own] = 0
+        linked = stored_as[(shared >= 0) & (100 * shared >= PERCENT * (n + trie.size - shared))]
         for i in linked.tolist():
-            if (a := root(q)) != (b := root(i)):
-                parent[max(a, b)] = min(a, b)
-                groups -= 1
+            if label[i] != label[q]:
+                label[label == label[i]] = label[q]
                 out.append((q, i))
-    return out
 
 
 def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
