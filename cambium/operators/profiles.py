@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.functions import expr as X
@@ -52,12 +52,13 @@ def chronology_series(rings: DataFrame, param: str, profiles: DataFrame | None =
 def biweight(values: DataFrame, keys: list[str], param: str, c: float = 9.0, tiny: float = 1e-6) -> DataFrame:
     """Tukey's biweight robust mean of each group, nulls left out: keys and `value`.
 
-    Two groupings: the median and then the median deviation, and the weighted mean.
+    The median, the median deviation and the weighted mean are three groupings; their small
+    results are joined back, so no group's rows have to meet in one task.
     """
-    w = Window.partitionBy(*keys)
-    known = values.filter(F.col(param).isNotNull() & ~F.isnan(param)).select(*keys, F.col(param).cast("double").alias("x"))
-    centred = known.withColumn("m", F.percentile("x", F.lit(0.5)).over(w))
-    spread = centred.withColumn("s", F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)).over(w))
+    known = values.dropna(subset=keys).filter(F.col(param).isNotNull() & ~F.isnan(param)).select(*keys, F.col(param).cast("double").alias("x"))
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    centred = known.join(known.groupBy(*keys).agg(median(F.col("x")).alias("m")), keys)
+    spread = centred.join(centred.groupBy(*keys).agg(median(F.abs(F.col("x") - F.col("m"))).alias("s")), keys)
     u = (F.col("x") - F.col("m")) / (F.col("s") * c + tiny)
     weight = F.when(F.abs(u) <= 1, F.pow(1 - u * u, F.lit(2))).otherwise(0.0)
     weighed = spread.withColumn("w", weight)
