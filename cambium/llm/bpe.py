@@ -11,9 +11,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import release_memory
+
 #: Fixed: the pre-split pattern of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 600_000
+#: Words a process remembers; beyond that it starts afresh.
+CACHED_WORDS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -33,41 +36,46 @@ class Automaton:
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[str, int]):
         self.special = special
+        self._words: Words | None = None
         size = max([*labels, *special.values()]) + 1
         row_of, col_of = np.zeros(size, np.int32), np.zeros(size, np.int32)
         sharing_row, sharing_col = [0] * (len(merges) + 3), [0] * (len(merges) + 3)
-        table = np.zeros((4096, 4096), bool)
-        table[0, 0] = True  # column 1 allows nothing
+        table = np.zeros((4096, 512), np.uint8)  # a column of the transitions a row, its rows as bits
+        table[0, 0] = 1  # column 1 allows nothing
         made = {m[2] for m in merges}
         sharing_row[0] = sharing_col[0] = len(labels) - len(made)
         rows, cols, dead = 1, 2, 1
         for left, right, token in merges:
             # the merge gadget: after `left`, `right` is no longer read; `token` is read wherever
             # `left` was, and leads to where `right` led
-            fires = table[row_of[left], col_of[right]]
+            fires = table[col_of[right], row_of[left] >> 3] >> (row_of[left] & 7) & 1
             row_of[token] = row_of[right]
             sharing_row[row_of[token]] += 1
             if not fires:
                 col_of[token] = dead
                 continue
             if sharing_row[row_of[left]] > 1:
+                if rows == table.shape[1] * 8:
+                    table = np.concatenate((table, np.zeros_like(table)), axis=1)
+                bit = table[:cols, row_of[left] >> 3] >> np.uint8(row_of[left] & 7) & np.uint8(1)
+                table[:cols, rows >> 3] |= bit << np.uint8(rows & 7)
                 sharing_row[row_of[left]] -= 1
-                if rows == len(table):
-                    table = np.concatenate((table, np.zeros_like(table)))
-                table[rows] = table[row_of[left]]
                 row_of[left], sharing_row[rows], rows = rows, 1, rows + 1
             if sharing_col[col_of[right]] > 1:
+                if cols == len(table):
+                    table = np.concatenate((table, np.zeros_like(table)))
+                table[cols] = table[col_of[right]]
                 sharing_col[col_of[right]] -= 1
-                if cols == table.shape[1]:
-                    table = np.concatenate((table, np.zeros_like(table)), axis=1)
-                table[:, cols] = table[:, col_of[right]]
                 col_of[right], sharing_col[cols], cols = cols, 1, cols + 1
-            table[row_of[left], col_of[right]] = False
+            table[col_of[right], row_of[left] >> 3] &= np.uint8(~(1 << (row_of[left] & 7)) & 255)
             col_of[token] = col_of[left]
             sharing_col[col_of[token]] += 1
         packed = lambda row: np.packbits(row, bitorder="little").tobytes()
         self.start = packed(np.arange(cols) != dead)
-        self.rows = [packed(row) for row in table[:rows, :cols]]
+        self.rows: list[bytes] = []
+        for lo in range(0, rows, 1024):
+            block = np.unpackbits(table[:cols, lo >> 3 : (lo + 1024) >> 3], axis=1, bitorder="little")
+            self.rows += map(packed, block.T[: rows - lo])
         self.row_of, self.col_of = row_of.tolist(), col_of.tolist()
         self.labels = [labels.get(i, b"") for i in range(size)]
         for text, i in special.items():
@@ -91,6 +99,12 @@ class Automaton:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         return cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], special)
 
+    def words(self) -> Words:
+        """The word table of this process; it goes with the automaton when its broadcast does."""
+        if self._words is None:
+            self._words = Words(self)
+        return self._words
+
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word: from each reached position, follow every arc whose
         label comes next and which the state there has. Each position is reached by one token."""
@@ -155,23 +169,13 @@ class Words(dict):
         return b"".join(out)
 
 
-_WORDS: list[Words] = []
-
-
-def _words(automaton: Automaton) -> Words:
-    """The worker's word table for an automaton; kept between the tasks that share it."""
-    if not _WORDS or _WORDS[0].automaton is not automaton:
-        _WORDS[:] = [Words(automaton)]
-    return _WORDS[0]
-
-
 def _per_text(docs: DataFrame, path: str, make, schema: str, carry: list[str]) -> DataFrame:
     """make(words, text) -> tuple for each row, beside the columns of `carry`."""
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.from_file(path))  # size: that of the vocabulary
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared.value)
+        words = shared.value.words()
         kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
         types = [kinds[x.strip().split(" ", 1)[1]] for x in schema.split(",")]
         for batch in batches:
@@ -182,6 +186,7 @@ def _per_text(docs: DataFrame, path: str, make, schema: str, carry: list[str]) -
                 cols = [rest.column(rest.schema.get_field_index(c)) for c in carry]
                 new = [pa.array(list(x), t) for x, t in zip(zip(*made, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, *new], names=[*carry, *names])
+        release_memory()
 
     kept = docs.select(*carry, "text")
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name in carry)

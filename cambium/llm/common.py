@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,7 +52,17 @@ def spread(total_bytes: int, bytes_per_part: int, least: int = 12) -> int:
     return max(least, -(-total_bytes // bytes_per_part))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+_LIBC = ctypes.CDLL(None)
+
+
+def release_memory() -> None:
+    """Give freed memory back at the end of a task; workers live on and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into runs of rows whose texts have about `limit` bytes.
 
     Yields the rows, the concatenated UTF-8 bytes (null: empty) and the offsets (rows + 1).
@@ -61,10 +72,11 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         n = batch.num_rows
         if not n:
             continue
-        values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+        values = batch.column(batch.schema.get_field_index(column))
         if values.null_count:
-            values = values.fill_null(b"")
-        offsets = np.frombuffer(values.buffers()[1], np.int64, n + 1, values.offset * 8)
+            values = values.fill_null("")
+        wide = np.dtype(np.int64 if pa.types.is_large_string(values.type) else np.int32)
+        offsets = np.frombuffer(values.buffers()[1], wide, n + 1, values.offset * wide.itemsize).astype(np.int64)
         data = np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] is not None else np.zeros(0, np.uint8)
         lo = 0
         while lo < n:
@@ -72,6 +84,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             hi = min(hi, n)
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
+    release_memory()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

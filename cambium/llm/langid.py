@@ -115,8 +115,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model(idf, np.concatenate(centres) if centres else np.zeros((0, BUCKETS), np.float32), langs, np.array(least))
 
 
-def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns of `carry`, lang_pred, score and rejected for every row of docs.
+def identify(docs: DataFrame, model: Model, carry: list[str], prefix: str = "") -> DataFrame:
+    """The columns of `carry`, lang_pred, score and rejected (after `prefix`) for every row of docs.
 
     lang_pred is the language of the centroid with the highest cosine, score that cosine; rows
     with a cosine below the centroid's least are rejected (too far from all that was learned;
@@ -126,6 +126,8 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x BUCKETS numbers a language
 
+    names = [*carry, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs = np.array([*m.langs, UNKNOWN], object)
@@ -141,12 +143,12 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             known = letters & bool(len(m.centres))
             arrays = [part.column(part.schema.get_field_index(c)) for c in carry]
             arrays += [pa.array(np.where(known, langs[best], UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*carry, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     letters = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
     fed = docs.select(*carry, F.lower("text").alias("__lower"), letters.alias("__letters"))
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return fed.mapInArrow(run, f"{head}, lang_pred string, score double, rejected boolean")
+    return fed.mapInArrow(run, f"{head}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

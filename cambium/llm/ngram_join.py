@@ -271,6 +271,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     sets = rows.filter("tokens IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), *key, "tokens")
     sets = sets.join(classes.select("rep", *key), ["rep", *key], "left_semi").dropDuplicates(["rep", *key])
     links = sets.select("rep", "tokens").join(keyed.withColumn("task", task), "rep").groupBy("task").applyInPandas(_joined, "a long, b long")
+    # a doc_id of several texts ties their classes together
+    owned = rows.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("owner"), *key).join(classes.select(*key, "rep"), key).select("owner", "rep")
+    ties = stored(owned.groupBy("owner").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("owner", "a"))
+    links = links.unionByName(owned.join(ties, "owner").select("a", F.col("rep").alias("b")))
     found = components(links).select(F.col("node").alias("rep"), "component")
     known = classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     kind = docs.schema["doc_id"].dataType.simpleString()

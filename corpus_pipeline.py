@@ -20,7 +20,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     learned = docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.fit(learned.select(F.lower("text").alias("text"), "lang"))
-    return langid.identify(docs, model, docs.columns).filter("NOT rejected").select(*docs.columns)
+    judged = langid.identify(docs, model, docs.columns, prefix="__langid_")
+    return judged.filter("NOT __langid_rejected").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
