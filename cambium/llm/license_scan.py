@@ -75,7 +75,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     lower = F.lower("text")
     likely = reduce(operator.or_, (lower.contains(a) & lower.contains(b) for a, b in pairs), F.lit(False))
     likely = F.coalesce(likely & F.rlike(lower, F.lit("|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs) or "$^")), F.lit(False))
-    low, high = least / (2 - least), (2 - least) / least
+    low, high = least / (2 - least) - 1e-9, (2 - least) / least + 1e-9  # they only prune; dice decides
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     segments = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
     df = docs.select("doc_id", F.when(likely, F.transform(segments, lambda s: _bigrams(_normal_words(s)))).alias("grams"), known.alias("known"))
