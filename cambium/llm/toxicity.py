@@ -73,7 +73,8 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = 1.0,
     when the row's identity terms are swapped, plus ridge / rows times the squared weights.
     Only words whose share among toxic rows differs from that among the others by LEAST_Z
     standard errors are used, and the identity terms; so chance words of a small sample don't
-    count. Full-batch Adam from zero, so the result depends on nothing else.
+    count. A toxic row weighs the square root of the number of clean rows for each, so
+    that rare toxic rows aren't given up for the many clean ones. Full-batch Adam from zero, so the result depends on nothing else.
     """
     n = len(rows)
     weights = np.zeros(1 << BITS)
@@ -98,11 +99,12 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = 1.0,
         to[place[a]] = place[b]
     moved = to[flat] != flat
     plus, minus, moved_row = to[flat[moved]], flat[moved], owner[moved]
-    w, bias = np.zeros(len(used)), float(np.log(toxic.mean() / (1 - toxic.mean())))
+    weight = np.where(toxic > 0, np.sqrt((n - n1) / n1), 1.0)
+    w, bias = np.zeros(len(used)), 0.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
         logit = bias + np.bincount(owner, w[flat], n)
-        wrong = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) / n
+        wrong = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) * weight / n
         change = np.bincount(moved_row, w[plus] - w[minus], n) * (2 * penalty / n)
         grad = np.bincount(flat, wrong[owner], len(used)) + 2 * ridge / n * w
         grad += np.bincount(plus, change[moved_row], len(used)) - np.bincount(minus, change[moved_row], len(used))
