@@ -18,17 +18,20 @@ FLUSH_AT = 6_000_000
 
 
 class Levels:
-    """Level 0 to 3 of each of 2 ** bits slots, two bits a slot; a hash's slot is its high bits.
+    """Level of each of 2 ** bits slots, in `width` bits; a hash's slot is its high bits.
 
-    A hash that occurs twice has level 1 at least; one that occurs once may share its slot.
+    Width 2: levels 0 to 3; width 1: whether level 1 is reached. A hash that occurs twice has
+    level 1 at least; one that occurs once may share its slot.
     """
 
-    def __init__(self, bits: int, packed: np.ndarray):
-        self.bits, self.packed = bits, packed
+    def __init__(self, bits: int, width: int, packed: np.ndarray):
+        self.bits, self.width, self.packed = bits, width, packed
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         slot = hashes >> U64(64 - self.bits)
-        return self.packed[slot >> U64(2)] >> ((slot & U64(3)) << U64(1)).astype(np.uint8) & 3
+        in_byte = 8 // self.width
+        at, shift = slot // U64(in_byte), (slot % U64(in_byte)).astype(np.uint8) * np.uint8(self.width)
+        return self.packed[at] >> shift & np.uint8((1 << self.width) - 1)
 
 
 def _flushed(hashes: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
@@ -46,16 +49,17 @@ def _flushed(hashes: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]
         yield int(bucket[lo]), np.uint32(hi - lo).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def count_levels(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, most_bits: int = 29) -> Levels:
+def count_levels(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, width: int = 2, most_mb: int = 128) -> Levels:
     """Levels of the 64-bit hashes that hashes_of draws from the rows.
 
     Each task sends its slots with their counts, sorted and compressed, one row for each bucket
-    of slots; each bucket's task adds them up. The table has two slots for each expected hash
-    and 2 ** most_bits at most (128 MB, the proven bound of what the driver gathers and
-    broadcasts). With more hashes than that, more of them share slots: levels rise, never fall,
-    so callers stay exact and only prune less.
+    of slots; each bucket's task adds them up. The table has four bits for each expected hash
+    and most_mb megabytes at most (the proven bound of what the driver gathers and broadcasts).
+    With more hashes than that, more of them share slots: levels rise, never fall, so callers
+    stay exact and only prune less.
     """
-    bits = min(most_bits, max(12, (2 * max(expected, 1) - 1).bit_length()))
+    most_bits = (most_mb * 8 * 1_048_576 // width).bit_length() - 1
+    bits = min(most_bits, max(12, (4 // width * max(expected, 1) - 1).bit_length()))
     low = min(BUCKET_BITS, bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +87,13 @@ def count_levels(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]]
             raw = np.frombuffer(pa.decompress(blob[4:], 5 * n, "zstd"), np.uint8)
             at = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel(), dtype=np.int64)
             total[at] += raw[4 * n :]
-        level = sum((total >= x).astype(np.uint8) for x in LEVEL_FROM).reshape(-1, 4)
-        packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+        level = sum((total >= x).astype(np.uint8) for x in LEVEL_FROM[: (1 << width) - 1]).reshape(-1, 8 // width)
+        packed = (level << (np.arange(8 // width, dtype=np.uint8) * np.uint8(width))).sum(1).astype(np.uint8)
         return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "packed": [pa.compress(packed.tobytes(), "zstd", asbytes=True)]})
 
     sent = rows.mapInArrow(send, "bucket int, blob binary")
-    packed = np.zeros(1 << bits >> 2, np.uint8)
-    size = 1 << low >> 2
+    packed = np.zeros((1 << bits) * width // 8, np.uint8)
+    size = (1 << low) * width // 8
     for bucket, blob in sent.groupBy("bucket").applyInPandas(add, "bucket int, packed binary").collect():
         packed[bucket * size : (bucket + 1) * size] = np.frombuffer(pa.decompress(bytes(blob), size, "zstd"), np.uint8)
-    return Levels(bits, packed)
+    return Levels(bits, width, packed)

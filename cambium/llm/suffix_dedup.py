@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, spread, stored, text_bytes, text_slices, window_hashes
+from .common import U64, mix64, release_memory, spread, stored, text_bytes, text_slices, window_hashes
 from .repeats import Levels, count_levels
 
 LENGTH = 50
@@ -135,17 +135,23 @@ def repeated_starts(windows: np.ndarray, low: np.ndarray, high: np.ndarray, doc:
     return out
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def _packed(arrays: list[np.ndarray]) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
-    return np.array([len(raw), *(len(a) for a in arrays)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+    """Length and compressed length of each array, then the compressed arrays: like compresses best with like."""
+    raw = [np.ascontiguousarray(a) for a in arrays]
+    parts = [_ZSTD.compress(a.tobytes(), asbytes=True) if a.size else b"" for a in raw]
+    return np.array([x for a, p in zip(raw, parts, strict=True) for x in (a.nbytes, len(p))], "<i8").tobytes() + b"".join(parts)
 
 
 def _unpacked(blob: bytes, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
-    head = np.frombuffer(blob, "<i8", 1 + len(kinds))
-    raw, at, out = pa.decompress(blob[8 * (1 + len(kinds)) :], int(head[0]), "zstd"), 0, []
-    for n, (kind, width) in zip(head[1:].tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n * width, at).reshape((n, width) if width > 1 else n))
-        at += out[-1].nbytes
+    head, at, out = np.frombuffer(blob, "<i8", 2 * len(kinds)).tolist(), 16 * len(kinds), []
+    for (kind, width), size, packed in zip(kinds, head[::2], head[1::2], strict=True):
+        raw = _ZSTD.decompress(blob[at : at + packed], size) if size else b""
+        flat = np.frombuffer(raw, kind)
+        out.append(flat.reshape(-1, width) if width > 1 else flat)
+        at += packed
     return out
 
 
@@ -197,7 +203,7 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
         for _, data, offsets in text_slices(batches):
             yield mix64(anchors_of(data, offsets)[1])
 
-    levels = spark.sparkContext.broadcast(count_levels(rows, anchors, total_bytes * 2 // (STARTS + 1)))  # at most 128 MB
+    levels = spark.sparkContext.broadcast(count_levels(rows, anchors, 2 * total_bytes * 2 // (STARTS + 1), width=1))  # at most 128 MB
     buckets = spread(total_bytes, 8 << 20)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +234,8 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
         start, stop = np.concatenate((begin + first, settled[2])), np.concatenate((begin + last + LENGTH, settled[3]))
         both, inverse = np.unique(np.stack((doc, tie)), axis=1, return_inverse=True) if len(doc) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         key, start, stop = _merged(inverse.ravel(), start, stop)
+        del parts, windows, hit, turn
+        release_memory()
         return pd.DataFrame({"doc_id": both[0][key], "tie": both[1][key], "span": start << SPAN_BITS | stop - start})
 
     sent = rows.mapInArrow(send, "bucket int, blob binary")
