@@ -37,6 +37,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the session's stored tables, once no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "stored-*")) or []:
+        fs.delete(found.getPath(), True)
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as decimal text, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

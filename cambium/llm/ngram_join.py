@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U64, mix64, spread, stored, text_bytes, text_slices, word_bounds, word_hashes
 from .components import components
-from .repeats import Levels, count_levels
+from .repeats import sliced, with_levels
 
 WORDS = 4
 PERCENT = 85
@@ -58,32 +58,33 @@ def least_overlap(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def _profiles(docs: DataFrame, levels) -> DataFrame:
-    """Per row: n, the set's key, the repeated tokens of its prefix, and the set if there are any.
+PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("entries", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
-    A token is the shingle's hash below its level, so tokens sort rare first.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Levels = levels.value
-        for part, data, offsets in text_slices(batches):
-            sets, cuts = shingles(data, offsets)
-            tokens = sets | known.of(sets << U64(2)).astype(U64) << U64(62)
-            sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix64(sets ^ U64(seed))))) for seed in (0, 0x5BF03635)]
-            k1, k2 = ((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums)
-            entries, kept = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                own = np.sort(tokens[lo:hi])
-                n = hi - lo
-                prefix = own[: n - (PERCENT * n + 99) // 100 + 1] if n else own
-                repeated = prefix[prefix >= U64(1 << 62)].view(np.int64)
-                entries.append(repeated)
-                kept.append(own.tobytes() if len(repeated) else None)
-            arrays = [part.column(0), pa.array(np.diff(cuts), pa.int64()), pa.array(k1), pa.array(k2), pa.array(entries, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "k1", "k2", "entries", "tokens"])
+def _drawn(table: pa.Table) -> np.ndarray:
+    found = [shingles(data, offsets)[0] << U64(2) for _, data, offsets in text_slices(iter(table.to_batches()))]
+    return np.concatenate(found) if found else np.zeros(0, U64)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, entries array<long>, tokens binary")
+
+def _profiles(table: pa.Table, levels: np.ndarray) -> Iterator[tuple]:
+    """Per row: doc_id, n, the set's key, the repeated tokens of its prefix, and the set if there are any.
+
+    A token is the shingle's hash below its level, so tokens sort rare first.
+    """
+    seen = 0
+    for part, data, offsets in text_slices(iter(table.to_batches())):
+        sets, cuts = shingles(data, offsets)
+        tokens = sets | levels[seen : seen + len(sets)].astype(U64) << U64(62)
+        seen += len(sets)
+        sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix64(sets ^ U64(seed))))) for seed in (0, 0x5BF03635)]
+        k1, k2 = ((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64).tolist() for s in sums)
+        ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+        for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            own = np.sort(tokens[lo:hi])
+            n = hi - lo
+            prefix = own[: n - (PERCENT * n + 99) // 100 + 1] if n else own
+            repeated = prefix[prefix >= U64(1 << 62)].view(np.int64)
+            yield ids[i], n, k1[i], k2[i], repeated, own.tobytes() if len(repeated) else None
 
 
 class Trie:
@@ -242,17 +243,12 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     doc_id takes no part and has no component. Empty input: no rows.
     """
     total = text_bytes(docs)
-    texts = docs.select(F.col("doc_id"), "text")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, data, offsets in text_slices(batches):
-            yield shingles(data, offsets)[0] << U64(2)
-
-    levels = docs.sparkSession.sparkContext.broadcast(count_levels(texts.select("text"), hashes, total // 6))  # at most 128 MB
-    rows = stored(_profiles(texts, levels))
+    kinds = "doc_id long, n long, k1 long, k2 long, entries array<long>, tokens binary"
+    texts = sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), total)
+    rows = stored(with_levels(texts, _drawn, _profiles, PROFILE, kinds, total // 6))
     key = ["k1", "k2", "n"]
     classes = stored(
-        rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").cast("long").alias("rep"), F.first("entries").alias("entries"))
+        rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("entries").alias("entries"))
     )
     # classes of one doc_id are one node already; one of them carries each of its tokens
     entries = classes.select("rep", F.explode("entries").alias("token"))
@@ -268,16 +264,18 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     )
     parts = spread(total, 16 << 20)
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.xxhash64("cluster", "i", "j"))
-    sets = rows.filter("tokens IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), *key, "tokens")
+    sets = rows.filter("tokens IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), *key, "tokens")
     sets = sets.join(classes.select("rep", *key), ["rep", *key], "left_semi").dropDuplicates(["rep", *key])
     links = sets.select("rep", "tokens").join(keyed.withColumn("task", task), "rep").groupBy("task").applyInPandas(_joined, "a long, b long")
     # a doc_id of several texts ties their classes together
-    owned = rows.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("owner"), *key).join(classes.select(*key, "rep"), key).select("owner", "rep")
+    owned = rows.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("owner"), *key).join(classes.select(*key, "rep"), key).select("owner", "rep")
     ties = stored(owned.groupBy("owner").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("owner", "a"))
     links = links.unionByName(owned.join(ties, "owner").select("a", F.col("rep").alias("b")))
     found = components(links).select(F.col("node").alias("rep"), "component")
     known = classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", *key).join(stored(known), key, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component").cast(kind), "doc_id")).alias("component_id")
+        F.col("doc_id").cast(kind).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(kind).alias("component_id"),
     )

@@ -13,13 +13,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import U64, mix64, release_memory, spread, stored, text_bytes, text_slices, window_hashes
-from .repeats import Levels, count_levels
+from .common import U64, mix64, release_memory, spread, text_bytes, text_slices, window_hashes
+from .repeats import in_order, sliced, with_levels
 
 LENGTH = 50
 GRAM = 25
@@ -155,19 +154,22 @@ def _unpacked(blob: bytes, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
     return out
 
 
-#: doc, tie, anchor position, first and last own start, window; then doc, tie, start, stop of settled spans.
-KINDS = [(np.int64, 1), (np.int64, 1), (np.int64, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, WIDTH), (np.int64, 1), (np.int64, 1), (np.int64, 1), (np.int64, 1)]
+#: Of windows: doc, row in the slice, anchor position, first and last own start, bytes; of settled spans: row, start, stop.
+KINDS = [(np.int64, 1), (np.int32, 1), (np.int32, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, WIDTH), (np.int32, 1), (np.int32, 1), (np.int32, 1)]
+SPANS = [(np.int32, 1), (np.int32, 1), (np.int32, 1)]
 
 
-def _slice_windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie: np.ndarray, levels: Levels) -> tuple:
-    """Windows of the possibly repeated anchors of a slice, with the repeats inside it settled.
+def _known(table: pa.Table) -> pa.Table:
+    """The rows that take part: those with a doc_id."""
+    return table.filter(pc.is_valid(table.column("doc_id")))
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, least: np.ndarray) -> tuple:
+    """Windows around the anchors at `at`, with the repeats among them settled.
 
     Of equal windows only the ones of the smallest doc are sent on; all strings of the others
-    begin in that doc too.
+    begin in that doc too. Returns the anchors' hashes and the fields of KINDS.
     """
-    at, hashes, least = anchors_of(data, offsets)
-    keep = levels.of(mix64(hashes)) > 0
-    at, hashes = at[keep], hashes[keep]
     padded = np.concatenate((np.zeros(STARTS - 1, np.uint8), data, np.zeros(LENGTH, np.uint8)))
     edge = np.zeros(STARTS - 1, U64)
     owned = np.lib.stride_tricks.sliding_window_view(np.concatenate((edge, least, np.zeros(LENGTH, U64))), STARTS)[at] == hashes[:, None]
@@ -177,7 +179,7 @@ def _slice_windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie:
     column = np.arange(WIDTH)
     windows = np.where((column >= low[:, None]) & (column < high[:, None].astype(np.int64) + LENGTH), windows, 0).astype(np.uint8)
     row = np.searchsorted(offsets, at, "right") - 1
-    place, whose, ties = at - offsets[row], doc[row], tie[row]
+    place, whose = (at - offsets[row]).astype(np.int32), doc[row]
     # order by content, then doc; equal neighbours are compared byte by byte
     words = np.zeros((len(at), 80), np.uint8)
     words[:, :WIDTH] = windows
@@ -185,104 +187,122 @@ def _slice_windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tie:
     content = words.view(U64)
     mixed = mix64((mix64(content) * np.arange(1, 21, 2, dtype=U64)).sum(1, dtype=U64))
     order = np.lexsort((whose, mixed))
-    new = np.concatenate(([True], (content[order[1:]] != content[order[:-1]]).any(1))) if len(order) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    smallest = whose[order][np.flatnonzero(new)][group] if len(order) else whose
+    new = np.concatenate(([True], (content[order[1:]] != content[order[:-1]]).any(1)))[: len(order)]
+    smallest = whose[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     settled = order[whose[order] > smallest]
     sent = order[whose[order] == smallest]
-    row_s, start, stop = _merged(row[settled], (place + low - (STARTS - 1))[settled], (place + high - (STARTS - 1) + LENGTH)[settled])
-    return hashes[sent], [whose[sent], ties[sent], place[sent], low[sent], high[sent], windows[sent]], [doc[row_s], tie[row_s], start, stop]
-
-
-def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """(doc_id, tie, span) rows: span is start << 31 | length of bytes to remove; spans may overlap."""
-    spark = docs.sparkSession
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tie"), "text").filter(F.octet_length("text") >= LENGTH)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, data, offsets in text_slices(batches):
-            yield mix64(anchors_of(data, offsets)[1])
-
-    levels = spark.sparkContext.broadcast(count_levels(rows, anchors, 2 * total_bytes * 2 // (STARTS + 1), width=1))  # at most 128 MB
-    buckets = spread(total_bytes, 8 << 20)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (part, data, offsets) in enumerate(text_slices(batches)):
-            doc, tie = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            hashes, sent, settled = _slice_windows(data, offsets, doc, tie, levels.value)
-            bucket = (mix64(hashes ^ U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            mine = int(doc[0] + k) % buckets  # settled spans go along with any bucket
-            for b in range(buckets):
-                own = order[cuts[b] : cuts[b + 1]]
-                if len(own) or b == mine and len(settled[0]):
-                    blob = _packed([*(x[own] for x in sent), *(settled if b == mine else [x[:0] for x in settled])])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpacked(blob, KINDS) for blob in pdf["blob"]]
-        doc, tie, place, low, high, windows, *settled = (np.concatenate(x) for x in zip(*parts, strict=True))
-        hit = np.zeros((len(doc), STARTS + 2), np.int8)
-        if len(doc):
-            hit[:, 1:-1] = repeated_starts(windows, low, high, doc)
-        turn = np.diff(hit, axis=1)
-        who, first = np.nonzero(turn == 1)
-        last = np.nonzero(turn == -1)[1] - 1
-        begin = place[who] - (STARTS - 1)
-        doc, tie = np.concatenate((doc[who], settled[0])), np.concatenate((tie[who], settled[1]))
-        start, stop = np.concatenate((begin + first, settled[2])), np.concatenate((begin + last + LENGTH, settled[3]))
-        both, inverse = np.unique(np.stack((doc, tie)), axis=1, return_inverse=True) if len(doc) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        key, start, stop = _merged(inverse.ravel(), start, stop)
-        del parts, windows, hit, turn
-        release_memory()
-        return pd.DataFrame({"doc_id": both[0][key], "tie": both[1][key], "span": start << SPAN_BITS | stop - start})
-
-    sent = rows.mapInArrow(send, "bucket int, blob binary")
-    return sent.groupBy("bucket").applyInPandas(match, "doc_id long, tie long, span long")
+    begin = place.astype(np.int64) - (STARTS - 1)
+    row_s, start, stop = _merged(row[settled], (begin + low)[settled], (begin + high + LENGTH)[settled])
+    return hashes[sent], [whose[sent], row[sent].astype(np.int32), place[sent], low[sent], high[sent], windows[sent]], [x.astype(np.int32) for x in (row_s, start, stop)]
+
+
+def _to_buckets(table: pa.Table, levels: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, slice, blob) of the windows around anchors that may occur again."""
+    here, hashes, sent, settled, seen, rows = table.column("slice")[0].as_py(), [], [], [], 0, 0
+    for part, data, offsets in text_slices(iter(_known(table).to_batches())):
+        at, h, least = anchors_of(data, offsets)
+        again = levels[seen : seen + len(at)] > 0
+        seen += len(at)
+        doc = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
+        h, own, spans = _windows(data, offsets, doc, at[again], h[again], least)
+        own[1] += np.int32(rows)
+        spans[0] += np.int32(rows)
+        rows += part.num_rows
+        hashes.append(h)
+        sent.append(own)
+        settled.append(spans)
+    if not sent:
+        return
+    fields = [np.concatenate(x) for x in zip(*sent, strict=True)]
+    spans = [np.concatenate(x) for x in zip(*settled, strict=True)]
+    bucket = (mix64(np.concatenate(hashes) ^ U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    mine = here % buckets  # settled spans go along with any bucket
+    for b in np.union1d(bucket, [mine] if len(spans[0]) else []).astype(int).tolist():
+        own = order[cuts[b] : cuts[b + 1]]
+        yield b, here, _packed([*(x[own] for x in fields), *(spans if b == mine else [x[:0] for x in spans])])
+
+
+def _match(table: pa.Table) -> pa.Table:
+    """Spans to remove, by slice, from all windows of a bucket."""
+    ids = table.column("slice").to_pylist()
+    parts = [_unpacked(blob, KINDS) for blob in table.column("blob").to_pylist()]
+    of = np.concatenate([np.full(len(p[0]), i, np.int64) for i, p in zip(ids, parts, strict=True)])
+    of_settled = np.concatenate([np.full(len(p[6]), i, np.int64) for i, p in zip(ids, parts, strict=True)])
+    doc, row, place, low, high, windows, *settled = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    hit = np.zeros((len(doc), STARTS + 2), np.int8)
+    if len(doc):
+        hit[:, 1:-1] = repeated_starts(windows, low, high, doc)
+    turn = np.diff(hit, axis=1)
+    who, first = np.nonzero(turn == 1)
+    last = np.nonzero(turn == -1)[1] - 1
+    begin = place[who].astype(np.int64) - (STARTS - 1)
+    key = np.concatenate((of[who] << 32 | row[who], of_settled << 32 | settled[0]))
+    start, stop = np.concatenate((begin + first, settled[1])), np.concatenate((begin + last + LENGTH, settled[2]))
+    key, start, stop = _merged(key, start, stop)
+    where = key >> 32
+    cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))[: len(key)].tolist()
+    out = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(key)], strict=False):
+        out.append((int(where[lo]), _packed([x[lo:hi].astype(np.int32) for x in (key & 0xFFFFFFFF, start, stop)])))
+    del windows, hit, turn
+    release_memory()
+    columns = list(zip(*out, strict=True)) or [[], []]
+    return pa.table({"slice": pa.array(columns[0], pa.int32()), "blob": pa.array(columns[1], pa.binary())})
+
+
+def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
+    """The result rows of a slice."""
+    table = in_order(table)
+    valid = np.flatnonzero(pc.is_valid(table.column("doc_id")).to_numpy(zero_copy_only=False))
+    parts = [_unpacked(blob, SPANS) for blob in spans.column("blob").to_pylist()]
+    row, start, stop = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+    row, start, stop = _merged(valid[row], start, stop)
+    out, done = [], 0
+    for part, data, offsets in text_slices(iter(table.to_batches())):
+        own = slice(*np.searchsorted(row, (done, done + part.num_rows)))
+        base = offsets[row[own] - done]
+        step = np.zeros(len(data) + 1, np.int32)
+        np.add.at(step, base + start[own], 1)
+        np.add.at(step, base + stop[own], -1)
+        kept = np.cumsum(step[:-1]) == 0
+        runs = np.bincount(row[own] - done, minlength=part.num_rows)
+        for i in range(part.num_rows):
+            body = data[offsets[i] : offsets[i + 1]]
+            if runs[i]:
+                body = body[kept[offsets[i] : offsets[i + 1]]]
+            size = int(offsets[i + 1] - offsets[i])
+            out.append((size, size - len(body), int(runs[i]), hashlib.sha256(body.tobytes()).hexdigest()))
+        done += part.num_rows
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    counts = {name: pa.array(c, pa.int64()) for name, c in zip(("n_bytes", "n_removed", "n_spans"), columns, strict=False)}
+    return pa.table({"doc_id": table.column("doc_id"), **counts, "kept_sha256": pa.array(columns[3], pa.string())})
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     Removes each byte that a string of LENGTH bytes covers which also begins in a document with
-    a smaller doc_id; matches never cross documents and are judged on the input. One pass counts
-    how often anchors occur (a table of bounded size), a second sends the windows of anchors
-    that may repeat, compressed and with the repeats inside a slice settled, to their buckets;
-    the spans found there are gathered by document and joined with the texts.
+    a smaller doc_id; matches never cross documents and are judged on the input. Documents are
+    dealt to slices by one shuffle, which three steps share: counting the anchors, sending the
+    windows of anchors that may occur again (compressed, and with the repeats inside a slice
+    settled) to their buckets, and cutting out the spans that the buckets reply.
 
     Null texts are empty. Rows without doc_id are neither smaller nor larger than others:
     nothing is removed from them. Rows that share a doc_id don't remove from each other. Empty
     input: no rows.
     """
-    spans = repeated_spans(docs.select("doc_id", "text"), text_bytes(docs)).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
-    spans = stored(spans).select(F.col("doc_id").alias("span_doc"), F.col("tie").alias("span_tie"), "spans")
-    texts = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("tie"))
-    joined = texts.join(spans, (F.col("doc_id").cast("long") == F.col("span_doc")) & (F.col("tie") == F.col("span_tie")), "left").select("doc_id", "text", "spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_slices(batches):
-            yield _cut_slice(part, data, offsets)
-
-    kind = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _cut_slice(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    lists = part.column(2)
-    out = []
-    for i in range(part.num_rows):
-        body = data[offsets[i] : offsets[i + 1]]
-        removed = runs = 0
-        if lists[i].is_valid:
-            span = np.asarray(lists[i].values)
-            start = span >> SPAN_BITS
-            _, start, stop = _merged(np.zeros(len(span), np.int64), start, start + (span & (1 << SPAN_BITS) - 1))
-            step = np.zeros(len(body) + 1, np.int8)
-            step[start] = 1
-            step[stop] -= 1
-            body = body[np.cumsum(step[:-1]) == 0]
-            removed, runs = int((stop - start).sum()), len(start)
-        out.append((int(offsets[i + 1] - offsets[i]), removed, runs, hashlib.sha256(body.tobytes()).hexdigest()))
-    cols = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    total = text_bytes(docs)
+    texts, buckets = sliced(docs, total), spread(total, 8 << 20)
+
+    def draw(table: pa.Table) -> np.ndarray:
+        found = [mix64(anchors_of(data, offsets)[1]) for _, data, offsets in text_slices(iter(_known(table).to_batches()))]
+        return np.concatenate(found) if found else np.zeros(0, U64)
+
+    fields = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("blob", pa.binary())])
+    sent = with_levels(texts, draw, lambda t, levels: _to_buckets(t, levels, buckets), fields, "bucket int, slice int, blob binary", total * 2 // (STARTS + 1))
+    spans = sent.groupBy("bucket").applyInArrow(_match, "slice int, blob binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -467,6 +467,16 @@ def test_components(spark):
     assert got == {n: c for n, c in parent.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+def test_stored_tables_are_dropped(spark):
+    from cambium.llm.common import drop_stored, shared_dir, stored
+
+    df = stored(spark.range(3))
+    assert df.count() == 3
+    drop_stored(spark)
+    folder = shared_dir(spark).removeprefix("file:")
+    assert not [p for p in __import__("os").listdir(folder) if p.startswith("stored-")]
+
+
 # -- queries and pipeline -------------------------------------------------------------------------
 
 
