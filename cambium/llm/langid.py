@@ -79,8 +79,8 @@ class Model:
 
 
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """train: text, lang (not null). idf over all rows; centroids on at most about sample_rows of
-    them, the same number for each language, chosen by a hash of the row's text."""
+    """train: doc_id, text, lang (not null). idf over all rows; centroids on about sample_rows of
+    them (twice that at most), the same number for each language, chosen by a hash of the row."""
     per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # one row per language
     frequency = document_frequencies(train)
     idf = np.log((1 + sum(per_lang.values())) / (1 + frequency)).astype(np.float32) + 1
@@ -95,8 +95,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "at", "n"])
 
     if cut is not None:
-        chosen = train.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang")
-        for row in chosen.mapInArrow(sparse, "lang string, at array<int>, n array<float>").toLocalIterator():
+        chosen = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang")
+        for row in chosen.mapInArrow(sparse, "lang string, at array<int>, n array<float>").limit(2 * sample_rows).toLocalIterator():
             by_lang[row["lang"]].append((np.array(row["at"], np.int32), np.array(row["n"], np.float32)))
     centres, langs, least = [], [], []
     for lang, rows in by_lang.items():
@@ -160,5 +160,5 @@ def language_id(docs: DataFrame) -> DataFrame:
     """
     fold = crc_fold(F.col("doc_id"), 4)
     lowered = F.lower("text").alias("text")
-    model = fit(docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(lowered, "lang"))
+    model = fit(docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", lowered, "lang"))
     return identify(docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out")), model, ["doc_id", "held_out"])

@@ -19,7 +19,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     centroid that was learned from this stage's own input."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     learned = docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = langid.fit(learned.select(F.lower("text").alias("text"), "lang"))
+    model = langid.fit(learned.select("doc_id", F.lower("text").alias("text"), "lang"))
     judged = langid.identify(docs, model, docs.columns, prefix="__langid_")
     return judged.filter("NOT __langid_rejected").select(*docs.columns)
 
