@@ -46,6 +46,14 @@ class Table:
 # -- schema files -------------------------------------------------------------------------------
 
 
+def latest_schema(folder: str, name: str) -> str:
+    """The path of the last schema file, by name, that has `name` in it; names begin with their dates."""
+    found = sorted(f for f in os.listdir(folder) if name in f and f.endswith(".json"))
+    if not found:
+        raise FileNotFoundError(f"no schema {name} in {folder}")
+    return os.path.join(folder, found[-1])
+
+
 def resolve_schema(path: str) -> dict:
     """A JSON schema with its $ref and allOf resolved: later parts win, required names become required: true."""
     with open(path, encoding="utf-8") as f:

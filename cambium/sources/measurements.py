@@ -202,3 +202,9 @@ def read_processed(spark: SparkSession, folder: str, dataset: str) -> Measuremen
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
     """Reference list of countries; the code NA is a value."""
     return spark.read.csv(path, header=True, nullValue="", schema="country_name string, country_iso_code string, combined string")
+
+
+def read_species(spark: SparkSession, path: str) -> DataFrame:
+    """Reference list of species with their codes and traits; other columns are left out."""
+    columns = ["species_name", "itrdb_species_code", "phylogenetic_group", "leaf_habit", "tree_ring_structure"]
+    return spark.read.csv(path, header=True, nullValue="").select(*columns)

@@ -138,6 +138,16 @@ def test_schema_and_metadata(spark, tmp_path):
     assert docs["t"].count() == 3 and said[0] == "missing tables: u"
 
 
+def test_latest_schema_and_species(spark, tmp_path):
+    for name in ("20240101_site_schema.json", "20250101_site_schema.json", "20260101_tree_schema.json"):
+        (tmp_path / name).write_text("{}")
+    assert validate.latest_schema(str(tmp_path), "site").endswith("20250101_site_schema.json")
+    with pytest.raises(FileNotFoundError):
+        validate.latest_schema(str(tmp_path), "slide")
+    write(tmp_path / "species.csv", ["species_name,itrdb_species_code,phylogenetic_group,leaf_habit,tree_ring_structure,more", "Pinus sylvestris,PISY,g,e,n,x"])
+    assert [tuple(r) for r in measurements.read_species(spark, str(tmp_path / "species.csv")).collect()] == [("Pinus sylvestris", "PISY", "g", "e", "n")]
+
+
 def test_dataset_rules(spark):
     rows = [("ok", "fine", "public", None), ("", "[ADD INFO x]", "restricted", None), ("n" * 65, "", "public", "2030-01-01")]
     df = spark.createDataFrame(rows, "ds_name string, description string, ds_access string, embargoed_until string")
