@@ -21,7 +21,7 @@ from .repeats import sliced, with_levels
 WORDS = 4
 PERCENT = 85
 #: Sets that one task joins; larger groups are cut into pairs of blocks.
-BLOCK_SETS = 2048
+BLOCK_SETS = 1024
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 

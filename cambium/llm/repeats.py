@@ -20,6 +20,7 @@ from .common import U64, release_memory, spread
 #: Occurrences from which a slot has level 1, 2 and 3.
 LEVEL_FROM = (2, 16, 128)
 SLICE_BYTES = 8 << 20
+SLOTS_EACH = 16
 
 
 def sliced(docs: DataFrame, total_bytes: int) -> DataFrame:
@@ -53,11 +54,11 @@ def with_levels(docs: DataFrame, draw: Callable[[pa.Table], np.ndarray], finish:
 
     draw gives the 64-bit hashes of a slice (its rows in order); finish gives the rows of
     `schema` (`kinds` for Spark). Level 0: the hash occurs once; 1 to 3: at least LEVEL_FROM
-    times. Different hashes may share a slot, of which there are four for each expected one, so
-    levels may be too high, never too low.
+    times. Different hashes may share a slot, of which there are SLOTS_EACH for each expected
+    one, so levels may be too high, never too low.
     """
-    bits = max(12, (4 * max(expected, 1) - 1).bit_length())
-    low = min(bits, max(20, min(26, bits - 12)))  # slots of a bucket: up to 256 MB of counts in its task
+    bits = max(12, (SLOTS_EACH * max(expected, 1) - 1).bit_length())
+    low = min(bits, max(20, min(26, bits - 9)))  # slots of a bucket: up to 256 MB of counts in its task
     to_bucket = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("n", pa.int32()), ("at", pa.binary()), ("count", pa.binary())])
     to_slice = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("level", pa.binary())])
 
