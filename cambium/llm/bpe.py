@@ -97,7 +97,9 @@ class Automaton:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         labels = {i: spell(w) for w, i in vocab.items() if w not in special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        return cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], special)
+        made = cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], special)
+        release_memory()
+        return made
 
     def words(self) -> Words:
         """The word table of this process; it goes with the automaton when its broadcast does."""

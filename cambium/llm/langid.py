@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, text_slices
+from .common import crc_fold, release_memory, text_slices
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -105,6 +105,7 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             counts[i, at] = n
         x = unit_vectors(counts, idf)
         x = x[(x > 0).any(1)]
+        rows.clear()
         if not len(x):
             continue
         own = spherical_clusters(x, CENTROIDS)
@@ -112,6 +113,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         centres.append(own)
         langs += [lang] * len(own)
         least += [0.1 * float(np.quantile(best, 0.01))] * len(own)
+        del counts, x
+    release_memory()
     return Model(idf, np.concatenate(centres) if centres else np.zeros((0, BUCKETS), np.float32), langs, np.array(least))
 
 
