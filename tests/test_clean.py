@@ -7,6 +7,7 @@ import pytest
 from cambium.functions import expr as X
 from cambium.operators import clean, flags, profiles
 from cambium.operators.model import CELL_MEASURES, RING_MEASURES, Measurements
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -40,7 +41,7 @@ def test_bins_of_broken_width(spark):
 def test_tile_is_ntile(spark):
     for n in (1, 4, 5, 23, 60):
         for k in (1, 3, 5):
-            rows = spark.range(1, n + 1).select(X.tile(F.col("id"), F.lit(n), F.lit(k)).alias("t"), F.ntile(k).over(__import__("pyspark").sql.Window.orderBy("id")).alias("w")).collect()
+            rows = spark.range(1, n + 1).select(X.tile(F.col("id"), F.lit(n), F.lit(k)).alias("t"), F.ntile(k).over(Window.orderBy("id")).alias("w")).collect()
             assert all(r["t"] == r["w"] for r in rows)
 
 
