@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -474,7 +475,7 @@ def test_stored_tables_are_dropped(spark):
     assert df.count() == 3
     drop_stored(spark)
     folder = shared_dir(spark).removeprefix("file:")
-    assert not [p for p in __import__("os").listdir(folder) if p.startswith("stored-")]
+    assert not [p for p in os.listdir(folder) if p.startswith("stored-")]
 
 
 # -- queries and pipeline -------------------------------------------------------------------------
