@@ -72,7 +72,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     grams_of = {k: template_bigrams(v) for k, v in sorted(templates.items())}
     known = F.array(*(F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, g)).alias("grams")) for k, g in grams_of.items()))
     pairs = sorted({pair for g in grams_of.values() for pair in needed_bigrams(g, least)})
-    lower = F.lower("text")
+    docs = docs.select("doc_id", "text", F.lower("text").alias("lower"))  # once, not for each word
+    lower = F.col("lower")
     likely = reduce(operator.or_, (lower.contains(a) & lower.contains(b) for a, b in pairs), F.lit(False))
     likely = F.coalesce(likely & F.rlike(lower, F.lit("|".join(f"{a}[^a-z0-9]+{b}" for a, b in pairs) or "$^")), F.lit(False))
     low, high = least / (2 - least) - 1e-9, (2 - least) / least + 1e-9  # they only prune; dice decides
