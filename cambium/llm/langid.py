@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ def ngram_counts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
 
 
 def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Square-root term frequency times idf, of length 1 (0 without any trigram)."""
-    x = np.sqrt(counts) * idf
+    """Square-root term frequency times idf, of length 1 (0 without any trigram); counts is overwritten."""
+    x = np.sqrt(counts, out=counts)
+    x *= idf
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     return np.divide(x, norm, out=x, where=norm > 0)
 
@@ -96,18 +98,18 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     if cut is not None:
         chosen = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang")
-        for row in chosen.mapInArrow(sparse, "lang string, at array<int>, n array<float>").limit(2 * sample_rows).toLocalIterator():
-            by_lang[row["lang"]].append((np.array(row["at"], np.int32), np.array(row["n"], np.float32)))
+        found = chosen.mapInArrow(sparse, "lang string, at array<int>, n array<float>").toLocalIterator()  # a partition at a time
+        for row in islice(found, 2 * sample_rows):
+            by_lang[row["lang"]].append((np.array(row["at"], np.uint16), np.array(row["n"], np.float32)))
     centres, langs, least = [], [], []
     for lang, rows in by_lang.items():
+        rows = [r for r in rows if len(r[0])]
+        if not rows:
+            continue
         counts = np.zeros((len(rows), BUCKETS), np.float32)
         for i, (at, n) in enumerate(rows):
             counts[i, at] = n
         x = unit_vectors(counts, idf)
-        x = x[(x > 0).any(1)]
-        rows.clear()
-        if not len(x):
-            continue
         own = spherical_clusters(x, CENTROIDS)
         best = (x @ own.T).max(1)
         centres.append(own)
@@ -137,10 +139,11 @@ def identify(docs: DataFrame, model: Model, carry: list[str], prefix: str = "")
         for part, counts in ngram_counts(batches, "__lower"):
             letters = part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
             if len(m.centres):
+                some = counts.any(1)
                 near = unit_vectors(counts, m.idf) @ m.centres.T
                 best = near.argmax(1)
                 score = np.clip(near.max(1), 0, 1).astype(np.float64)
-                rejected = ~letters | (score < m.least[best]) & counts.any(1)
+                rejected = ~letters | (score < m.least[best]) & some
             else:
                 best, score, rejected = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
             known = letters & bool(len(m.centres))
