@@ -32,18 +32,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, row_overhead: int = 8, row
     placed = stored(rows.repartitionByRange(parts, "h", "doc_id").withColumn("part", F.spark_partition_id()))
     order = Window.partitionBy("part").orderBy("h", "doc_id")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = placed.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
     starts = totals.select(
         "part",
         F.coalesce(F.sum("part_bytes").over(before), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
+        F.sum("part_bytes").over(every).alias("whole"),
     )
-    whole = totals.agg(F.sum("part_bytes").alias("whole"))
     numbered = (
         placed.withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("nr", F.row_number().over(order) - 1)
         .join(F.broadcast(starts), "part")  # one row per range partition
-        .join(F.broadcast(whole))  # one row
         .select(
             "doc_id",
             "size",
