@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, row_overhead: int = 8, rows_per_part: int = 20_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 24, row_overhead: int = 8, rows_per_part: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
     Global order: hash of the text, then doc_id, so equal texts are neighbours and a hot group
