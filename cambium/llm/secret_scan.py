@@ -13,10 +13,15 @@ BASE_KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 16, 0),
     ("hex", r"[0-9a-f]{32,}", 32, 0),
 ]
-#: Further kinds of this method: signed web tokens and private key heads.
+#: A private key from its head to its END line or, where that is missing, to the end of the lines of base64 that
+#: follow; the head alone without either. Repeats are possessive, so long texts need no stack.
+_KEY_BODY = r"""(?:[^-]*+(?:-[^-]++){0,16}+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:(?:\\[nr]|[\s"',])*+[A-Za-z0-9+/=]{16,}+)++(?:\s*+[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\s"',]))?+)?+"""
+#: What is no part of a key's value: its head and END line, white space (also as written in strings) and quotes.
+_KEY_FRAME = r"""-----[A-Z ]+-----|\\[nrt]|[\s"',]"""
+#: Further kinds of this method: signed web tokens and private keys.
 MORE_KINDS = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 26, 0),
-    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 27, 0),
+    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----" + _KEY_BODY, 27, 0),
 ]
 
 
@@ -56,6 +61,12 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, least: int, group:
     return F.when(F.rlike(text, F.lit(pattern)), F.filter(run["out"], lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
+def _hashed(span: Column) -> Column:
+    """SHA-256 of a span's value; of a private key's body alone, so that equal heads don't make keys equal."""
+    body = F.regexp_replace(span["value"], F.lit(_KEY_FRAME), F.lit(""))
+    return F.sha2(F.when((span["kind"] == "pem") & (body != ""), body).otherwise(span["value"]), 256)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -68,7 +79,8 @@ def secret_scan(docs: DataFrame, wide_owners: int = 3, owner: str = "source") ->
     hashed and its distinct owners are counted over the whole corpus (first per owner, so a
     hot value shuffles one row per task and owner). A value that `wide_owners` owners or more
     hold is a widely copied example, one that fewer hold is owner-specific and looks live:
-    n_example and n_live count a document's spans of each sort.
+    n_example and n_live count a document's spans of each sort. A private key's value is its body;
+    a head without any body is its own value.
 
     Null and empty texts: no spans and the hash of the empty string. Null owner: one owner of
     its own. Rows that share a doc_id stay separate. Empty input: no rows.
@@ -79,7 +91,7 @@ def secret_scan(docs: DataFrame, wide_owners: int = 3, owner: str = "source") ->
     owner_col = F.coalesce(F.col(owner).cast("string"), F.lit("\0")) if owner in docs.columns else F.lit("\0")
     found = docs.select("doc_id", owner_col.alias("owner"), F.array_sort(spans).alias("all"))
     found = stored(found.withColumn("row_id", F.monotonically_increasing_id()))
-    candidates = found.filter(F.size("all") > 0).select("row_id", "owner", F.explode("all").alias("s")).select("row_id", "owner", F.sha2(F.col("s.value"), 256).alias("key"))
+    candidates = found.filter(F.size("all") > 0).select("row_id", "owner", F.explode("all").alias("s")).select("row_id", "owner", _hashed(F.col("s")).alias("key"))
     owners = candidates.groupBy("key", "owner").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("owners"))
     judged = (
         candidates.join(owners, "key")
