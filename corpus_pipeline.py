@@ -1,12 +1,13 @@
 """The corpus pipeline: documents -> identified, deduplicated, decontaminated, encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's docs. All but the last return the columns of `documents`.
+read again as the next one's docs. All but the last return the columns of `documents`. Each row
+has a decision of its own: doc_ids may be null or shared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
@@ -25,19 +26,41 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+    """Keeps one row of each group of equal texts.
+
+    Within a group the operator's decision hangs on doc_id alone, so doc_id and the normalised
+    text's hash are the key of a row's own decision.
+    """
+    found = stored(exact_dedup.exact_dedup(docs).filter("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("__sha"), "kept"))
+    gone = found.filter("NOT kept").select("doc_id", "__sha").distinct()
+    many = found.filter("kept").groupBy("doc_id", "__sha").count().filter("count > 1").select("doc_id", "__sha")
+    return _without(docs, ["doc_id", "__sha"], F.unhex(F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)), gone, many)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of linked shingle sets."""
-    return _only(docs, ngram_join.ngram_join(docs).filter("component_id = doc_id").select("doc_id"))
+    """Keeps the row with the smallest doc_id (null: last) of each component of linked shingle sets.
+
+    The operator ties rows of one doc_id together and leaves out those without, so it gets a
+    hash of doc_id and text as the id. Rows without words link with nothing and stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    joined = stored(ngram_join.ngram_join(docs.select(key.alias("doc_id"), "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id"))
+    shared = joined.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = stored(joined.join(shared, "component_id").groupBy("__key", "component_id").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
+    ids = members.join(docs.select("doc_id", key.alias("__key")), "__key")
+    first = stored(ids.groupBy("component_id").agg(F.min(order)["__key"].alias("first")))
+    judged = members.join(first, "component_id")
+    gone = judged.filter("__key <> first").select("__key")
+    many = judged.filter("__key = first AND n > 1").select("__key")
+    return _without(docs, ["__key"], key, gone, many)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.filter("NOT contaminated").select("doc_id"))
+    """Drops the rows in which a window of a benchmark item occurs; the text alone decides."""
+    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    found = decontaminate.decontaminate(docs.select(F.hex(sha).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(docs, ["__sha"], sha, found.filter("contaminated").select(F.unhex("doc_id").alias("__sha")).distinct())
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +68,28 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.bpe_digest(docs, VOCABULARY, with_ids=True)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept, once each.
+def _without(docs: DataFrame, on: list[str], key: Column, gone: DataFrame, many: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose key (the columns `on`, of which the last is `key`) isn't in gone; of
+    the rows with a key in many only one, the longest text.
 
-    What goes is less than what stays, so the ids that go are joined against: by broadcast
-    behind a count, by shuffle beyond it.
+    What goes is less than what stays, so the keys that go are joined against: by broadcast
+    behind a count, by shuffle beyond it. Nulls are equal.
     """
-    gone = stored(docs.select("doc_id").join(kept, "doc_id", "left_anti"))
-    gone = F.broadcast(gone) if gone.count() <= decontaminate.BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti")
+    keyed = docs.withColumn(on[-1], key)
+
+    def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(*(F.col(c).alias(f"__of_{c}") for c in on))
+        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in on]
+        return rows.join(F.broadcast(keys) if keys.count() <= decontaminate.BROADCAST_ROWS else keys, same, how)
+
+    rest = joined(keyed, stored(gone), "left_anti")
+    many = None if many is None else stored(many)
+    if many is None or many.isEmpty():
+        return rest.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    longest = F.max_by(row, F.struct(F.length("text"), F.to_json(row)))
+    one = joined(rest, many, "left_semi").groupBy(*on).agg(longest.alias("__row")).select("__row.*")
+    return joined(rest, many, "left_anti").select(*docs.columns).unionByName(one)
 
 
 STAGES = [

@@ -544,3 +544,17 @@ def test_stages_on_odd_rows(spark, docs, empty, sf_dir):
             assert out.count() <= df.count()
             if k < 4:
                 assert out.columns == df.columns
+
+
+def test_stages_decide_row_by_row(spark, sf_dir):
+    """Null, shared and repeated ids: a text goes or stays by itself, whatever another row with its id does."""
+    leak = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(words(r["text"])) >= 10)
+    schema = "doc_id long, text string, lang string"
+    run = lambda k, rows: sorted(((r["doc_id"] or -1, r["text"]) for r in corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(rows, schema).repartition(3), sf_dir).collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+    a, b, c = (prose(s, 150, 2000) for s in (1, 2, 3))
+    near = " ".join([*a.split(" ")[:-1], "changed"])
+    assert run(3, [(None, leak, "en"), (1, leak, "en"), (1, a, "en"), (None, b, "en"), (None, None, "en")]) == want((-1, None), (-1, b), (1, a))
+    assert run(1, [(None, a, "en"), (1, a, "en"), (1, b, "en"), (2, b, "en"), (1, b, "de"), (None, c, "en"), (None, c, "en"), (3, "x y", "en"), (3, "xy", "en")]) == want((1, a), (1, b), (-1, c), (3, "x y"))
+    assert run(2, [(None, near, "en"), (7, a, "en"), (1, a, "en"), (1, b, "en"), (1, b, "en"), (9, b, "en"), (None, c, "en"), (None, c, "en"), (4, "", "en")]) == want((1, a), (1, b), (-1, c), (4, ""))
+    assert run(2, [(5, a, "en"), (5, near, "en"), (5, b, "en")]) in (want((5, a), (5, b)), want((5, near), (5, b)))
