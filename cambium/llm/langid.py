@@ -18,6 +18,10 @@ CENTROIDS = 4
 SAMPLE_ROWS = 4000
 UNKNOWN = "und"
 _ROWS_AT_ONCE = 256
+#: Length classes of texts (powers of two of their trigrams), each with a least cosine of its own, and the rows it takes to find one.
+LENGTHS = 18
+_LEAST_ROWS = 20
+CUT_CLASSES = 8
 
 
 def ngram_counts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -73,16 +77,71 @@ def spherical_clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def length_class(trigrams: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(trigrams, 1)).astype(int), 0, LENGTHS - 1)
+
+
+def least_cosines(length: np.ndarray, clean: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The least accepted cosine of each length class, from rows kept out of the fit.
+
+    clean: a row's cosine; noise: the cosine of the same counts in other buckets, which is what
+    any text of that length gets by collisions. The bound lies half way (geometrically) between the top of the
+    noise and the bottom of the clean rows of about that length, and well below the latter in any case. A class
+    with few rows near takes the bound of the next shorter one, the first classes that of the next longer.
+    """
+    klass, out = length_class(length), np.full(LENGTHS, np.nan)
+    for k in range(LENGTHS):
+        near = np.abs(klass - k) <= 1
+        if near.sum() >= _LEAST_ROWS:
+            low, high = np.quantile(clean[near], 0.01), np.quantile(noise[near], 0.99)
+            out[k] = min(np.sqrt(max(low, 0) * max(high, 0)), 0.7 * low)
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):
+        return np.full(LENGTHS, 0.1 * float(np.quantile(clean, 0.01)) if len(clean) else 0.0)
+    return out[known[np.maximum(np.searchsorted(known, np.arange(LENGTHS), "right") - 1, 0)]]
+
+
 class Model:
-    """Centroids (one a row), their languages, the idf and the least accepted cosine of each."""
+    """Centroids (one a row), their languages, the idf and the least accepted cosine of each by length class."""
 
     def __init__(self, idf: np.ndarray, centres: np.ndarray, langs: list[str], least: np.ndarray):
         self.idf, self.centres, self.langs, self.least = idf, centres, langs, least
 
 
+def _dense(rows: list[tuple], move: np.ndarray | None = None) -> np.ndarray:
+    counts = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (at, n, _) in enumerate(rows):
+        counts[i, at if move is None else move[at]] = n
+    return counts
+
+
+def fit_language(rows: list[tuple], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and least cosines of one language's rows (buckets, counts, kept out).
+
+    For the short lengths, trigrams drawn from the rows stand for short texts.
+    """
+    fitted, kept_out = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    own = spherical_clusters(unit_vectors(_dense(fitted or rows), idf), CENTROIDS)
+    rows = kept_out if len(kept_out) >= _LEAST_ROWS else rows
+    rng = np.random.default_rng(0)
+    moved = rng.permutation(BUCKETS)
+    flat = [rng.permutation(np.repeat(at, n.astype(np.int64))) for at, n, _ in rows]
+    parts = [rows]
+    for k in range(CUT_CLASSES):  # few rows are that short
+        cut = (np.unique(x[: 3 << k >> 1], return_counts=True) for x in flat if len(x) >= 2 << k)
+        parts.append([(at, n.astype(np.float32), True) for at, n in cut])
+    lengths, clean, noise = [], [], []
+    for part in parts:
+        lengths += [n.sum() for _, n, _ in part]
+        for move, out in ((None, clean), (moved, noise)):
+            out += (unit_vectors(_dense(part, move), idf) @ own.T).max(1).tolist()
+    return own, least_cosines(np.array(lengths), np.array(clean), np.array(noise))
+
+
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """train: doc_id, text, lang (not null). idf over all rows; centroids on about sample_rows of
-    them (twice that at most), the same number for each language, chosen by a hash of the row."""
+    them (twice that at most), the same number for each language, chosen by a hash of the row. A quarter
+    of those is kept out of the centroids and gives the least accepted cosines."""
     per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # one row per language
     frequency = document_frequencies(train)
     idf = np.log((1 + sum(per_lang.values())) / (1 + frequency)).astype(np.float32) + 1
@@ -93,38 +152,32 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, counts in ngram_counts(batches):
             at = [np.flatnonzero(row) for row in counts]
-            arrays = [part.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([row[a] for row, a in zip(counts, at, strict=True)], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "at", "n"])
+            arrays = [part.column(1), part.column(2), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([row[a] for row, a in zip(counts, at, strict=True)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "out", "at", "n"])
 
     if cut is not None:
-        chosen = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang")
-        found = chosen.mapInArrow(sparse, "lang string, at array<int>, n array<float>").toLocalIterator()  # a partition at a time
+        chosen = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 3).alias("out"))
+        found = chosen.mapInArrow(sparse, "lang string, out boolean, at array<int>, n array<float>").toLocalIterator()  # a partition at a time
         for row in islice(found, 2 * sample_rows):
-            by_lang[row["lang"]].append((np.array(row["at"], np.uint16), np.array(row["n"], np.float32)))
+            by_lang[row["lang"]].append((np.array(row["at"], np.uint16), np.array(row["n"], np.float32), row["out"]))
     centres, langs, least = [], [], []
     for lang, rows in by_lang.items():
         rows = [r for r in rows if len(r[0])]
         if not rows:
             continue
-        counts = np.zeros((len(rows), BUCKETS), np.float32)
-        for i, (at, n) in enumerate(rows):
-            counts[i, at] = n
-        x = unit_vectors(counts, idf)
-        own = spherical_clusters(x, CENTROIDS)
-        best = (x @ own.T).max(1)
+        own, bounds = fit_language(rows, idf)
         centres.append(own)
         langs += [lang] * len(own)
-        least += [0.1 * float(np.quantile(best, 0.01))] * len(own)
-        del counts, x
+        least += [bounds] * len(own)
     release_memory()
-    return Model(idf, np.concatenate(centres) if centres else np.zeros((0, BUCKETS), np.float32), langs, np.array(least))
+    return Model(idf, np.concatenate(centres) if centres else np.zeros((0, BUCKETS), np.float32), langs, np.array(least).reshape(-1, LENGTHS))
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str], prefix: str = "") -> DataFrame:
     """The columns of `carry`, lang_pred, score and rejected (after `prefix`) for every row of docs.
 
     lang_pred is the language of the centroid with the highest cosine, score that cosine; rows
-    with a cosine below the centroid's least are rejected (too far from all that was learned;
+    with a cosine below the centroid's least for their length are rejected (too far from all that was learned;
     texts of fewer than three bytes have no trigram and can't be far).
     Null texts and texts without a letter: `und`, 0, rejected. So is every text if no language
     was learned. Ties go to the first language by name.
@@ -139,11 +192,12 @@ def identify(docs: DataFrame, model: Model, carry: list[str], prefix: str = "")
         for part, counts in ngram_counts(batches, "__lower"):
             letters = part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
             if len(m.centres):
-                some = counts.any(1)
+                length = counts.sum(1)
+                some, klass = length > 0, length_class(length)
                 near = unit_vectors(counts, m.idf) @ m.centres.T
                 best = near.argmax(1)
                 score = np.clip(near.max(1), 0, 1).astype(np.float64)
-                rejected = ~letters | (score < m.least[best]) & some
+                rejected = ~letters | (score < m.least[best, klass]) & some
             else:
                 best, score, rejected = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
             known = letters & bool(len(m.centres))

@@ -203,6 +203,24 @@ def test_langid_rejects_what_is_far(spark, real):
     assert got["rejected"]
 
 
+def test_langid_rejects_long_foreign_text_and_junk(spark, real):
+    import base64
+
+    rng = random.Random(5)
+    cjk = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    cyrillic = lambda n: " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    far = [cjk(n) for n in (50, 300, 1000, 5000)] + [cyrillic(n) for n in (50, 500)]
+    far += [base64.b64encode(rng.randbytes(n)).decode() for n in (750, 7500)] + [rng.randbytes(n).hex() for n in (500, 5000)]
+    far.append("Kitap okumayı seven insanlar genellikle sessiz yerleri tercih ederler. Yarın sabah erken kalkmamız gerekiyor çünkü uzun bir yolculuk bizi bekliyor.")
+    clean = [r["text"] for r in real.filter("length(text) > 200 AND lang = 'en' AND text RLIKE '^[A-Za-z ,.\n]+$'").select("text").orderBy("doc_id").limit(40).collect()]
+    short = [" ".join(t.split()[:n]) for t in clean for n in (2, 5, 12)]
+    rows = [(10**6 + i, t, None) for i, t in enumerate(far + short)]
+    df = real.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"] - 10**6: r["rejected"] for r in langid.language_id(df).filter("doc_id >= 1000000").collect()}
+    assert all(got[i] for i in range(len(far)))
+    assert clean and sum(got[i] for i in range(len(far), len(rows))) <= 0.03 * len(short)
+
+
 # -- 4 ------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
