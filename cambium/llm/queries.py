@@ -27,4 +27,5 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
+    "op7_secret_scan": secret_scan.ORACLE_SQL,
 }
