@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -20,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Only a local session, whose executors are threads of this process, gets one of its own where none is
+    set; on a cluster that is an error, since a machine's own folder would lose rows.
+    """
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
-        known = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cambium-")
-        spark.sparkContext.setCheckpointDir(known)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cambium-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
 
@@ -51,6 +57,22 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def least_hashed(df: DataFrame, key: str, group: str, quota: int) -> DataFrame:
+    """(group, key) of the `quota` keys of each group whose hashes are the least; ties by the key itself.
+
+    The 64-bit hashes are compared with quota / rows of the group, with room for 64 more, so that only about
+    twice the quota is shuffled and sorted for each group, however many rows there are, and never none. A
+    group's distinct keys are counted by a sketch; that many rows may share a key doesn't matter. Null keys
+    and groups are left out.
+    """
+    known = df.select(F.col(group).alias("group"), F.col(key).alias("key")).dropna()
+    sizes = known.groupBy("group").agg(F.approx_count_distinct("key", 0.02).alias("n"))
+    hashed = known.withColumn("h", F.xxhash64("key", F.lit(29))).join(F.broadcast(sizes), "group")  # a row a group
+    near = hashed.filter(F.col("h") / F.lit(float(1 << 63)) <= 2.0 * (2 * quota + 64) / F.col("n") - 1).distinct()
+    place = F.row_number().over(Window.partitionBy("group").orderBy("h", "key"))
+    return near.withColumn("place", place).filter(F.col("place") <= quota).select(F.col("group").alias(group), F.col("key").alias(key))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; one pass over the text column."""
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

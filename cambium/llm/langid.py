@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, release_memory, text_slices
+from .common import crc_fold, least_hashed, release_memory, text_slices
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -139,14 +138,14 @@ def fit_language(rows: list[tuple], idf: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """train: doc_id, text, lang (not null). idf over all rows; centroids on about sample_rows of
-    them (twice that at most), the same number for each language, chosen by a hash of the row. A quarter
-    of those is kept out of the centroids and gives the least accepted cosines."""
+    """train: doc_id, text, lang (not null). idf over all rows; centroids on sample_rows documents at
+    most, the same number for each language (one at least), those with the least hashes of their doc_id. A quarter
+    of those is kept out of the centroids and gives the least accepted cosines. Of rows that share doc_id
+    and lang the one with the least text hash is taken; null doc_ids count for the idf only."""
     per_lang = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # one row per language
     frequency = document_frequencies(train)
     idf = np.log((1 + sum(per_lang.values())) / (1 + frequency)).astype(np.float32) + 1
-    quota = sample_rows // max(len(per_lang), 1)
-    cut = F.create_map(*(x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(round(min(1.0, quota / n) * 1_000_000))))) if per_lang else None
+    quota = max(1, sample_rows // max(len(per_lang), 1))
     by_lang: dict[str, list] = {lang: [] for lang in sorted(per_lang)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +154,12 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             arrays = [part.column(1), part.column(2), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([row[a] for row, a in zip(counts, at, strict=True)], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "out", "at", "n"])
 
-    if cut is not None:
-        chosen = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < cut[F.col("lang")]).select("text", "lang", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 3).alias("out"))
+    if per_lang:
+        picked = F.broadcast(least_hashed(train, "doc_id", "lang", quota))  # quota bounds it
+        one = train.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        chosen = one.select("text", "lang", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 3).alias("out"))
         found = chosen.mapInArrow(sparse, "lang string, out boolean, at array<int>, n array<float>").toLocalIterator()  # a partition at a time
-        for row in islice(found, 2 * sample_rows):
+        for row in found:
             by_lang[row["lang"]].append((np.array(row["at"], np.uint16), np.array(row["n"], np.float32), row["out"]))
     centres, langs, least = [], [], []
     for lang, rows in by_lang.items():
