@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import cambium.llm.ngram_join as ngram_module
@@ -221,6 +222,51 @@ def test_langid_rejects_long_foreign_text_and_junk(spark, real):
     assert clean and sum(got[i] for i in range(len(far), len(rows))) <= 0.03 * len(short)
 
 
+def test_langid_by_dense_vectors(real):
+    """Row by row against trigram counts, idf, cosines and the nearest centroid written out."""
+    import numpy as np
+
+    rows = real.select("doc_id", F.lower("text").alias("text"), "lang").collect()
+    fold = lambda d: zlib.crc32(str(d).encode()) % 4
+    learned = real.filter(F.col("lang").isNotNull() & (langid.crc_fold(F.col("doc_id"), 4) != 2)).select("doc_id", F.lower("text").alias("text"), "lang")
+    model = langid.fit(learned)
+
+    def counts(text):
+        raw, out = text.encode(), np.zeros(langid.BUCKETS)
+        for i in range(len(raw) - 2):
+            out[(int.from_bytes(raw[i : i + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 19] += 1
+        return out
+
+    every = {r["doc_id"]: counts(r["text"] or "") for r in rows}
+    n = sum(1 for r in rows if r["lang"] and fold(r["doc_id"]) != 2)
+    frequency = sum((every[r["doc_id"]] > 0) for r in rows if r["lang"] and fold(r["doc_id"]) != 2)
+    idf = np.log((1 + n) / (1 + frequency)) + 1
+    assert np.allclose(model.idf, idf, rtol=1e-5) and len(model.centres) == langid.CENTROIDS * len(set(model.langs))
+    got = {r["doc_id"]: r for r in langid.language_id(real).collect()}
+    for r in rows:
+        x = np.sqrt(every[r["doc_id"]]) * idf
+        cosines = model.centres @ (x / max(np.linalg.norm(x), 1e-12))
+        best = int(cosines.argmax())
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            continue
+        assert abs(got[r["doc_id"]]["score"] - min(max(cosines[best], 0), 1)) < 1e-4
+        near = np.sort(cosines)[-2:]
+        assert got[r["doc_id"]]["lang_pred"] == model.langs[best] or near[1] - near[0] < 1e-5
+
+
+def test_sample_never_vanishes(spark):
+    """Quotas far below one in a million, shared and null keys: exactly the least hashes of each group."""
+    from cambium.llm.common import least_hashed
+
+    keys = spark.range(3_000_000).selectExpr("id AS key", "CASE WHEN id % 1000 = 0 THEN 'rare' ELSE 'common' END AS lang")
+    more = spark.range(50_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS key", "'common' AS lang")
+    got = collections.Counter(r["lang"] for r in least_hashed(keys.unionByName(more), "key", "lang", 2).collect())
+    assert got == {"rare": 2, "common": 2}
+    want = {lang: {r["key"] for r in keys.filter(F.col("lang") == lang).orderBy(F.xxhash64("key", F.lit(29))).limit(2).collect()} for lang in got}
+    assert {lang: {r["key"] for r in least_hashed(keys, "key", "lang", 2).collect() if r["lang"] == lang} for lang in got} == want
+    assert least_hashed(keys.limit(0), "key", "lang", 2).isEmpty()
+
+
 # -- 4 ------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -462,6 +508,86 @@ def test_toxicity_is_fair():
     assert gap[5.0] < 0.2 * gap[0.0]
 
 
+def test_toxicity_by_dense_matrix(spark, real, sf_dir):
+    """Row by row against the same regression on a dense matrix of words, kept by a plain dict."""
+    import numpy as np
+
+    labels = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    texts = dict(pairs(real))
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words_of = {d: set(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", lower(t))) for d, t in texts.items()}
+    every = sorted(set().union(*words_of.values()))
+    place = dict(zip(every, toxicity.TERMS.place(toxicity._hash_words(every)).tolist(), strict=True))
+    sets = {d: {place[w] for w in ws} for d, ws in words_of.items()}
+    train = [d for d in sorted(texts) if d in labels and zlib.crc32(str(d).encode()) % 5]
+    y = np.array([labels[d] for d in train], float)
+    n, n1 = len(y), y.sum()
+    count, hits = collections.Counter(w for d in train for w in sets[d]), collections.Counter(w for d in train if labels[d] for w in sets[d])
+
+    def telling(w):
+        p = count[w] / n
+        error = (max(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1))) ** 0.5
+        return count[w] >= 3 and abs(hits[w] / n1 - (count[w] - hits[w]) / (n - n1)) >= toxicity.LEAST_Z * error
+
+    columns = sorted({w for w in count if telling(w)} | set(toxicity.TERMS.swap))
+    at = {w: i for i, w in enumerate(columns)}
+    x = np.zeros((n, len(columns)))
+    for i, d in enumerate(train):
+        for w in sets[d] & set(columns):
+            x[i, at[w]] = 1
+    to = np.arange(len(columns))
+    for a, b in toxicity.TERMS.swap.items():
+        to[at[a]] = at[b]
+    shift = np.zeros_like(x)
+    for j, k in enumerate(to):
+        if j != k:
+            shift[:, k] += x[:, j]
+            shift[:, j] -= x[:, j]
+    weight = np.where(y > 0, np.sqrt((n - n1) / n1), 1.0)
+    w, m1, m2 = np.zeros(len(columns) + 1), 0.0, 0.0
+    for step in range(1, 251):
+        wrong = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y) * weight / n
+        grad = np.append(x.T @ wrong + 2 * 0.05 / n * w[:-1] + shift.T @ (shift @ w[:-1]) * 2 / n, wrong.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        w = w - 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(real, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    for d in texts:
+        score = 1 / (1 + np.exp(-(w[-1] + sum(w[at[p]] for p in sets[d] if p in at))))
+        assert abs(got[d]["score"] - score) < 1e-6, d
+
+
+def test_identity_terms_have_places_of_their_own():
+    import numpy as np
+
+    terms = toxicity.TERMS
+    words = [w for lists in toxicity.IDENTITY_TERMS.values() for kind in lists for w in kind]
+    own = set(terms.place(toxicity._hash_words(words)).tolist())
+    assert len(own) == len(set(words)) and own == set(terms.swap)
+    others = [f"w{i}" for i in range(400_000)]
+    placed = terms.place(toxicity._hash_words(others))
+    assert not own & set(placed.tolist()) and (placed >= 1 << toxicity.BITS).any() and placed.max() < terms.places
+    assert np.array_equal(toxicity.Terms({}).place(toxicity._hash_words(["men"])), toxicity._hash_words(["men"]) >> np.uint64(64 - toxicity.BITS))
+
+
+@pytest.mark.parametrize("language", ["en", "de", "fr", "es"])
+def test_neutral_mentions_on_the_real_tables(spark, real, sf_dir, language):
+    """The labelled tables hold no identity term, so mentions are written into their texts: one group is
+    mentioned in nearly all toxic texts and in few others. The penalty lowers false alarms on the neutral ones."""
+    one, other = toxicity.IDENTITY_TERMS[language][3][1], toxicity.IDENTITY_TERMS[language][3][0]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(100))
+    group = F.when(share < F.when(F.col("toxic") > 0, 95).otherwise(5), one).otherwise(other)
+    # a third of the toxic texts lose their insults, so that the group is the better sign
+    text = F.when((F.col("toxic") > 0) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0), F.lit("den des les")).otherwise(F.col("text"))
+    known = real.join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", F.concat_ws(" ", text, group).alias("text"), "toxic")
+    neutral = real.join(labels.filter("toxic = 0").select("doc_id"), "doc_id").select("doc_id", F.concat_ws(" ", "text", F.lit(one)).alias("text"))
+    alarms = {}
+    for penalty in (0.0, 20.0):
+        model = toxicity.fit(known.select("doc_id", "text"), labels, penalty=penalty)
+        alarms[penalty] = toxicity.score(neutral, model, ["doc_id"]).agg(F.avg("score")).first()[0]
+    assert alarms[20.0] < 0.7 * alarms[0.0], alarms
+
+
 # -- 10 -----------------------------------------------------------------------------------------
 
 
@@ -528,6 +654,30 @@ def test_components(spark):
     assert got == {n: c for n, c in parent.items() if any(n in e and e[0] != e[1] for e in edges)}
 
 
+@pytest.mark.parametrize("shape", ["rising", "falling", "zigzag"])
+def test_components_take_few_rounds(spark, monkeypatch, shape):
+    import cambium.llm.components as module
+
+    n, calls = 1000, []
+    ids = {"rising": list(range(n)), "falling": list(range(n))[::-1], "zigzag": [i // 2 if i % 2 else n - 1 - i // 2 for i in range(n)]}[shape]
+    real_stored = module.stored
+    monkeypatch.setattr(module, "stored", lambda df: calls.append(1) or real_stored(df))
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")).collect()
+    assert {r["component"] for r in got} == {0} and len(got) == n
+    assert len(calls) <= 2 * 16 + 6  # two tables a round
+
+
+def test_shared_folder_is_set_on_clusters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cambium.llm import common
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
+
+
 def test_stored_tables_are_dropped(spark):
     from cambium.llm.common import drop_stored, shared_dir, stored
 
