@@ -35,11 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+def stored(df: DataFrame, *more: DataFrame) -> DataFrame:
+    """Cut the lineage: write df, and others of its columns after it, as Parquet in the shared folder and read all back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for part in (df, *more):
+        part.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
