@@ -163,9 +163,6 @@ def trie_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[t
     """
     m, out = len(sets), []
     sizes = np.array([len(s) for s in sets])
-    if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= PERCENT * (sizes.sum() - both) else []
     label = np.arange(m)
     klass = np.floor(np.log(sizes) / np.log(1.0001 * 100 / PERCENT)).astype(int)
     sides = [None] if side is None or len(np.unique(side)) < 2 else np.unique(side).tolist()
