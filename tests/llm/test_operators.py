@@ -340,6 +340,20 @@ def test_exact_dedup(docs, real, empty, bits):
     assert exact_dedup.exact_dedup(empty).isEmpty()
 
 
+def test_exact_dedup_in_rounds(docs, real):
+    """More bits than one broadcast may have: the same rows, the filter is only sent in parts."""
+    for df in (docs, real):
+        got = collections.Counter(tuple(r) for r in exact_dedup.exact_dedup(df, bits_per_row=16384, most_bits=exact_dedup.BITMAP_BITS).collect())
+        assert got == brute_copies(pairs(df))
+
+
+def test_exact_dedup_of_the_least_id(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "a b"), (5, "a b"), (None, "ab"), (6, "c")], "doc_id long, text string")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {(least, least, 3, True), (5, least, 3, False), (None, least, 3, False), (6, 6, 1, True)}
+
+
 # -- 6 ------------------------------------------------------------------------------------------
 
 
