@@ -373,6 +373,22 @@ def dice(a, b):
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
 
 
+def brute_licenses(text, anchors):
+    """Ids within 0.8 of a line, of the whole text, or of a window of the template's size that an anchor aligns."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    own, out = words(text), set()
+    for name, template in license_scan.TEMPLATES.items():
+        w = words(template)
+        segments = [text, *text.split("\n")]
+        for i in range(len(own) - 1):
+            for gram, at in anchors[name]:
+                if f"{own[i]} {own[i + 1]}" == gram:
+                    segments.append(" ".join(own[max(i - at, 0) : max(i - at + len(w), 0)]))
+        if any(dice(x, template) >= 0.8 for x in segments):
+            out.add(name)
+    return ",".join(sorted(out))
+
+
 def test_license_scan_misses_nothing(spark):
     rng = random.Random(5)
     rows = []
@@ -383,8 +399,27 @@ def test_license_scan_misses_nothing(spark):
             w[k : k + 1] = rng.choice([[], ["more"], [w[k], "or", "so"], [w[k]]])
         rows.append((i, " ".join(w)))
     got = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    anchors = license_scan.Pack.of(license_scan.TEMPLATES, 0.8).anchors
     for i, text in rows:
-        assert got[i] == ",".join(sorted(k for k, v in license_scan.TEMPLATES.items() if dice(text, v) >= 0.8)), text
+        whole = {k for k, v in license_scan.TEMPLATES.items() if dice(text, v) >= 0.8}
+        assert whole <= set(got[i].split(",")), text
+        assert got[i] == brute_licenses(text, anchors), text
+
+
+def test_licenses_inside_longer_files(spark):
+    """Wrapped over lines, behind comment marks, inside a sentence, in the middle of code; and none in prose."""
+    import textwrap
+
+    names = ["MIT-text", "BSD-3-Clause-text", "Apache-2.0-notice", "GPL-3.0-notice", "ISC-text", "Zlib-text", "GPL-3.0-header", "BSD-3-Clause", "MPL-2.0-notice"]
+    rows = []
+    for i, name in enumerate(names):
+        lines = textwrap.wrap(" ".join(license_scan.TEMPLATES[name].split()), 60)
+        rows.append((i, prose(i, 300) + "\n" + "\n".join(f"/* {x}" for x in lines) + "\n" + prose(50 + i, 300)))
+    rows += [(100, "Foo library for parsing dates. Released under the MIT License. See the docs."), (101, prose(7, 4000)), (102, "the software is provided with a license and " * 3000), (103, "mit license " * 20_000)]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, name in enumerate(names):
+        assert name in got[i]["licenses"].split(","), name
+    assert got[100]["licenses"] == "MIT" and got[100]["best_dice"] == 1.0 and got[101]["licenses"] == got[102]["licenses"] == got[103]["licenses"] == ""
 
 
 # -- 7 ------------------------------------------------------------------------------------------
