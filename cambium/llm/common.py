@@ -58,20 +58,41 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def least_hashed(df: DataFrame, key: str, group: str, quota: int) -> DataFrame:
+def least_hashed(df: DataFrame, key: str, group: str | None, quota: int) -> DataFrame:
     """(group, key) of the `quota` keys of each group whose hashes are the least; ties by the key itself.
 
     The 64-bit hashes are compared with quota / rows of the group, with room for 64 more, so that only about
     twice the quota is shuffled and sorted for each group, however many rows there are, and never none. A
     group's distinct keys are counted by a sketch; that many rows may share a key doesn't matter. Null keys
-    and groups are left out.
+    and groups are left out. Without a group, all keys are one.
     """
-    known = df.select(F.col(group).alias("group"), F.col(key).alias("key")).dropna()
-    sizes = known.groupBy("group").agg(F.approx_count_distinct("key", 0.02).alias("n"))
-    hashed = known.withColumn("h", F.xxhash64("key", F.lit(29))).join(F.broadcast(sizes), "group")  # a row a group
-    near = hashed.filter(F.col("h") / F.lit(float(1 << 63)) <= 2.0 * (2 * quota + 64) / F.col("n") - 1).distinct()
-    place = F.row_number().over(Window.partitionBy("group").orderBy("h", "key"))
-    return near.withColumn("place", place).filter(F.col("place") <= quota).select(F.col("group").alias(group), F.col("key").alias(key))
+    names = [group, key] if group else [key]
+    known = df.select(*names).dropna().withColumn("h", F.xxhash64(key, F.lit(29)))
+    distinct = F.approx_count_distinct(key, 0.02).alias("n")
+    if group:
+        known, n = known.join(F.broadcast(known.groupBy(group).agg(distinct)), group), F.col("n")  # a row a group
+    else:
+        n = F.lit(known.agg(distinct).first()[0] or 1)
+    near = known.filter(F.col("h") / F.lit(float(1 << 63)) <= 2.0 * (2 * quota + 64) / n - 1).select(*names, "h").distinct()
+    if not group:
+        return near.orderBy("h", key).limit(quota).select(key)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("h", key))
+    return near.withColumn("place", place).filter(F.col("place") <= quota).select(*names)
+
+
+def tagged(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with h, the hash of its text, and at, a number of its row; to be stored before one_row_each."""
+    return df.withColumn("h", F.xxhash64(text)).withColumn("at", F.monotonically_increasing_id())
+
+
+def one_row_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of a stored table for each of its few keys: that of the least h, and of equal ones any.
+
+    Only numbers are grouped, so that no text is sorted; the keys, which the caller bounds, are broadcast.
+    """
+    least = df.groupBy(*keys).agg(F.min("h").alias("h"))
+    first = df.select(*keys, "h", "at").join(F.broadcast(least), [*keys, "h"]).groupBy(*keys).agg(F.min("at").alias("at"))
+    return df.join(F.broadcast(first.select("at")), "at", "left_semi")
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, least_hashed, release_memory, text_slices
+from .common import crc_fold, least_hashed, one_row_each, release_memory, stored, tagged, text_slices
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -151,19 +151,21 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, counts in ngram_counts(batches):
             at = [np.flatnonzero(row) for row in counts]
-            arrays = [part.column(1), part.column(2), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([row[a] for row, a in zip(counts, at, strict=True)], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "out", "at", "n"])
+            arrays = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "lang", "h", "at")]
+            arrays += [pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([row[a] for row, a in zip(counts, at, strict=True)], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang", "h", "at", "places", "n"])
 
     if per_lang:
         picked = F.broadcast(least_hashed(train, "doc_id", "lang", quota))  # quota bounds it
-        one = train.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        chosen = one.select("text", "lang", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)) == 3).alias("out"))
-        found = chosen.mapInArrow(sparse, "lang string, out boolean, at array<int>, n array<float>").toLocalIterator()  # a partition at a time
+        kind = train.schema["doc_id"].dataType.simpleString()
+        matched = tagged(train.select("doc_id", "text", "lang").join(picked, ["doc_id", "lang"]))
+        every = stored(matched.mapInArrow(sparse, f"doc_id {kind}, lang string, h long, at long, places array<int>, n array<float>"))
+        found = one_row_each(every, ["doc_id", "lang"]).select("lang", F.xxhash64("h", "doc_id").alias("order"), "places", "n").toLocalIterator()  # a partition at a time
         for row in found:
-            by_lang[row["lang"]].append((np.array(row["at"], np.uint16), np.array(row["n"], np.float32), row["out"]))
+            by_lang[row["lang"]].append((np.array(row["places"], np.uint16), np.array(row["n"], np.float32), row["order"] % 4 == 3, row["order"]))
     centres, langs, least = [], [], []
     for lang, rows in by_lang.items():
-        rows = [r for r in rows if len(r[0])]
+        rows = [r[:3] for r in sorted(rows, key=lambda r: r[3]) if len(r[0])]
         if not rows:
             continue
         own, bounds = fit_language(rows, idf)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, crc_fold, least_hashed, stored, text_slices, word_bounds, word_hashes
+from .common import LOWER, U64, crc_fold, least_hashed, one_row_each, stored, tagged, text_slices, word_bounds, word_hashes
 
 BITS = 18
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -185,19 +185,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pena
     Of several texts of one doc_id the one with the least hash is taken. Words are counted and chosen
     where the texts are, so the driver gets a count for each place and the telling words of each row only.
     """
-    known = labels.filter(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), 5) != 0)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.lit(0).alias("all"))
-    picked = F.broadcast(least_hashed(known, "doc_id", "all", sample_rows).select("doc_id"))  # sample_rows bounds it
+    known = labels.filter(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), 5) != 0)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    picked = F.broadcast(least_hashed(known, "doc_id", None, sample_rows))  # sample_rows bounds it
     chosen = F.broadcast(known.join(picked, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_slices(batches):
             words, cuts = word_sets(data, offsets, terms)
             lists = [words[lo:hi].astype(np.int32) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "toxic", "words"])
+            kept_ = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "toxic", "h", "at")]
+            yield pa.RecordBatch.from_arrays([*kept_, pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "toxic", "h", "at", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
-    labelled = stored(one.select("doc_id", "text", "toxic").mapInArrow(sets, f"doc_id {kind}, toxic int, words array<int>"))
+    matched = tagged(docs.select("doc_id", "text").join(chosen, "doc_id"))
+    every = stored(matched.mapInArrow(sets, f"doc_id {kind}, toxic int, h long, at long, words array<int>"))
+    labelled = stored(one_row_each(every, ["doc_id"]).select("doc_id", "toxic", "words"))
     sizes = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     telling = np.ones(terms.places, bool)
     if 0 < sizes["toxic"] < sizes["n"]:
@@ -211,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pena
             lists = [x[telling[x]] for x in part.column(2).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "toxic", "words"])
 
-    got = labelled.mapInArrow(kept, labelled.schema).orderBy("doc_id").toPandas()
+    got = labelled.mapInArrow(kept, labelled.schema).toPandas().sort_values("doc_id")
     return fit_weights([np.asarray(x, np.int64) for x in got["words"]], got["toxic"].to_numpy(float), penalty, terms=terms)
 
 
