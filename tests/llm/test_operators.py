@@ -713,7 +713,7 @@ def test_components_take_few_rounds(spark, monkeypatch, shape):
     monkeypatch.setattr(module, "stored", lambda df: calls.append(1) or real_stored(df))
     got = components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")).collect()
     assert {r["component"] for r in got} == {0} and len(got) == n
-    assert len(calls) <= 2 * 16 + 6  # two tables a round
+    assert len(calls) <= 2 * 26 + 8  # two tables a round, 2 log n rounds and some
 
 
 def test_shared_folder_is_set_on_clusters(spark, monkeypatch):
