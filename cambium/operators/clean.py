@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions import expr as X
+from cambium.sources.scratch import kept
 
 from .model import CELL_MEASURES, RING_KEY, RING_MEASURES, Measurements, require
+from .tables import head_lines
 
 #: Fixed: ratio of wall to lumen above which a cell counts as latewood.
 MORK = 1.0
@@ -17,6 +19,7 @@ ROLLING = 9
 #: Fixed: fewest cells and least width (micrometres) of a ring that isn't missing.
 LEAST_CELLS = 5
 LEAST_WIDTH = 10.0
+#: Fixed: helper columns that only a verbose result keeps.
 HELPER_COLUMNS = [
     "innermost_ring", "outermost_ring", "mae", "medYleft", "medYright", "mindist",
     "incomplete_inner", "incomplete_innerv2", "incomplete_fct_check", "no_MRW_other",
@@ -155,15 +158,19 @@ def dating_issues(log: DataFrame, meta: DataFrame, current_year: int) -> DataFra
     return dated.select(*RING_KEY, issues.alias("issues")).filter("issues <> ''")
 
 
+def dating_lines(issues: DataFrame, shown: int = 9) -> list[str]:
+    """The first issues as text, and "..." if there are more."""
+    return head_lines(issues, F.concat("image_label", F.lit(", "), F.coalesce(F.col("year").cast("string"), F.lit("None")), F.lit(": "), "issues"), ["image_label", "year"], shown)
+
+
 class DatingError(ValueError):
     """Raised for rings with doubtful dates."""
 
 
 def assert_dated(log: DataFrame, meta: DataFrame, current_year: int, shown: int = 9) -> None:
-    found = dating_issues(log, meta, current_year).orderBy("image_label", "year").limit(shown + 1).collect()
-    if found:
-        lines = [f"{r['image_label']}, {r['year']}: {r['issues']}" for r in found[:shown]]
-        raise DatingError("rings with dating issues:\n" + "\n".join(lines + ["..."] * (len(found) > shown)))
+    lines = dating_lines(dating_issues(log, meta, current_year), shown)
+    if lines:
+        raise DatingError("rings with dating issues:\n" + "\n".join(lines))
 
 
 # -- incomplete innermost rings -----------------------------------------------------------------
@@ -268,17 +275,26 @@ def flag_duplicate_rings(log: DataFrame) -> DataFrame:
 
 
 def validated_rings(data: Measurements, meta: DataFrame, verbose: bool = False) -> DataFrame:
-    """All flags in order, without the fatal dating check."""
-    log = complete_rings_log(data)
-    flagged = flag_duplicate_rings(flag_missing_rings(flag_incomplete_rings(log, data.cells, meta)))
+    """All flags in order, without the fatal dating check.
+
+    The rings log, a row a ring, is written to the shared folder once, so that the cells are read for it and
+    for the innermost rings only, however often the log is used.
+    """
+    log = kept(complete_rings_log(data), "log")
+    return _flagged(log, data.cells, meta, verbose)
+
+
+def _flagged(log: DataFrame, cells: DataFrame, meta: DataFrame, verbose: bool) -> DataFrame:
+    flagged = flag_duplicate_rings(flag_missing_rings(flag_incomplete_rings(log, cells, meta)))
     flagged = flagged.withColumn("exclude_issues", F.col("incomplete_ring") | F.col("missing_ring")).drop("mean_cwttan")
     return flagged if verbose else flagged.drop(*HELPER_COLUMNS)
 
 
 def validate_measurements(data: Measurements, meta: DataFrame, current_year: int, verbose: bool = False) -> Measurements:
     """Raises DatingError for doubtful dates; else the cells as they are and the flagged rings."""
-    assert_dated(complete_rings_log(data), meta, current_year)
-    return Measurements(data.cells, validated_rings(data, meta, verbose))
+    log = kept(complete_rings_log(data), "log")
+    assert_dated(log, meta, current_year)
+    return Measurements(data.cells, _flagged(log, data.cells, meta, verbose))
 
 
 def issue_counts(rings: DataFrame, flags: list[str]) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .model import RING_KEY, require
+from .tables import arranged
 
 #: Fixed: flag columns of the ring editor.
 DISCRETE_FEATURES = ["blue_ring", "frost_ring", "light_ring", "iadf", "traum_resin_ducts", "trabeculae", "other_discrete"]
@@ -39,6 +41,26 @@ def apply_edits(rings: DataFrame, edits: DataFrame, order: str = "edit_nr") -> D
     return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in rings.columns))
 
 
+def undo_edits(edits: DataFrame, last: int, order: str = "edit_nr") -> DataFrame:
+    """The edits up to the one numbered `last`; 0 leaves none, which is the input again."""
+    return edits.filter(F.col(order) <= last)
+
+
+def commit_edits(rings: DataFrame, edits: DataFrame, path: str, order: str = "edit_nr") -> DataFrame:
+    """Writes the edited rings, by woodpiece and year, and reads them back: from here on they are the input."""
+    merged = apply_edits(rings, edits, order)
+    arranged(merged, ["woodpiece_label", "year", "image_label"]).write.mode("overwrite").parquet(path)
+    return rings.sparkSession.read.schema(merged.schema).parquet(path)
+
+
+#: Kinds that columns of an editor's input must have.
+RING_KINDS = {
+    **dict.fromkeys(["woodpiece_label", "slide_label", "image_label", "other_reason"], "string"),
+    **dict.fromkeys(["year", "cno", "mrw", "duplicate_rank"], "number"),
+    **dict.fromkeys(["incomplete_ring", "missing_ring", "duplicate_ring", "duplicate_sel", "other_issues"], "boolean"),
+}
+
+
 def inconsistent_exclusions(rings: DataFrame) -> DataFrame:
     """Rings with a flag that should exclude them, but that aren't excluded: key and the flags."""
     flags = F.concat_ws(", ", *(F.when(F.col(c), F.lit(c)) for c in SHOULD_EXCLUDE if c in rings.columns))
@@ -78,7 +100,7 @@ def flag_checks(rings: DataFrame) -> DataFrame:
 
 
 def ring_table_issues(rings: DataFrame) -> DataFrame:
-    """(issue, n) of an editor's input: nulls in the key and flags, repeated keys, duplicates without rank or the reverse."""
+    """(issue, n) of an editor's input: columns of a wrong kind, nulls in the key and flags, repeated keys, duplicates without rank or the reverse."""
     required = ["woodpiece_label", "slide_label", *RING_KEY, "incomplete_ring", "missing_ring", "duplicate_ring"]
     require(rings, required, "ring_table_issues")
     nulls = rings.agg(*(F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in required)).unpivot([], [f"null {c}" for c in required], "issue", "n")
@@ -88,6 +110,10 @@ def ring_table_issues(rings: DataFrame) -> DataFrame:
         ranked = F.col("duplicate_rank").isNotNull() & F.col("duplicate_sel").isNotNull()
         odd = rings.agg(F.count_if(F.col("duplicate_ring") != ranked).alias("n")).select(F.lit("rank of duplicates").alias("issue"), "n")
         out = out.unionByName(odd)
+    kind = lambda t: "string" if isinstance(t, T.StringType) else "boolean" if isinstance(t, T.BooleanType) else "number" if isinstance(t, T.NumericType) else "other"
+    wrong = [c for c, k in RING_KINDS.items() if c in rings.columns and kind(rings.schema[c].dataType) != k]
+    if wrong:
+        out = out.unionByName(rings.sparkSession.createDataFrame([(f"type of {c}", 1) for c in wrong], "issue string, n long"))
     return out.filter("n > 0")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.functions import expr as X
+from cambium.sources.scratch import kept
 
 from .model import RING_KEY, require
 
@@ -52,10 +53,10 @@ def chronology_series(rings: DataFrame, param: str, profiles: DataFrame | None =
 def biweight(values: DataFrame, keys: list[str], param: str, c: float = 9.0, tiny: float = 1e-6) -> DataFrame:
     """Tukey's biweight robust mean of each group, nulls left out: keys and `value`.
 
-    The median, the median deviation and the weighted mean are three groupings; their small
-    results are joined back, so no group's rows have to meet in one task.
+    The median, the median deviation and the weighted mean are three groupings over values that are
+    written once; their small results are joined back, so no group's rows have to meet in one task.
     """
-    known = values.dropna(subset=keys).filter(F.col(param).isNotNull() & ~F.isnan(param)).select(*keys, F.col(param).cast("double").alias("x"))
+    known = kept(values.dropna(subset=keys).filter(F.col(param).isNotNull() & ~F.isnan(param)).select(*keys, F.col(param).cast("double").alias("x")), "values")
     median = lambda c: F.percentile(c, F.lit(0.5))
     centred = known.join(known.groupBy(*keys).agg(median(F.col("x")).alias("m")), keys)
     spread = centred.join(centred.groupBy(*keys).agg(median(F.abs(F.col("x") - F.col("m"))).alias("s")), keys)

@@ -5,23 +5,23 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cambium.functions import expr as X
 
 #: Fixed: parts of an image's name, from the site down.
 PARTS = ["site", "species", "tree", "woodpiece", "slide", "image"]
-DEFAULT_PATTERN = (
-    r"(?<site>[:alnum:]+)_(?<species>[:alnum:]+)_(?<tree>[:alnum:]{2})(?<woodpiece>[:alnum:]?)_(?<slide>[:alnum:]+)_(?<image>[:alnum:]+)"
-)
+#: Fixed: the default pattern of image names.
+DEFAULT_PATTERN = "(?<site>[:alnum:]+)_(?<species>[:alnum:]+)_(?<tree>[:alnum:][:alnum:])(?<woodpiece>[:alnum:]*)_(?<slide>[:alnum:]+)_(?<image>[:alnum:]+)"
 LABELS = ["tree_label", "woodpiece_label", "slide_label", "image_label"]
 DATE_FORMATS = ("d.M.yyyy H:mm:ss", "d/M/yyyy H:mm")
 
 
 def java_pattern(pattern: str) -> str:
     """POSIX classes outside brackets, as some dialects allow, in the form that Java has."""
-    return re.sub(r"(?<!\[)\[:(\w+):\](?!\])", lambda m: {"alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "digit": r"\p{Digit}"}[m[1]], pattern)
+    return re.sub(r"(?<!\[)\[:(\w+):\](?!\])", lambda m: {"alnum": r"[\p{IsAlphabetic}\p{IsDigit}]", "alpha": r"\p{IsAlphabetic}", "digit": r"\p{IsDigit}"}[m[1]], pattern)
 
 
 def group_names(pattern: str) -> list[str]:
@@ -36,8 +36,8 @@ def readable(pattern: str) -> str:
 def structure_from_names(names: DataFrame, pattern: str = DEFAULT_PATTERN, site: str | None = None, species: str | None = None, column: str = "name") -> DataFrame:
     """Adds the parts and labels that the names spell: site_label, species_code and LABELS.
 
-    The first match anywhere in a name counts; names that don't match have null in `matched`.
-    Labels join the parts above them by `_`, leaving out absent ones.
+    The first match anywhere in a name counts; names that don't match have null in `matched` and
+    in all parts and labels. Labels join the parts above them by `_`, leaving out absent ones.
     """
     groups = group_names(pattern)
     if site is None and "site" not in pattern:
@@ -51,11 +51,11 @@ def structure_from_names(names: DataFrame, pattern: str = DEFAULT_PATTERN, site:
     constant = {"site": site, "species": species}
     for part in PARTS:
         value = F.nullif(F.regexp_extract(column, regex, groups.index(part) + 1), F.lit("")) if part in groups else F.lit(constant.get(part)).cast("string")
-        df = df.withColumn(f"part_{part}", value)
+        df = df.withColumn(f"part_{part}", F.when(F.col("matched").isNotNull(), value))
     above = [F.col("part_site"), F.col("part_species"), F.col("part_tree")]
-    df = df.withColumn("tree_label", F.concat_ws("_", *above))
+    df = df.withColumn("tree_label", F.when(F.col("matched").isNotNull(), F.concat_ws("_", *above)))
     for upper, part in (("tree", "woodpiece"), ("woodpiece", "slide"), ("slide", "image")):
-        df = df.withColumn(f"{part}_label", F.concat_ws("_", f"{upper}_label", f"part_{part}"))
+        df = df.withColumn(f"{part}_label", F.when(F.col("matched").isNotNull(), F.concat_ws("_", f"{upper}_label", f"part_{part}")))
     return df.select(*names.columns, "matched", F.col("part_site").alias("site_label"), F.col("part_species").alias("species_code"), *LABELS)
 
 
@@ -91,6 +91,18 @@ def hierarchy_counts(meta: DataFrame) -> dict[str, DataFrame]:
     return {k: meta.groupBy(*keys).agg(X.distinct_with_null(F.col(c)).cast("long").alias(n)) for k, (keys, c, n) in levels.items()}
 
 
+def padded(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
+    """df with exactly the columns of a table's schema, typed; absent ones are null."""
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
+
+
+def hierarchy_tables(meta: DataFrame, schemas: dict[str, dict[str, T.DataType]], species: DataFrame) -> dict[str, DataFrame]:
+    """The hierarchy counts as tables of their schemas (site, tree, woodpiece and slide); trees with their species' traits."""
+    out = {name: padded(df, schemas[name]) for name, df in hierarchy_counts(meta).items()}
+    out["tree"] = enrich_species(out["tree"], species).select(*schemas["tree"])
+    return out
+
+
 def description_template(meta: DataFrame) -> DataFrame:
     """One row, `description`: which trees were collected where."""
     per_species = meta.groupBy("site_label", "species_code").agg(X.distinct_with_null(F.col("tree_label")).alias("n"))
@@ -124,18 +136,22 @@ def site_coordinates(sites: DataFrame) -> DataFrame:
     return sites.select(number("longitude", 180).alias("longitude"), number("latitude", 90).alias("latitude")).dropna().distinct()
 
 
-def site_countries(sites: DataFrame, polygons: DataFrame) -> DataFrame:
+def site_countries(sites: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """Country code of each site by point in polygon: site_label, country_code ("" where none or unknown).
 
-    polygons: code and ring, an array of (lon, lat) structs. A box test joins first; the ray
-    casting is an array aggregate, so nothing leaves the JVM. Points on an edge may fall either way.
+    polygons: code and ring, an array of (lon, lat) structs. Each polygon's box is laid out on a grid
+    of `cell` degrees (64,800 cells of one degree at most), and points meet the polygons of their own cell by an equal
+    key, so no side has to be small. The ray casting is an array aggregate, so nothing leaves
+    the JVM. Points on an edge may fall either way. Null or odd coordinates: no country.
     """
-    box = polygons.select(
+    bounded = polygons.select(
         "code", "ring",
         F.array_min(F.transform("ring", lambda p: p["lon"])).alias("w"), F.array_max(F.transform("ring", lambda p: p["lon"])).alias("e"),
         F.array_min(F.transform("ring", lambda p: p["lat"])).alias("s"), F.array_max(F.transform("ring", lambda p: p["lat"])).alias("n"),
     )
-    near = sites.join(box, F.col("longitude").between(F.col("w"), F.col("e")) & F.col("latitude").between(F.col("s"), F.col("n")), "left")
+    at = lambda c: F.floor(F.col(c) / cell).cast("int")
+    box = bounded.withColumn("cell_x", F.explode(F.sequence(at("w"), at("e")))).withColumn("cell_y", F.explode(F.sequence(at("s"), at("n"))))
+    near = sites.select("site_label", "longitude", "latitude", at("longitude").alias("cell_x"), at("latitude").alias("cell_y")).join(box, ["cell_x", "cell_y"], "left")
     size = F.size("ring")
     edges = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", (i + 1) % size).alias("b")))
 
@@ -144,12 +160,32 @@ def site_countries(sites: DataFrame, polygons: DataFrame) -> DataFrame:
         x = a["lon"] + F.try_divide((F.col("latitude") - a["lat"]) * (b["lon"] - a["lon"]), b["lat"] - a["lat"])
         return ((a["lat"] > F.col("latitude")) != (b["lat"] > F.col("latitude"))) & (F.col("longitude") < x)
 
-    inside = F.size(F.filter(edges, crosses)) % 2 == 1
+    boxed = F.col("longitude").between(F.col("w"), F.col("e")) & F.col("latitude").between(F.col("s"), F.col("n"))
+    inside = F.when(boxed, F.size(F.filter(edges, crosses)) % 2 == 1)
     found = near.withColumn("inside", F.coalesce(inside, F.lit(False))).groupBy("site_label").agg(F.min(F.when(F.col("inside") & (F.col("code") != "-99"), F.col("code"))).alias("code"))
     return found.select("site_label", F.coalesce("code", F.lit("")).alias("country_code"))
 
 
+def with_country_names(sites: DataFrame, polygons: DataFrame, countries: DataFrame) -> DataFrame:
+    """sites with country_code set to the combined name and code of the country that each one's coordinates lie in.
+
+    The distinct valid coordinates are looked up once and joined back by longitude and latitude; codes become names
+    by the reference list, "" where there is none. Sites without valid coordinates have null.
+    """
+    coords = site_coordinates(sites).withColumn("site_label", F.concat_ws(" ", F.col("longitude").cast("string"), F.col("latitude").cast("string")))
+    coded = site_countries(coords, polygons).join(coords, "site_label").join(countries.select(F.col("country_iso_code").alias("country_code"), "combined"), "country_code", "left")
+    named = coded.select("longitude", "latitude", F.coalesce("combined", F.lit("")).alias("country_code"))
+    double = lambda c: F.col(c).try_cast("double")
+    return sites.drop("country_code").withColumns({c: double(c) for c in ("longitude", "latitude")}).join(named, ["longitude", "latitude"], "left").select(*[c for c in sites.columns if c != "country_code"], "country_code")
+
+
 def file_name_of(dataset: str, longest: int = 32, fallback: str = "dataset") -> str:
     """A data set's name as part of a file name."""
     name = re.sub(r"[^A-Za-z0-9_-]", "_", dataset.strip().replace(" ", "_")).lstrip("-_")
     return (name or fallback)[:longest]
+
+
+def file_name_column(name: Column, longest: int = 32, fallback: str = "dataset") -> Column:
+    """file_name_of for a column of names."""
+    tidy = F.regexp_replace(F.regexp_replace(F.trim(name), "[^A-Za-z0-9_-]", "_"), "^[-_]+", "")
+    return F.substring(F.coalesce(F.nullif(tidy, F.lit("")), F.lit(fallback)), 1, longest)

@@ -231,6 +231,8 @@ def rule_failures(column: str, rule: Rule) -> list[tuple[str, Column]]:
 def violations(df: DataFrame, table: Table) -> DataFrame:
     """(tbl, field, severity, message) of the broken rules; all columns in one aggregation."""
     checks = {c: rule_failures(c, r) for c, r in table.rules.items() if c in df.columns}
+    if not checks:
+        return df.sparkSession.createDataFrame([], "tbl string, field string, severity string, message string")
     one = df.agg(*(F.array_compact(F.array(*(F.when(broken, F.lit(m)) for m, broken in found))).alias(c) for c, found in checks.items()))
     rows = F.array(*(F.struct(F.lit(table.rules[c].title or c).alias("field"), F.array_join(c, ", ").alias("message")) for c in checks))
     flat = one.select(F.lit(table.name).alias("tbl"), F.inline(rows)).filter("message <> ''")
@@ -238,6 +240,24 @@ def violations(df: DataFrame, table: Table) -> DataFrame:
     return flat.select("tbl", "field", F.when(F.lower("message").contains("invalid"), "warning").otherwise("error").alias("severity"), "message")
 
 
+def option_violations(df: DataFrame, table: Table, references: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, field, severity, message) of the columns with a value that isn't in their reference list.
+
+    references: one-column tables by column. Each column's distinct values are joined against its list, so neither
+    has to be small. Null and empty values are no options and not judged here.
+    """
+    out = None
+    for c, known in references.items():
+        values = df.select(F.col(c).cast("string").alias("value")).filter("value <> ''").distinct()
+        unknown = values.join(known.select(F.col(known.columns[0]).cast("string").alias("value")), "value", "left_anti")
+        title = table.rules[c].title or c if c in table.rules else c
+        part = unknown.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit(table.name).alias("tbl"), F.lit(title).alias("field"), F.lit("warning").alias("severity"), F.lit("Invalid options").alias("message"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("option_violations: no reference lists")
+    return out
+
+
 def dataset_problems(ds: DataFrame, markers: tuple[str, ...] = ("[ADD INFO",)) -> DataFrame:
     """(field, message) of a dataset row: name, description, and the embargo date that restricted access needs."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -258,6 +278,12 @@ def dataset_problems(ds: DataFrame, markers: tuple[str, ...] = ("[ADD INFO",)) -
     return ds.select(F.inline(found))
 
 
+def count_mismatches(parent: DataFrame, child: DataFrame, key: str, declared: str) -> DataFrame:
+    """(key, declared, found) of the parents whose declared number of children isn't the number there is."""
+    found = child.groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    return parent.select(key, F.col(declared).alias("declared")).join(found, key, "left").select(key, "declared", F.coalesce("found", F.lit(0)).alias("found")).filter("NOT declared <=> found")
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Values of key in child that parent lacks."""
     return child.filter(F.col(key).isNotNull()).join(parent, key, "left_anti").select(key).distinct()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from cambium.functions import expr as X
+
 from . import adapters
 
-D = 4
 K = "image_label, year"
 
 
 def r(expression: str, name: str) -> str:
-    return f"round(({expression}) + 1e-7, {D}) + 0.0 AS {name}"
+    """The expression to its significant digits, a hair above ties."""
+    cases = " ".join(f"WHEN abs(x) < {limit!r} THEN round(x * {X.OFF_TIES!r}, {decimals})" for limit, decimals in X.SIGNIFICANT)
+    return f"(SELECT CASE {cases} ELSE round(x * {X.OFF_TIES!r}, {X.LAST_DECIMALS}) END + 0.0 FROM (SELECT ({expression})::DOUBLE AS x)) AS {name}"
 
 
 def _bin(c: str, bins: int) -> str:
@@ -140,10 +143,14 @@ def _negatives(table: str, columns: list[str], name: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER (WHERE {c} < 0) AS value, '{name}' AS tbl FROM {table}" for c in columns)
 
 
-def _with(*ctes: str) -> str:
+def views(*ctes: str) -> str:
+    """WITH the adapter's views and more of them."""
     return "WITH " + ", ".join([adapters.oracle_views(), *ctes]) + " "
 
 
+_with = views
+
+
 def oracle_sql() -> dict[str, str]:
     from cambium.operators.model import CELL_MEASURES, RING_MEASURES
 
@@ -166,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
     }
     names = """names AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN concat('scan ', p_partkey)
       WHEN p_partkey % 3 = 0 THEN printf('dir/SITE%d_PISY_%02d_%d_%d.jpg', p_partkey % 5, p_partkey % 90, p_partkey % 7, p_partkey)
-      ELSE printf('SITE%d_PCAB_%02dA_%d_%d.jpg', p_partkey % 5, p_partkey % 90, p_partkey % 7, p_partkey) END AS name FROM part)"""
+      ELSE printf('SITE%d_PCAB_%02d%s_%d_%d.jpg', p_partkey % 5, p_partkey % 90, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'AB' END, p_partkey % 7, p_partkey) END AS name FROM part)"""
     short = lambda c, up: f"CASE WHEN starts_with({c}, {up} || '_') THEN substr({c}, length({up}) + 2) WHEN {c} = {up} THEN '' ELSE {c} END"
     named = lambda e: f"CASE WHEN coalesce({e}, '') = '' THEN '(n.a.)' ELSE {e} END"
     pairs = [("tree_label", "site_label"), ("woodpiece_label", "tree_label"), ("slide_label", "woodpiece_label"), ("image_label", "slide_label")]
@@ -210,10 +217,10 @@ def oracle_sql() -> dict[str, str]:
           c AS (SELECT site_label, CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[:-2], ', ') || ' and ' || l[-1] END || ' collected at site ' || site_label AS t FROM b),
           d AS (SELECT list(t ORDER BY site_label) AS l FROM c)
           SELECT CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[:-2], ', ') || CASE WHEN len(l) > 2 THEN ', and ' ELSE ' and ' END || l[-1] END AS description FROM d""",
-        "structure_from_names": f"""WITH {names}, m AS (SELECT name, nullif(regexp_extract(name, '[A-Za-z0-9]+_[A-Za-z0-9]+_[A-Za-z0-9]{{2}}[A-Za-z0-9]?_[A-Za-z0-9]+_[A-Za-z0-9]+'), '') AS matched FROM names),
+        "structure_from_names": f"""WITH {names}, m AS (SELECT name, nullif(regexp_extract(name, '[A-Za-z0-9]+_[A-Za-z0-9]+_[A-Za-z0-9]{{2}}[A-Za-z0-9]*_[A-Za-z0-9]+_[A-Za-z0-9]+'), '') AS matched FROM names),
           p AS (SELECT *, string_split(matched, '_') AS s FROM m), q AS (SELECT *, concat_ws('_', s[1], s[2], substr(s[3], 1, 2)) AS tree_label, nullif(substr(s[3], 3), '') AS wp FROM p),
           w AS (SELECT *, concat_ws('_', tree_label, wp) AS woodpiece_label FROM q)
-          SELECT name, matched, s[1] AS site_label, s[2] AS species_code, tree_label, woodpiece_label, concat_ws('_', woodpiece_label, s[4]) AS slide_label, concat_ws('_', woodpiece_label, s[4], s[5]) AS image_label FROM w""",
+          SELECT name, matched, s[1] AS site_label, s[2] AS species_code, CASE WHEN matched IS NOT NULL THEN tree_label END AS tree_label, CASE WHEN matched IS NOT NULL THEN woodpiece_label END AS woodpiece_label, CASE WHEN matched IS NOT NULL THEN concat_ws('_', woodpiece_label, s[4]) END AS slide_label, CASE WHEN matched IS NOT NULL THEN concat_ws('_', woodpiece_label, s[4], s[5]) END AS image_label FROM w""",
         "structure_paths": _with() + f"SELECT image_label, concat_ws('/', 'demo', {named('site_label')}, {', '.join(named(short(c, up)) for c, up in pairs)}) AS path FROM meta",
         "settings_pivot": """WITH s AS (SELECT o_orderkey - o_orderkey % 9 AS file, [8, 10, 12, 13, 17, 18, 20, 31, 999][o_orderkey % 9 + 1] AS rnum, o_custkey AS c FROM orders),
           t AS (SELECT file, rnum, min(CASE rnum WHEN 13 THEN c || ' / ' || (c + 1) WHEN 17 THEN (c % 2)::VARCHAR WHEN 31 THEN (c % 50) || '.7' ELSE (c % 100)::VARCHAR END) AS v FROM s GROUP BY ALL),

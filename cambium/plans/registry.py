@@ -12,6 +12,7 @@ from cambium.functions import expr as X
 from cambium.operators import clean, flags, profiles, structure, validate
 from cambium.operators.model import CELL_MEASURES, RING_KEY, RING_MEASURES, Measurements
 from cambium.sources import measurements as files
+from cambium.sources.scratch import kept
 
 from . import adapters, oracles
 
@@ -19,13 +20,11 @@ PARAMS = ["la", "cwttan", "drad"]
 PROBS = [0.25, 0.5, 0.75]
 SECTORS = 5
 YEAR = 2001  # the current year of the dating check, fixed so that results are
-DIGITS = 4
-NUDGE = 1e-7
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded, since their last digits depend on the order of summing; NUDGE moves them off ties."""
-    return df.select(*(X.tidy(F.col(f.name) + NUDGE, DIGITS).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
+    """Doubles to their significant digits, since their last ones depend on the order of summing."""
+    return df.select(*(X.significant(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
 
 
 def _raw(spark: SparkSession, d: str) -> Measurements:
@@ -44,6 +43,11 @@ def _rings(spark: SparkSession, d: str, verbose: bool = False) -> DataFrame:
     return clean.validated_rings(_clean(spark, d), adapters.meta(spark, d), verbose)
 
 
+def _kept_rings(spark: SparkSession, d: str) -> DataFrame:
+    """The validated rings, written once, for what uses them several times."""
+    return kept(_rings(spark, d), "rings")
+
+
 def outlier_counts(spark, d):
     raw = _raw(spark, d)
     cells = clean.negative_counts(raw.cells, CELL_MEASURES).withColumn("tbl", F.lit("cells"))
@@ -121,12 +125,12 @@ def _edits(rings: DataFrame) -> DataFrame:
 
 
 def edited_rings(spark, d):
-    rings = flags.init_flags(_rings(spark, d))
+    rings = flags.init_flags(_kept_rings(spark, d))
     return flags.apply_edits(rings, _edits(rings)).select("woodpiece_label", *RING_KEY, "exclude_issues", "comment", "blue_ring")
 
 
 def changed_exclusions(spark, d):
-    rings = flags.init_flags(_rings(spark, d))
+    rings = flags.init_flags(_kept_rings(spark, d))
     edited = flags.apply_edits(rings, _edits(rings))
     series = profiles.chronology_series(edited, "mrw", show_excluded=True)
     return tidy(profiles.changed_exclusions(rings, edited, series, "mrw", [f"W{i}" for i in range(12)]))
@@ -142,17 +146,17 @@ def hierarchy_counts(spark, d):
 
 
 def flag_validation(spark, d):
-    chosen = flags.duplicate_selection(_rings(spark, d))
+    chosen = flags.duplicate_selection(_kept_rings(spark, d))
     other = chosen.withColumns({"other_issues": F.col("year") % 5 == 0, "other_reason": F.when(F.col("year") == 1996, "late frost")})
     return flags.flag_checks(other)
 
 
 def ring_table_issues(spark, d):
-    return flags.ring_table_issues(flags.duplicate_selection(_rings(spark, d)).withColumn("slide_label", F.when(F.col("year") != 1999, F.col("slide_label"))))
+    return flags.ring_table_issues(flags.duplicate_selection(_kept_rings(spark, d)).withColumn("slide_label", F.when(F.col("year") != 1999, F.col("slide_label"))))
 
 
 def inconsistent_exclusions(spark, d):
-    rings = flags.init_flags(_rings(spark, d))
+    rings = flags.init_flags(_kept_rings(spark, d))
     return flags.inconsistent_exclusions(flags.apply_edits(rings, _edits(rings)))
 
 
@@ -161,7 +165,7 @@ def _names(spark, d) -> DataFrame:
     return parts.select(
         F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("scan "), "p_partkey"))
         .when(F.col("p_partkey") % 3 == 0, F.format_string("dir/SITE%d_PISY_%02d_%d_%d.jpg", F.col("p_partkey") % 5, F.col("p_partkey") % 90, F.col("p_partkey") % 7, F.col("p_partkey")))
-        .otherwise(F.format_string("SITE%d_PCAB_%02dA_%d_%d.jpg", F.col("p_partkey") % 5, F.col("p_partkey") % 90, F.col("p_partkey") % 7, F.col("p_partkey")))
+        .otherwise(F.format_string("SITE%d_PCAB_%02d%s_%d_%d.jpg", F.col("p_partkey") % 5, F.col("p_partkey") % 90, F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("AB"), F.col("p_partkey") % 7, F.col("p_partkey")))
         .alias("name")
     )
 
@@ -268,8 +272,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    from . import file_queries
+
+    return QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    from . import file_queries
+
+    return oracles.oracle_sql() | file_queries.oracle_sql()

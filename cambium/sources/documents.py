@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cambium.operators.structure import file_name_of
-from cambium.operators.validate import Table
+from cambium.operators.tables import arranged
+from cambium.operators.validate import SchemaError, Table, validated_document, violations
+
+from .scratch import file_system
 
 
 def read_metadata(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
@@ -21,6 +24,44 @@ def read_metadata(spark: SparkSession, path: str, tables: dict[str, Table]) -> d
     return {name: doc.select(F.inline(name)) for name in tables if there is not None and there[name]}
 
 
+def read_valid_metadata(spark: SparkSession, folder: str, tables: dict[str, Table], dataset: str | None = None, force_valid: bool = True) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """The one metadata document of a folder (and data set) with the rules that it breaks, as violations() gives them.
+
+    force_valid: a broken rule or an absent table is an error.
+    """
+    names = [n for n in listed(spark, folder) if ".json" in n and "metadata" in n and (dataset is None or dataset in n)]
+    if len(names) != 1:
+        raise FileNotFoundError(f"{len(names)} metadata documents in {folder}")
+    read = read_metadata(spark, f"{folder}/{names[0]}", tables)
+    absent = [k for k in tables if k not in read]
+    found = None
+    for name, df in read.items():
+        broken = violations(df, tables[name])
+        found = broken if found is None else found.unionByName(broken)
+    if force_valid and (absent or found is not None and not found.isEmpty()):
+        raise SchemaError(f"the metadata document isn't valid; absent: {', '.join(absent) or 'none'}")
+    return read, found
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder."""
+    fs, path = file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path(folder)))
+
+
+#: Fixed: the tables of a submission by part.
+DATASET_TABLES = ["ds_data", "author_data", "funding_data", "relresource_data"]
+SITE_TABLES = ["site_data", "tree_data", "woodpiece_data", "slide_data"]
+IMAGE_TABLE = "roxas_data"
+
+
+def read_submission(spark: SparkSession, path: str, tables: dict[str, Table]) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame], list[str]]:
+    """An unfinished submission: its image table, its dataset tables, its site tables (those there are), and warnings."""
+    found, warnings = validated_document(read_metadata(spark, path, tables), tables, IMAGE_TABLE)
+    part = lambda names: {k: v for k, v in found.items() if k in names}
+    return found[IMAGE_TABLE], part(DATASET_TABLES), part(SITE_TABLES), warnings
+
+
 def metadata_document(tables: dict[str, DataFrame]) -> DataFrame:
     """One row, one column `value`: the JSON object of the tables. Metadata tables are small."""
     doc = None
@@ -36,14 +77,15 @@ def write_metadata(tables: dict[str, DataFrame], folder: str, dataset: str) -> s
     return path
 
 
-def write_table(df: DataFrame, folder: str, dataset: str, kind: str, day: dt.date, compress: bool = False) -> str:
-    """CSV named after the day, the data set and the kind; gzip if asked for."""
+def write_table(df: DataFrame, folder: str, dataset: str, kind: str, day: dt.date, compress: bool = False, order: list[str] | None = None) -> str:
+    """CSV named after the day, the data set and the kind; gzip if asked for; sorted by `order`, nulls last."""
     path = f"{folder}/{day:%Y%m%d}_{dataset}_{kind}.csv"
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA")
+    writer = (arranged(df, order) if order else df).write.mode("overwrite").option("header", True).option("nullValue", "NA")
     (writer.option("compression", "gzip") if compress else writer).csv(path)
     return path
 
 
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Parquet by image, for whole archives: later steps group by image and year."""
-    cells.repartition("image_label").write.mode("overwrite").partitionBy("image_label").parquet(path)
+    """Parquet in the order of images and years, for whole archives: later steps group by them and filters
+    on images skip files and row groups. A folder for each image would be millions of them."""
+    cells.repartitionByRange("image_label", "year").sortWithinPartitions("image_label", "year").write.mode("overwrite").parquet(path)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pa_fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cambium.functions import expr as X
-from cambium.operators.model import Measurements
+from cambium.operators.model import Measurements, require
+from cambium.operators.validate import Table, align_to_schema
 
 #: Fixed: kinds of files and their endings, in any case; images in such paths don't count.
 ENDINGS = {"cells": r"_Output_Cells\.txt", "rings": r"_Output_Rings\.txt", "settings": r"_ROXAS_Settings\.txt", "image": r"\.jpe?g"}
@@ -35,6 +38,7 @@ INT_SETTINGS = ["circ_lower_limit", "circ_upper_limit", "outmost_year", "min_cel
 DOUBLE_SETTINGS = ["spatial_resolution", "dbl_cwt_threshold", "max_cwtrad_s", "max_cwtrad_l", "relwidth_cwt_window", "maxrel_opp_cwt", "max_cwttan_s", "max_cwttan_l"]
 INT_COLUMNS = ["year", "cno", "xpix", "ypix", "nbrno", "nbrid", "sector100"]
 TEXT_COLUMNS = ["site_label", "tree_label", "woodpiece_label", "slide_label", "image_label", "ew_lw", "comment"]
+_HEAD_BYTES = 1 << 16
 FLAG_COLUMNS = ["incomplete_ring", "missing_ring", "duplicate_ring", "exclude_dupl", "exclude_issues"]
 
 
@@ -69,58 +73,90 @@ def incomplete_sets(files: DataFrame) -> DataFrame:
 # -- tab separated files --------------------------------------------------------------------------
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by header. One line of each is read; there is one group per software version."""
-    first = spark.read.format("text").load(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    rows = first.withColumn("nr", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", F.struct("at", "nr")).alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths")).collect()
-    return {tuple(r["head"].rstrip("\r").split("\t")): r["paths"] for r in rows}
+def _key(c: Column) -> Column:
+    """Paths alike, however they name their file system."""
+    return F.regexp_replace(c, "^[a-z]+:/*", "/")
 
 
-def read_tsv(spark: SparkSession, paths: list[str], columns: list[str], variants: dict[str, list[str]] | None = None) -> DataFrame:
-    """The columns as doubles, plus `path`; older names are taken where the current one is absent.
+def _first_line(path: str) -> str:
+    """The first line of a file; no more than a block of it is read."""
+    system, inner = pa_fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+    with system.open_input_stream(inner) as f:
+        return f.read(_HEAD_BYTES).split(b"\n", 1)[0].decode("utf-8", "replace")
 
-    Files with the same header make one scan. What isn't a number is null. A file that lacks a
-    column has one row with nulls only, which marks it as unreadable.
+
+def headers(paths: DataFrame, column: str, columns: list[str], variants: dict[str, list[str]] | None = None) -> DataFrame:
+    """(file_key, places): where each of `columns`, or else an older name of it, stands in a file's header; null if a column is absent.
+
+    Only first lines are read, in tasks over the files.
     """
-    out = None
-    for head, same in _headers(spark, paths).items():
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in head])
-        raw = spark.read.schema(schema).csv(same, sep="\t", header=True).select("*", F.col("_metadata.file_path").alias("path"))
-        source = {c: next((n for n in [c, *(variants or {}).get(c, [])] if n in head), None) for c in columns}
-        if None in source.values():
-            part = spark.createDataFrame([(p,) for p in same], "path string").select("path", *(F.lit(None).cast("double").alias(c.lower()) for c in columns))
-        else:
-            part = raw.select("path", *(X.clean_double(F.expr(f"try_cast(`{n}` as double)")).alias(c.lower()) for c, n in source.items()))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for path in p["path"]:
+                head = [h.strip().strip('"') for h in _first_line(path).rstrip("\r").split("\t")]
+                names = [next((n for n in [c, *(variants or {}).get(c, [])] if n in head), None) for c in columns]
+                rows.append(None if None in names else [head.index(n) for n in names])
+            yield pd.DataFrame({"path": p["path"], "places": rows})
+
+    known = paths.select(F.col(column).alias("path")).dropna().distinct()
+    spread = known.repartition("path")  # one file's head is little work, many files' heads are spread over tasks
+    return spread.mapInPandas(find, "path string, places array<int>").select(_key(F.col("path")).alias("file_key"), "places")
+
+
+def any_case(ending: str) -> str:
+    """A glob for a file ending in any case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending.replace("\\", ""))
+
+
+def read_tsv(structure: DataFrame, fname: str, kind: str, labels: list[str], columns: list[str], variants: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that structure names in `fname`: its labels and the columns as doubles; and the labels of unreadable files.
+
+    One scan of the lines of all files below the folder that they share, whatever their headers; each line
+    is joined with its file's labels and the places of its columns, so no list of paths or headers is held by
+    the driver. What isn't a number is null. A file that lacks a column is unreadable.
+    """
+    spark = structure.sparkSession
+    ends = structure.agg(F.min(fname), F.max(fname)).first()
+    if ends[0] is None:
         raise FileNotFoundError("no files to read")
-    return out
+    folder = os.path.commonprefix([ends[0], ends[1]]).rsplit("/", 1)[0]  # the least and the greatest path share what all share
+    heads = headers(structure, fname, columns, variants)
+    side = structure.select(_key(F.col(fname)).alias("file_key"), *labels).join(heads, "file_key")
+    lines = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(ENDINGS[kind])).load(folder)
+    lines = lines.select("value", _key(F.col("_metadata.file_path")).alias("file_key"))
+    joined = lines.join(side.filter("places IS NOT NULL"), "file_key").select(*labels, "places", F.split("value", "\t").alias("parts"))
+    body = joined.filter(F.trim(F.get("parts", F.get("places", F.lit(0))), F.lit('"\r ')) != columns[0]).filter(F.length(F.array_join("parts", "")) > 0)
+    number = lambda k: _number(F.get("parts", F.get("places", F.lit(k))))
+    return body.select(*labels, *(number(k).alias(c.lower()) for k, c in enumerate(columns))), side.filter("places IS NULL").select(*labels)
 
 
-def _with_labels(df: DataFrame, structure: DataFrame, fname: str, labels: list[str]) -> DataFrame:
-    key = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
-    side = structure.select(key(F.col(fname)).alias("file_key"), *labels)
-    return df.withColumn("file_key", key(F.col("path"))).join(side, "file_key").drop("file_key", "path")
+def _number(c: Column) -> Column:
+    return X.clean_double(F.trim(c, F.lit('"\r ')).try_cast("double"))
 
 
 def _integral_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.when(F.col("year") == F.floor("year"), F.col("year")).cast("int"))
 
 
+def _collected(df: DataFrame, unreadable: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    dated = _integral_year(df)
+    failed = dated.filter("year IS NULL").select("image_label").unionByName(unreadable.select("image_label")).distinct()
+    return dated.filter("year IS NOT NULL").select(*columns), failed
+
+
 def collect_cells(spark: SparkSession, structure: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of all files (rows without a year left out) and the image_labels that had such rows."""
-    paths = [r[0] for r in structure.select("fname_cells").collect()]  # one per image
-    df = _integral_year(_with_labels(read_tsv(spark, paths, CELL_COLUMNS, CELL_VARIANTS), structure, "fname_cells", ["image_label"]))
-    return df.filter("year IS NOT NULL").select("image_label", *(c.lower() for c in CELL_COLUMNS)), df.filter("year IS NULL").select("image_label").distinct()
+    """Cells of all files (rows without a year left out), and the image_labels that had such rows or couldn't be read."""
+    df, unreadable = read_tsv(structure, "fname_cells", "cells", ["image_label"], CELL_COLUMNS, CELL_VARIANTS)
+    return _collected(df, unreadable, ["image_label", *(c.lower() for c in CELL_COLUMNS)])
 
 
 def collect_rings(spark: SparkSession, structure: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rings of all files with their labels, and the image_labels that had rows without a year."""
-    paths = [r[0] for r in structure.select("fname_rings").collect()]
+    """Rings of all files with their labels, and the image_labels that had rows without a year or couldn't be read."""
     labels = ["woodpiece_label", "slide_label", "image_label"]
-    df = _integral_year(_with_labels(read_tsv(spark, paths, RING_COLUMNS), structure, "fname_rings", labels)).withColumnsRenamed(RING_RENAMED)
-    columns = [RING_RENAMED.get(c.lower(), c.lower()) for c in RING_COLUMNS]
-    return df.filter("year IS NOT NULL").select(*labels, *columns), df.filter("year IS NULL").select("image_label").distinct()
+    df, unreadable = read_tsv(structure, "fname_rings", "rings", labels, RING_COLUMNS)
+    return _collected(df.withColumnsRenamed(RING_RENAMED), unreadable, [*labels, *(RING_RENAMED.get(c.lower(), c.lower()) for c in RING_COLUMNS)])
 
 
 def collect_measurements(spark: SparkSession, structure: DataFrame) -> Measurements:
@@ -199,6 +235,59 @@ def read_processed(spark: SparkSession, folder: str, dataset: str) -> Measuremen
     return Measurements(tables["cells"], tables["rings"])
 
 
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """A profile table from CSV: key, sector and at least one measure, all doubles; the key must be whole."""
+    df = _typed_csv(spark, path, lambda c: "string" if c == "image_label" else "int" if c in ("year", "sector_n") else "double")
+    require(df, ["image_label", "year", "sector_n"], "read_profiles")
+    if len(df.columns) < 4:
+        raise ValueError("read_profiles: no measure")
+    return _whole(df, ["image_label", "year", "sector_n"])
+
+
+def read_ring_flags(spark: SparkSession, path: str) -> DataFrame:
+    """A ring table from CSV with its labels and flags; the key must be whole."""
+    df = spark.read.schema(processed_schema(spark.read.option("header", True).csv(path).columns)).csv(path, header=True, nullValue="NA")
+    require(df, ["woodpiece_label", "slide_label", "image_label", "year", *FLAG_COLUMNS], "read_ring_flags")
+    return _whole(df, ["woodpiece_label", "slide_label", "image_label", "year"])
+
+
+def read_image_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Image metadata from CSV, all text."""
+    df = _typed_csv(spark, path, lambda c: "string")
+    require(df, ["image_label", "slide_label", "woodpiece_label", "tree_label", "species_code", "site_label", "fname_image"], "read_image_metadata")
+    return df
+
+
+def _typed_csv(spark: SparkSession, path: str, kind) -> DataFrame:
+    head = spark.read.option("header", True).csv(path).columns
+    return spark.read.schema(", ".join(f"`{c}` {kind(c)}" for c in head)).csv(path, header=True, nullValue="NA")
+
+
+def _whole(df: DataFrame, key: list[str]) -> DataFrame:
+    """df, if it has rows and no null in its key; else an error."""
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in key)).first()
+    if not seen["n"] or any(seen[c] < seen["n"] for c in key):
+        raise ValueError(f"no rows, or missing values in {', '.join(c for c in key if seen[c] < seen['n'])}")
+    return df
+
+
+def read_raw_table(spark: SparkSession, path: str, table: Table, force_required: bool = True, by_position: bool = False) -> tuple[DataFrame, list[str]]:
+    """A CSV of any columns, read as text and aligned to a table's schema; with the warnings."""
+    return align_to_schema(spark.read.csv(path, header=True, nullValue=""), table, force_required, by_position)
+
+
+def read_polygons(spark: SparkSession, path: str) -> DataFrame:
+    """Country polygons from CSV (code, wkt): code and ring, an array of (lon, lat); a row for each outer ring.
+
+    POLYGON and MULTIPOLYGON texts in longitude and latitude; holes are left out.
+    """
+    raw = spark.read.csv(path, header=True, nullValue="", escape='"', schema="code string, wkt string")
+    # an outer ring follows two opening brackets, or, as a further one of a multipolygon, `)), ((`
+    rings = raw.select("code", F.explode(F.regexp_extract_all("wkt", F.lit(r"\(\(([^()]+)\)"), F.lit(1))).alias("text"))
+    point = lambda p: F.struct(F.get(F.split(F.trim(p), r"\s+"), F.lit(0)).cast("double").alias("lon"), F.get(F.split(F.trim(p), r"\s+"), F.lit(1)).cast("double").alias("lat"))
+    return rings.select("code", F.transform(F.split("text", ","), point).alias("ring"))
+
+
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
     """Reference list of countries; the code NA is a value."""
     return spark.read.csv(path, header=True, nullValue="", schema="country_name string, country_iso_code string, combined string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cambium.sources.measurements import CELL_COLUMNS, ENDINGS
+from cambium.sources.measurements import CELL_COLUMNS, ENDINGS, any_case
 
 
 def cell_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -15,7 +15,7 @@ def cell_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
     Each file is read once; the checkpoint of the sink remembers which ones have been.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ["ID", *CELL_COLUMNS]])
-    raw = spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
+    raw = spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", any_case(ENDINGS["cells"])).csv(folder)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return raw.select(F.regexp_replace(name, f"(?i){ENDINGS['cells']}$", "").alias("stem"), *(F.expr(f"try_cast({c} as double)").alias(c.lower()) for c in CELL_COLUMNS)).filter("year IS NOT NULL")
 
@@ -23,3 +23,12 @@ def cell_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
 def ring_counts(cells: DataFrame) -> DataFrame:
     """Running cell counts per stem and year (complete or update output mode)."""
     return cells.groupBy("stem", F.col("year").cast("int").alias("year")).agg(F.count(F.lit(1)).alias("cno"))
+
+
+def count_arrived(counts: DataFrame, path: str, checkpoint: str) -> None:
+    """Processes all files that have arrived, writing the counts to path after each batch, and ends."""
+
+    def write(batch: DataFrame, nr: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -85,6 +85,56 @@ def test_settings_and_images(spark, folder):
     assert [r["date_problem"] for r in dates] == [None, None, "future", "unparsed"] and dates[1]["d"] == dt.datetime(2021, 2, 3, 9, 5)
 
 
+def test_only_first_lines_are_read_for_headers(spark, folder, monkeypatch):
+    data = sets_with_labels(spark, folder)
+    heads = measurements.headers(data, "fname_cells", ["YEAR", "LA"], {"LA": ["CA"]}).collect()
+    assert [r["places"] for r in heads] == [[1, 8], [1, 8]]
+    assert {r["places"] for r in measurements.headers(data, "fname_cells", ["NO"]).collect()} == {None}
+    assert measurements._first_line(str(folder / "SITEA_PISY_01A_1_2_Output_Rings.txt")).startswith("YEAR\t")
+
+
+def test_woodpieces_of_several_letters(spark):
+    names = spark.createDataFrame([("SITEA_PISY_01AB_1_2.jpg",), ("SITÉ_PISY_01_1_2",), ("none",)], "name string")
+    got = {r["name"]: r for r in structure.structure_from_names(names).collect()}
+    assert got["SITEA_PISY_01AB_1_2.jpg"]["woodpiece_label"] == "SITEA_PISY_01_AB"
+    assert got["SITÉ_PISY_01_1_2"]["site_label"] == "SITÉ" and got["SITÉ_PISY_01_1_2"]["woodpiece_label"] == "SITÉ_PISY_01"
+    assert all(got["none"][c] is None for c in ("matched", "site_label", "species_code", *structure.LABELS))
+
+
+def test_readers_refuse_what_is_not_whole(spark, tmp_path):
+    write(tmp_path / "p.csv", ["image_label,year,sector_n,la_mean", "a,2000,1,1.5", "a,NA,2,1.5"])
+    with pytest.raises(ValueError):
+        measurements.read_profiles(spark, str(tmp_path / "p.csv"))
+    write(tmp_path / "q.csv", ["image_label,year,sector_n", "a,2000,1"])
+    with pytest.raises(ValueError):
+        measurements.read_profiles(spark, str(tmp_path / "q.csv"))
+    with pytest.raises(ValueError):
+        measurements.read_ring_flags(spark, str(tmp_path / "p.csv"))
+    with pytest.raises(ValueError):
+        measurements.read_image_metadata(spark, str(tmp_path / "p.csv"))
+
+
+def test_forced_validity(spark, tmp_path):
+    table = validate.Table("t", {"a": T.StringType()}, {"a": validate.Rule("character", required=True)})
+    documents.write_metadata({"t": spark.createDataFrame([(None,)], "a string")}, str(tmp_path), "x")
+    assert documents.read_valid_metadata(spark, str(tmp_path), {"t": table}, force_valid=False)[1].count() == 1
+    with pytest.raises(validate.SchemaError):
+        documents.read_valid_metadata(spark, str(tmp_path), {"t": table})
+    with pytest.raises(FileNotFoundError):
+        documents.read_valid_metadata(spark, str(tmp_path), {"t": table}, "other")
+
+
+def test_folders_are_shared(spark):
+    from types import SimpleNamespace
+
+    from cambium.sources import scratch
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(ValueError):
+        scratch.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default)))
+    assert scratch.kept(spark.range(3)).count() == 3
+
+
 def test_names(spark):
     names = spark.createDataFrame([("a/SITEA_PISY_01_1_2.jpg",), ("nothing",), ("b/SITEA_PISY_01_1_2.jpg",)], "name string")
     got = structure.structure_from_names(names)
