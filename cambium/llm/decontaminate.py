@@ -53,45 +53,68 @@ def _prints(short: list[int]) -> Column:
     return F.concat(*parts) if short else parts[0]
 
 
-def _windows(lengths: list[int]) -> Column:
-    """(pos, len, fp, win) of every window; win is its words."""
-    def of_length(m: int) -> Column:
-        prints = _winnowed(F.col("n_words")) if m == WINDOW else _gram_hashes(F.col("hashes"), F.col("n_words"), m)
-        win = lambda i: F.array_join(F.slice("words", i + 1, F.lit(m)), " ")
-        return F.transform(prints, lambda x, i: F.struct(i.alias("pos"), F.lit(m).alias("len"), x.alias("fp"), win(i).alias("win")))
+def _at_each(grams: Column, size: int) -> Column:
+    """(size, place, fp) of every gram."""
+    return F.transform(grams, lambda x, i: F.struct(F.lit(size).alias("size"), i.alias("place"), x.alias("fp")))
 
-    out = [of_length(m) for m in lengths]
-    return F.concat(*out) if len(out) > 1 else out[0]
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(size, fp, item_id, place): where the fingerprints of items stand; an item of fewer than WINDOW words is one gram."""
+    n = F.col("n_words")
+    least = F.array_distinct(_winnowed(n))
+    winnowed = F.filter(_at_each(F.col("grams"), GRAM), lambda g: F.array_contains(least, g["fp"]))
+    seeds = F.when(n >= WINDOW, winnowed)
+    for m in range(1, WINDOW):
+        seeds = seeds.when(n == m, _at_each(_gram_hashes(F.col("hashes"), n, m), m))
+    return items.select("item_id", F.explode(seeds).alias("s")).select("item_id", "s.*")
+
+
+def _extended(seeds: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, text_hash, item_id, spans): a seed's hit extended as far as it goes.
+
+    seeds: (key, text_hash, item_id, shift), a document's and an item's words laid on each other at a
+    shift. All words of the item that meet one of the document are compared, and the spans (pos, end) are the
+    document's places of windows whose words are all the same.
+    """
+    shift, n = F.col("shift"), F.col("n_item")
+    begin = F.greatest(shift, F.lit(0))  # in the document
+    laid = (
+        seeds.join(items.select("item_id", F.col("words").alias("item"), F.col("n_words").alias("n_item")), "item_id")
+        .join(texts.select("key", "text_hash", "words"), ["key", "text_hash"])
+        .select(
+            "key", "text_hash", "item_id", begin.alias("begin"), F.least(n, F.lit(WINDOW)).alias("window"),
+            F.slice("words", begin + 1, n - (begin - shift)).alias("own"), F.slice("item", begin - shift + 1, n).alias("item"),
+        )
+    )
+    window = F.col("window")
+    last = F.least(F.size("own"), F.size("item")) - window
+    starts = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda j: F.slice("own", j + 1, window) == F.slice("item", j + 1, window)))
+    spans = F.transform(starts, lambda j: F.struct((F.col("begin") + j).alias("pos"), (F.col("begin") + j + window).alias("end")))
+    return laid.select("key", "text_hash", "item_id", spans.alias("spans")).filter(F.size("spans") > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
     Winnowing: a text's fingerprints are the least hash of GRAM words in every window of WINDOW
-    words. Documents that share a fingerprint with an item are read again and each of their
-    windows with such a fingerprint is compared word by word with the item's windows (which
-    extends a hit to every overlapping window); an item of fewer than WINDOW words is one window
-    and found by the hashes of its length. No span of WINDOW shared words is missed.
+    words. Documents that share a fingerprint with an item are read again, their grams are joined with the
+    items' fingerprints, and every hit is extended: at its shift, document and item are compared word by
+    word, and each run of WINDOW equal words counts. Equal windows have the same least gram at the same place, so no
+    shared span of WINDOW words is missed. An item of fewer words is one window and found by the hash of its length.
 
     The items' fingerprints and the ids of suspect documents are broadcast only behind a count
-    of their rows; larger sides are joined by shuffle. The texts never shuffle in the first pass.
+    of their rows; larger sides are joined by shuffle. The texts never shuffle in the first pass, and of a
+    very long suspect each hit takes no more words than its item has.
 
     Null texts and texts without words: 0 words, nothing hit; items of that sort never occur.
     Equal items count each by their item_id; repeated item rows count once, null item_ids not.
-    Rows that share doc_id and text get equal results. Empty benchmark: nothing hit. Other
-    columns are ignored.
+    Rows that share doc_id and text, and repeated rows, get equal results. Empty benchmark: nothing hit. Other
+    columns are ignored, whatever their names. Empty input: no rows.
     """
-    items = stored(_with_hashes(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")).filter("n_words > 0 AND item_id IS NOT NULL").select("item_id", "words", "n_words", "hashes", "grams"))
+    items = stored(_with_hashes(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")).filter("n_words > 0 AND item_id IS NOT NULL").select("item_id", "words", "n_words", "hashes", "grams").distinct())
     short = sorted(r[0] for r in items.filter(F.col("n_words") < WINDOW).select("n_words").distinct().collect())  # 9 values at most
-    lengths = [WINDOW, *short]
-    # an item has the windows of its own length only: WINDOW, or all its words
-    item_windows = stored(
-        items.select("item_id", "n_words", F.explode(_windows(lengths)).alias("w"))
-        .filter(F.col("w.len") == F.least("n_words", F.lit(WINDOW)))
-        .groupBy("w.len", "w.fp", "w.win")
-        .agg(F.collect_set("item_id").alias("items"))
-    )
-    prints = _checked(stored(item_windows.select("fp").distinct()))
+    item_seeds = stored(_item_seeds(items).distinct())
+    prints = _checked(stored(item_seeds.select("fp").distinct()))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     hashed = _with_hashes(rows).withColumn("fps", F.array_distinct(_prints(short)))
@@ -104,16 +127,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.col("text_hash")]
     suspects = _checked(stored(tested.filter("shared > 0").select(*key).distinct()))
     again = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).select(*key, "text").join(suspects, ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"])
+    texts = stored(_with_hashes(again).select("key", "text_hash", "words", "n_words", "hashes", "grams"))
+    every = [_at_each(F.col("grams"), GRAM), *(_at_each(_gram_hashes(F.col("hashes"), F.col("n_words"), m), m) for m in short)]
+    seeds = (
+        texts.select("key", "text_hash", F.explode(F.concat(*every)).alias("s"))
+        .select("key", "text_hash", "s.size", "s.fp", F.col("s.place").alias("own"))
+        .join(_checked(item_seeds), ["size", "fp"])
+        .select("key", "text_hash", "item_id", (F.col("own") - F.col("place")).alias("shift"))
+        .distinct()
+    )
+    # an item_id with several texts: each is laid on
     hits = (
-        _with_hashes(again)
-        .select("key", "text_hash", F.explode(_windows(lengths)).alias("w"))
-        .select("key", "text_hash", "w.*")
-        .join(_checked(item_windows), ["len", "fp", "win"])
+        _extended(seeds, texts, _checked(items))
         .groupBy("key", "text_hash")
-        .agg(
-            F.array_sort(F.collect_set(F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        )
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     )
     covered = F.aggregate(
         "spans",
