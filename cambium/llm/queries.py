@@ -24,8 +24,11 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op7_secret_scan": secret_scan.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
 }

@@ -306,3 +306,20 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     spans = sent.groupBy("bucket").applyInArrow(_match, "slice int, blob binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Every string of LENGTH bytes as hexadecimal text; spans of hits that touch are one.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, i * 2 + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(x) >= {2 * LENGTH})),
+h AS (SELECT doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS first FROM w GROUP BY s) USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS nr FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM h)),
+spans AS (SELECT doc_id, min(i) AS start, max(i) + {LENGTH} AS stop FROM g GROUP BY doc_id, nr),
+pieces AS (
+  SELECT doc_id, start, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS from_, start AS to_ FROM spans
+  UNION ALL SELECT doc_id, 1::BIGINT << 40, max(stop), max(stop) + 1000000000 FROM spans GROUP BY doc_id
+), kept AS (SELECT doc_id, string_agg(substr(x, from_ * 2 + 1, (to_ - from_) * 2), '' ORDER BY start) AS x FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+sizes AS (SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, (length(d.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
