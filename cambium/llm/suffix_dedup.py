@@ -154,9 +154,13 @@ def _unpacked(blob: bytes, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
     return out
 
 
-#: Of windows: doc, row in the slice, anchor position, first and last own start, bytes; of settled spans: row, start, stop.
-KINDS = [(np.int64, 1), (np.int32, 1), (np.int32, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, WIDTH), (np.int32, 1), (np.int32, 1), (np.int32, 1)]
+#: Of windows: doc, number of runs, first and last own start, bytes; of their runs: row in the slice, first anchor position,
+#: length; of settled spans: row, start, stop.
+KINDS = [(np.int64, 1), (np.int32, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, WIDTH), (np.int32, 1), (np.int32, 1), (np.int32, 1), (np.int32, 1), (np.int32, 1), (np.int32, 1)]
 SPANS = [(np.int32, 1), (np.int32, 1), (np.int32, 1)]
+#: Bytes of a long text and windows that are worked on at once.
+PIECE = 4 << 20
+WINDOWS_AT_ONCE = 1 << 18
 
 
 def _known(table: pa.Table) -> pa.Table:
@@ -164,73 +168,110 @@ def _known(table: pa.Table) -> pa.Table:
     return table.filter(pc.is_valid(table.column("doc_id")))
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, least: np.ndarray) -> tuple:
+def _anchored(table: pa.Table, piece: int = PIECE) -> Iterator[tuple]:
+    """Runs of a slice's rows: (rows, bytes, offsets, anchors, hashes, least hashes, place of the run's first byte in its text).
+
+    A long text comes in pieces, which overlap by more than an anchor can depend on; each anchor is in one piece.
+    """
+    edge = 2 * WIDTH
+    for part, data, offsets in text_slices(iter(_known(table).to_batches())):
+        if part.num_rows > 1 or len(data) <= piece:
+            yield part, data, offsets, *anchors_of(data, offsets), 0
+            continue
+        for lo in range(0, len(data), piece):
+            begin, stop = max(lo - edge, 0), min(lo + piece + edge, len(data))
+            cut = np.array([0, stop - begin])
+            at, hashes, least = anchors_of(data[begin:stop], cut)
+            own = (at >= lo - begin) & (at < lo + piece - begin)
+            yield part, data[begin:stop], cut, at[own], hashes[own], least, begin
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + counts[0] - 1, then the same of the next."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, least: np.ndarray, base: int, at_once: int) -> Iterator[tuple]:
     """Windows around the anchors at `at`, with the repeats among them settled.
 
-    Of equal windows only the ones of the smallest doc are sent on; all strings of the others
-    begin in that doc too. Returns the anchors' hashes and the fields of KINDS.
+    Of equal windows only one of the smallest doc is sent on, with the runs of places where that doc has it; all
+    strings of the others begin in that doc too. Yields the anchors' hashes and the fields of KINDS.
     """
     padded = np.concatenate((np.zeros(STARTS - 1, np.uint8), data, np.zeros(LENGTH, np.uint8)))
     edge = np.zeros(STARTS - 1, U64)
-    owned = np.lib.stride_tricks.sliding_window_view(np.concatenate((edge, least, np.zeros(LENGTH, U64))), STARTS)[at] == hashes[:, None]
+    bounds = np.concatenate((edge, least, np.zeros(LENGTH, U64)))
+    for lo in range(0, len(at), at_once):
+        yield _settled(padded, bounds, offsets, doc, at[lo : lo + at_once], hashes[lo : lo + at_once], base)
+
+
+def _settled(padded: np.ndarray, bounds: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, base: int) -> tuple:
+    owned = np.lib.stride_tricks.sliding_window_view(bounds, STARTS)[at] == hashes[:, None]
     low = owned.argmax(1).astype(np.uint8)
     high = (STARTS - 1 - owned[:, ::-1].argmax(1)).astype(np.uint8)
     windows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
     column = np.arange(WIDTH)
     windows = np.where((column >= low[:, None]) & (column < high[:, None].astype(np.int64) + LENGTH), windows, 0).astype(np.uint8)
     row = np.searchsorted(offsets, at, "right") - 1
-    place, whose = (at - offsets[row]).astype(np.int32), doc[row]
-    # order by content, then doc; equal neighbours are compared byte by byte
+    place, whose = (at - offsets[row] + base).astype(np.int32), doc[row]
+    # order by content, then doc and place; equal neighbours are compared byte by byte
     words = np.zeros((len(at), 80), np.uint8)
     words[:, :WIDTH] = windows
     words[:, WIDTH], words[:, WIDTH + 1] = low, high
     content = words.view(U64)
     mixed = mix64((mix64(content) * np.arange(1, 21, 2, dtype=U64)).sum(1, dtype=U64))
-    order = np.lexsort((whose, mixed))
+    order = np.lexsort((at, whose, mixed))
     new = np.concatenate(([True], (content[order[1:]] != content[order[:-1]]).any(1)))[: len(order)]
-    smallest = whose[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    group = np.cumsum(new) - 1
+    first = order[np.flatnonzero(new)]
+    smallest = whose[first][group]
     settled = order[whose[order] > smallest]
-    sent = order[whose[order] == smallest]
+    sent = whose[order] == smallest
+    of, sent = group[sent], order[sent]
+    fresh = np.concatenate(([True], (of[1:] != of[:-1]) | (at[sent[1:]] != at[sent[:-1]] + 1) | (row[sent[1:]] != row[sent[:-1]])))[: len(sent)]
+    begins = np.flatnonzero(fresh)
+    length = np.diff(np.append(begins, len(sent))).astype(np.int32)
+    runs = np.bincount(of[begins], minlength=len(first)).astype(np.int32)
     begin = place.astype(np.int64) - (STARTS - 1)
     row_s, start, stop = _merged(row[settled], (begin + low)[settled], (begin + high + LENGTH)[settled])
-    return hashes[sent], [whose[sent], row[sent].astype(np.int32), place[sent], low[sent], high[sent], windows[sent]], [x.astype(np.int32) for x in (row_s, start, stop)]
+    own = [whose[first], runs, low[first], high[first], windows[first]]
+    return hashes[first], own, [row[sent[begins]].astype(np.int32), place[sent[begins]], length], [x.astype(np.int32) for x in (row_s, start, stop)]
 
 
-def _to_buckets(table: pa.Table, levels: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _to_buckets(table: pa.Table, levels: np.ndarray, buckets: int, piece: int, at_once: int) -> Iterator[tuple]:
     """(bucket, slice, blob) of the windows around anchors that may occur again."""
-    here, hashes, sent, settled, seen, rows = table.column("slice")[0].as_py(), [], [], [], 0, 0
-    for part, data, offsets in text_slices(iter(_known(table).to_batches())):
-        at, h, least = anchors_of(data, offsets)
+    here, parts, seen, rows, last = table.column("slice")[0].as_py(), [], 0, 0, None
+    for part, data, offsets, at, h, least, base in _anchored(table, piece):
+        rows += last.num_rows if last is not None and part is not last else 0
+        last = part
         again = levels[seen : seen + len(at)] > 0
         seen += len(at)
         doc = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-        h, own, spans = _windows(data, offsets, doc, at[again], h[again], least)
-        own[1] += np.int32(rows)
-        spans[0] += np.int32(rows)
-        rows += part.num_rows
-        hashes.append(h)
-        sent.append(own)
-        settled.append(spans)
-    if not sent:
+        for hashes, own, runs, spans in _windows(data, offsets, doc, at[again], h[again], least, base, at_once):
+            runs[0] += np.int32(rows)
+            spans[0] += np.int32(rows)
+            parts.append((hashes, own, runs, spans))
+    if not parts:
         return
-    fields = [np.concatenate(x) for x in zip(*sent, strict=True)]
-    spans = [np.concatenate(x) for x in zip(*settled, strict=True)]
-    bucket = (mix64(np.concatenate(hashes) ^ U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64)
+    joined = lambda k: [np.concatenate(x) for x in zip(*(p[k] for p in parts), strict=True)]
+    hashes, fields, runs, spans = np.concatenate([p[0] for p in parts]), joined(1), joined(2), joined(3)
+    begins = np.cumsum(fields[1]) - fields[1]
+    bucket = (mix64(hashes ^ U64(0x5851F42D4C957F2D)) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     mine = here % buckets  # settled spans go along with any bucket
     for b in np.union1d(bucket, [mine] if len(spans[0]) else []).astype(int).tolist():
         own = order[cuts[b] : cuts[b + 1]]
-        yield b, here, _packed([*(x[own] for x in fields), *(spans if b == mine else [x[:0] for x in spans])])
+        of_own = _ranges(begins[own], fields[1][own])
+        yield b, here, _packed([*(x[own] for x in fields), *(x[of_own] for x in runs), *(spans if b == mine else [x[:0] for x in spans])])
 
 
 def _match(table: pa.Table) -> pa.Table:
     """Spans to remove, by slice, from all windows of a bucket."""
     ids = table.column("slice").to_pylist()
     parts = [_unpacked(blob, KINDS) for blob in table.column("blob").to_pylist()]
-    of = np.concatenate([np.full(len(p[0]), i, np.int64) for i, p in zip(ids, parts, strict=True)])
-    of_settled = np.concatenate([np.full(len(p[6]), i, np.int64) for i, p in zip(ids, parts, strict=True)])
-    doc, row, place, low, high, windows, *settled = (np.concatenate(x) for x in zip(*parts, strict=True))
+    of = np.concatenate([np.full(len(p[5]), i, np.int64) for i, p in zip(ids, parts, strict=True)])
+    of_settled = np.concatenate([np.full(len(p[8]), i, np.int64) for i, p in zip(ids, parts, strict=True)])
+    doc, runs, low, high, windows, row, place, length, *settled = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     hit = np.zeros((len(doc), STARTS + 2), np.int8)
     if len(doc):
@@ -238,9 +279,12 @@ def _match(table: pa.Table) -> pa.Table:
     turn = np.diff(hit, axis=1)
     who, first = np.nonzero(turn == 1)
     last = np.nonzero(turn == -1)[1] - 1
-    begin = place[who].astype(np.int64) - (STARTS - 1)
-    key = np.concatenate((of[who] << 32 | row[who], of_settled << 32 | settled[0]))
-    start, stop = np.concatenate((begin + first, settled[1])), np.concatenate((begin + last + LENGTH, settled[2]))
+    # each turn of a window for each of its runs
+    run = _ranges((np.cumsum(runs) - runs)[who], runs[who])
+    first, last = np.repeat(first, runs[who]), np.repeat(last, runs[who])
+    begin = place[run].astype(np.int64) - (STARTS - 1)
+    key = np.concatenate((of[run] << 32 | row[run], of_settled << 32 | settled[0]))
+    start, stop = np.concatenate((begin + first, settled[1])), np.concatenate((begin + length[run] - 1 + last + LENGTH, settled[2]))
     key, start, stop = _merged(key, start, stop)
     where = key >> 32
     cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))[: len(key)].tolist()
@@ -267,7 +311,7 @@ def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
         step = np.zeros(len(data) + 1, np.int32)
         np.add.at(step, base + start[own], 1)
         np.add.at(step, base + stop[own], -1)
-        kept = np.cumsum(step[:-1]) == 0
+        kept = np.cumsum(step[:-1], dtype=np.int32) == 0
         runs = np.bincount(row[own] - done, minlength=part.num_rows)
         for i in range(part.num_rows):
             body = data[offsets[i] : offsets[i + 1]]
@@ -281,7 +325,7 @@ def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({"doc_id": table.column("doc_id"), **counts, "kept_sha256": pa.array(columns[3], pa.string())})
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, piece: int = PIECE, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     Removes each byte that a string of LENGTH bytes covers which also begins in a document with
@@ -291,18 +335,19 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     settled) to their buckets, and cutting out the spans that the buckets reply.
 
     Null texts are empty. Rows without doc_id are neither smaller nor larger than others:
-    nothing is removed from them. Rows that share a doc_id don't remove from each other. Empty
-    input: no rows.
+    nothing is removed from them. Rows that share a doc_id, and repeated rows, don't remove from each other. Very
+    long texts are worked on in pieces that overlap; a run of one letter is one window with a run of places. Other
+    columns are ignored, whatever their names. Empty input: no rows.
     """
     total = text_bytes(docs)
     texts, buckets = sliced(docs, total), spread(total, 8 << 20)
 
     def draw(table: pa.Table) -> np.ndarray:
-        found = [mix64(anchors_of(data, offsets)[1]) for _, data, offsets in text_slices(iter(_known(table).to_batches()))]
+        found = [mix64(hashes) for *_, hashes, _, _ in _anchored(table, piece)]
         return np.concatenate(found) if found else np.zeros(0, U64)
 
     fields = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("blob", pa.binary())])
-    sent = with_levels(texts, draw, lambda t, levels: _to_buckets(t, levels, buckets), fields, "bucket int, slice int, blob binary", total * 2 // (STARTS + 1))
+    sent = with_levels(texts, draw, lambda t, levels: _to_buckets(t, levels, buckets, piece, at_once), fields, "bucket int, slice int, blob binary", total * 2 // (STARTS + 1))
     spans = sent.groupBy("bucket").applyInArrow(_match, "slice int, blob binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -162,6 +162,28 @@ def test_suffix_dedup_without_ids(spark):
     assert got == {None: 0, 1: 0, 2: len(text)}
 
 
+def test_suffix_dedup_of_monotonous_and_long_texts(spark):
+    """Runs of one letter, short periods and texts of several pieces, at and around the pieces' edges."""
+    rng = random.Random(8)
+    piece = 1 << 16
+    body = "".join(rng.choice("abcdefghij ") for _ in range(3 * piece))
+    texts = ["x" * 700_000, "x" * 300_000 + "y" * 10, "ab" * 40_000, "b" + "ab" * 60_000, "abc" * 30_000 + "x" * 60, body, body[piece - 80 : piece + 90], "q" * 49, "q" * 50, "q" * 51, body[:200] + "x" * 100 + body[2 * piece - 30 : 2 * piece + 30]]
+    df = spark.createDataFrame(list(enumerate(reversed(texts))) + [(20 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert collections.Counter(tuple(r) for r in suffix_dedup.suffix_dedup(df, piece, 5000).collect()) == brute_spans(pairs(df))
+
+
+def test_pieces_have_the_same_anchors():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 101, 200_000).astype(np.uint8)).decode() + "z" * 30_000
+    table = pa.table({"doc_id": [7], "text": [text], "slice": [0]})
+    whole = [(b + int(p), int(h)) for _, _, _, at, hs, _, b in suffix_dedup._anchored(table) for p, h in zip(at, hs, strict=True)]
+    cut = [(b + int(p), int(h)) for _, _, _, at, hs, _, b in suffix_dedup._anchored(table, 30_000) for p, h in zip(at, hs, strict=True)]
+    assert cut == whole and len(whole) > 30_000
+
+
 def test_column_order_is_the_suffix_order():
     import numpy as np
 
