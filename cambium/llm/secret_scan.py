@@ -41,16 +41,24 @@ def _running_sums(lengths: Column) -> Column:
     return lengths
 
 
-def _spans(text: Column, kind: str, rank: int, pattern: str, least: int, group: int) -> Column:
-    """Array of (start, rank, kind, end, value) of the leftmost matches with a value of `least` characters.
+def _cut(text: Column, pattern: str, group: int) -> Column:
+    """A text cut at its leftmost matches: the pieces between them, the matches and their values."""
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+    cut = F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("whole"), value.alias("value"))
+    none = F.array().cast("array<string>")
+    return F.when(F.rlike(text, F.lit(pattern)), cut).otherwise(F.struct(none.alias("gaps"), none.alias("whole"), none.alias("value")))
+
+
+def _spans(text: Column, kinds: list[tuple]) -> Column:
+    """Array of (start, rank, kind, end, value) of the leftmost matches of each kind with a value of its least length.
 
     The pieces between matches and the matches themselves alternate, so running sums of
     their lengths give the positions in code points.
     """
-    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
-    pieces = F.struct(F.split(text, pattern, -1).alias("gaps"), whole.alias("whole"), value.alias("value"))
+    cuts = F.array(*(_cut(text, pattern, group) for _, pattern, _, group in kinds))
+    names, least = (F.array(*(F.lit(kind[k]) for kind in kinds)) for k in (0, 2))
     sized = F.transform(
-        F.array(pieces),
+        cuts,
         lambda s: F.struct(
             s["whole"].alias("whole"),
             s["value"].alias("value"),
@@ -58,14 +66,13 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, least: int, group:
         ),
     )
 
-    def spans(s: Column) -> Column:
+    def of_kind(s: Column, rank: Column) -> Column:
         one = lambda w, i: F.struct(
-            (F.get(s["ends"], i) - F.length(w)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.get(s["ends"], i).alias("end"), F.get(s["value"], i).alias("value")
+            (F.get(s["ends"], i) - F.length(w)).alias("start"), rank.alias("rank"), F.get(names, rank).alias("kind"), F.get(s["ends"], i).alias("end"), F.get(s["value"], i).alias("value")
         )
-        return F.filter(F.transform(s["whole"], one), lambda x: F.length(x["value"]) >= least)
+        return F.filter(F.transform(s["whole"], one), lambda x: F.length(x["value"]) >= F.get(least, rank))
 
-    found = F.get(F.transform(sized, spans), F.lit(0)).cast(f"array<{_SPAN}>")
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.flatten(F.transform(sized, of_kind)).cast(f"array<{_SPAN}>")
 
 
 def _hashed(span: Column) -> Column:
@@ -98,7 +105,7 @@ def secret_scan(docs: DataFrame, wide_owners: int = 3, repository: str = "source
     """
     text = F.coalesce("text", F.lit(""))
     kinds = [*BASE_KINDS, *MORE_KINDS]
-    spans = F.concat(*(_spans(text, kind, i, pattern, least, group) for i, (kind, pattern, least, group) in enumerate(kinds)))
+    spans = _spans(text, kinds)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c in docs.columns else F.lit("\0")
     held = named(repository)
     found = docs.select("doc_id", held.alias("repository"), (named(owner) if owner in docs.columns else held).alias("owner"), F.array_sort(spans).alias("all"))
