@@ -1,8 +1,9 @@
 """The corpus pipeline: documents -> identified, deduplicated, decontaminated, encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's docs. All but the last return the columns of `documents`. Each row
-has a decision of its own: doc_ids may be null or shared.
+read again as the next one's docs. All but the last return the columns of `documents`, and others that docs has,
+whatever their names. Each row has a decision of its own: doc_ids may be null or shared. Texts of any
+length are read whole. Without rows a stage returns none.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from cambium.llm.queries import VOCABULARY
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects: no letter, or too far from every
-    centroid that was learned from this stage's own input."""
+    """Drops the documents that language identification rejects: no letter (null and empty texts too), or too
+    far from every centroid that was learned from this stage's own input.
+
+    Repeated rows are judged alike. Rows without doc_id or lang aren't learned from. If nothing can be learned, every row
+    goes, since none can be told from junk.
+    """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     learned = docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.fit(learned.select("doc_id", F.lower("text").alias("text"), "lang"))
@@ -29,7 +34,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts.
 
     Within a group the operator's decision hangs on doc_id alone, so doc_id and the normalised
-    text's hash are the key of a row's own decision.
+    text's hash are the key of a row's own decision. Null and empty texts are one group. Null doc_ids come last; of rows
+    with the winner's doc_id the longest text stays, and of fully equal rows any one.
     """
     found = stored(exact_dedup.exact_dedup(docs).filter("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("__sha"), "kept"))
     gone = found.filter("NOT kept").select("doc_id", "__sha").distinct()
@@ -41,7 +47,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id (null: last) of each component of linked shingle sets.
 
     The operator ties rows of one doc_id together and leaves out those without, so it gets a
-    hash of doc_id and text as the id. Rows without words link with nothing and stay.
+    hash of doc_id and text as the id. Rows without words (null texts too) link with nothing and stay. Of
+    rows with the first one's doc_id and text one stays.
     """
     key = F.xxhash64("doc_id", "text")
     joined = stored(ngram_join.ngram_join(docs.select(key.alias("doc_id"), "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id"))
@@ -57,14 +64,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows in which a window of a benchmark item occurs; the text alone decides."""
+    """Drops the rows in which a window of a benchmark item occurs; the text alone decides, so repeated rows
+    go or stay together, whatever their doc_ids. Null texts and texts without words stay."""
     sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     found = decontaminate.decontaminate(docs.select(F.hex(sha).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return _without(docs, ["__sha"], sha, found.filter("contaminated").select(F.unhex("doc_id").alias("__sha")).distinct())
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row that is left; null text: no ids."""
     return bpe.bpe_digest(docs, VOCABULARY, with_ids=True)
 
 
