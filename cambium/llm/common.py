@@ -53,6 +53,14 @@ def drop_stored(spark: SparkSession) -> None:
         fs.delete(found.getPath(), True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or a longer one that isn't taken (Spark doesn't tell upper from lower case)."""
+    known = {c.lower() for c in taken}
+    while name in known:
+        name = f"_{name}"
+    return name
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as decimal text, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, least_hashed, one_row_each, release_memory, stored, tagged, text_slices
+from .common import crc_fold, free_name, least_hashed, one_row_each, release_memory, stored, tagged, text_slices
 
 BUCKETS = 8192
 CENTROIDS = 4
@@ -183,17 +183,19 @@ def identify(docs: DataFrame, model: Model, carry: list[str], prefix: str = "")
     with a cosine below the centroid's least for their length are rejected (too far from all that was learned;
     texts of fewer than three bytes have no trigram and can't be far).
     Null texts and texts without a letter: `und`, 0, rejected. So is every text if no language
-    was learned. Ties go to the first language by name.
+    was learned. Ties go to the first language by name. Very long texts are counted whole, as a run of their
+    own. Repeated rows are judged alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS x BUCKETS numbers a language
 
+    lower, has_letters = (free_name(c, carry) for c in ("__lower", "__letters"))
     names = [*carry, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs = np.array([*m.langs, UNKNOWN], object)
-        for part, counts in ngram_counts(batches, "__lower"):
-            letters = part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
+        for part, counts in ngram_counts(batches, lower):
+            letters = part.column(part.schema.get_field_index(has_letters)).to_numpy(zero_copy_only=False).astype(bool)
             if len(m.centres):
                 length = counts.sum(1)
                 some, klass = length > 0, length_class(length)
@@ -209,7 +211,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str], prefix: str = "")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     letters = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
-    fed = docs.select(*carry, F.lower("text").alias("__lower"), letters.alias("__letters"))
+    fed = docs.select(*carry, F.lower("text").alias(lower), letters.alias(has_letters))
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return fed.mapInArrow(run, f"{head}, {prefix}lang_pred string, {prefix}score double, {prefix}rejected boolean")
 
@@ -219,7 +221,7 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     Learns from text and lang of the rows with a lang whose fold (crc32 of doc_id, of 4) is not
     2; held_out marks fold 2. Null doc_ids: not held out and not learned from. See identify()
-    for texts without letters. Empty input: no rows.
+    for texts without letters. Other columns are ignored, whatever their names. Empty input: no rows.
     """
     fold = crc_fold(F.col("doc_id"), 4)
     lowered = F.lower("text").alias("text")

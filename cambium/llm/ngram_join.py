@@ -236,8 +236,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
        is a task of its own. 5. Components of the links.
 
     Shingles are compared by 62-bit hashes. Null and empty texts: no shingles, a component of
-    their own. Rows that share a doc_id count as one document of several texts; a row without
-    doc_id takes no part and has no component. Empty input: no rows.
+    their own. Rows that share a doc_id, and repeated rows, count as one document of several texts; a row without
+    doc_id takes no part and has no component. Very long texts are read whole, as a run of their own, and their
+    sets meet only sets of about their size. Other columns are ignored, whatever their names. Empty input: no rows.
     """
     total = text_bytes(docs)
     kinds = "doc_id long, n long, k1 long, k2 long, entries array<long>, tokens binary"

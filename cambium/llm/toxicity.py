@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, crc_fold, least_hashed, one_row_each, stored, tagged, text_slices, word_bounds, word_hashes
+from .common import LOWER, U64, crc_fold, free_name, least_hashed, one_row_each, stored, tagged, text_slices, word_bounds, word_hashes
 
 BITS = 18
 #: Bound of the labelled rows that the classifier is fitted on.
@@ -220,15 +220,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pena
 def score(docs: DataFrame, model: Model, carry: list[str], terms: Terms = TERMS) -> DataFrame:
     """The columns of `carry`, score and predicted for every row of docs; null text: no words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
+    text = free_name("__text", carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in text_slices(batches, "__text"):
+        for part, data, offsets in text_slices(batches, text):
             got = shared.value.scores(*word_sets(data, offsets, terms))
             kept = [part.column(part.schema.get_field_index(c)) for c in carry]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*carry, "score", "predicted"])
 
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, f"{head}, score double, predicted int")
+    return docs.select(*carry, F.col("text").alias(text)).mapInArrow(run, f"{head}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, terms: Terms = TERMS) -> DataFrame:

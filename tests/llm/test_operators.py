@@ -215,6 +215,16 @@ def test_langid(docs, real, empty):
     assert langid.language_id(empty).isEmpty()
 
 
+def test_carried_columns_of_any_name(spark):
+    """Columns named as the operators' own ones come through."""
+    df = spark.createDataFrame([(1, "some words", "en", "a", "b", "c")], "doc_id long, text string, lang string, __lower string, __letters string, __Text string")
+    carry = [c for c in df.columns if c != "text"]
+    r = langid.identify(df, langid.fit(df.select("doc_id", "text", "lang")), carry).first()
+    assert (r["__lower"], r["__letters"], r["lang_pred"]) == ("a", "b", "en")
+    r = toxicity.score(df, toxicity.fit_weights([], __import__("numpy").zeros(0)), carry).first()
+    assert r["__Text"] == "c" and r["predicted"] == 0
+
+
 def test_langid_without_labels(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.language_id(df).collect()} == {"und"}
