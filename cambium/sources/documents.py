@@ -12,7 +12,7 @@ from cambium.operators.structure import file_name_of
 from cambium.operators.tables import arranged
 from cambium.operators.validate import SchemaError, Table, validated_document, violations
 
-from .scratch import file_system
+from .scratch import listed
 
 
 def read_metadata(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
@@ -43,12 +43,6 @@ def read_valid_metadata(spark: SparkSession, folder: str, tables: dict[str, Tabl
     return read, found
 
 
-def listed(spark: SparkSession, folder: str) -> list[str]:
-    """The names in a folder."""
-    fs, path = file_system(spark, folder)
-    return sorted(f.getPath().getName() for f in fs.listStatus(path(folder)))
-
-
 #: Fixed: the tables of a submission by part.
 DATASET_TABLES = ["ds_data", "author_data", "funding_data", "relresource_data"]
 SITE_TABLES = ["site_data", "tree_data", "woodpiece_data", "slide_data"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ from cambium.functions import expr as X
 from cambium.operators.model import Measurements, require
 from cambium.operators.validate import Table, align_to_schema
 
+from .scratch import listed
+
 #: Fixed: kinds of files and their endings, in any case; images in such paths don't count.
 ENDINGS = {"cells": r"_Output_Cells\.txt", "rings": r"_Output_Rings\.txt", "settings": r"_ROXAS_Settings\.txt", "image": r"\.jpe?g"}
 NOT_IMAGES = ["annotated", "ReferenceSeries", "Preview"]
@@ -223,13 +224,12 @@ def processed_schema(columns: list[str]) -> T.StructType:
 
 def read_processed(spark: SparkSession, folder: str, dataset: str) -> Measurements:
     """The one cells and the one rings CSV (plain or gzip) of a data set in a folder."""
-    listed = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").collect()]
-    tables = {}
+    names, tables = listed(spark, folder), {}
     for kind in ("cells", "rings"):
-        hits = {re.sub(r"(\.csv[^/]*)/.*$", r"\1", p) for p in listed if re.search(rf"{re.escape(dataset)}[^/]*{kind}[^/]*\.csv", p)}
+        hits = [n for n in names if ".csv" in n and dataset in n and kind in n.split(dataset, 1)[1]]
         if len(hits) != 1:
             raise FileNotFoundError(f"{len(hits)} files for {kind} of {dataset}")
-        path = hits.pop()
+        path = f"{folder}/{hits[0]}"
         head = spark.read.option("header", True).csv(path).columns
         tables[kind] = spark.read.schema(processed_schema(head)).csv(path, header=True, nullValue="NA")
     return Measurements(tables["cells"], tables["rings"])

@@ -42,6 +42,12 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; nothing below it is looked at."""
+    fs, path = file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path(folder)))
+
+
 def drop_folders(spark: SparkSession) -> None:
     """Delete the session's folders, once no result that reads them is needed any more."""
     fs, path = file_system(spark, shared_folder(spark))
