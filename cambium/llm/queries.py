@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, exact_dedup, filter_audit, langid, license_scan, ngram_join, prefix_trie, secret_scan, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, exact_topk, filter_audit, langid, license_scan, ngram_join, prefix_trie, secret_scan, sharding, suffix_dedup, toxicity
 from .common import table
 
 #: The vocabulary of the production encoding; a parameter of the operator.
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_ngram_join": lambda spark, sf_dir: ngram_join.ngram_join(table(spark, sf_dir, "documents")),
     "op11_prefix_trie": lambda spark, sf_dir: prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")),
+    "op12_exact_topk": lambda spark, sf_dir: exact_topk.exact_top_k(table(spark, sf_dir, "embeddings")),
     "op13_filter_audit": lambda spark, sf_dir: filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
@@ -34,5 +35,6 @@ ORACLE_SQL = {
     "op8_sharding": sharding.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_exact_topk": exact_topk.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
