@@ -65,7 +65,7 @@ def load_rings(spark, d):
 
 def load_failures(spark, d):
     data = archive.structure(spark, d)
-    return data.join(files.collect_cells(spark, data)[1], "image_label", "left_semi").select("image_label", _base("fname_cells"))
+    return data.join(files.collect_cells(spark, data)[1], "image_label").select("image_label", _base("fname_cells"), "problem")
 
 
 def load_bundle(spark, d):
@@ -100,14 +100,16 @@ def combined_metadata(spark, d):
 
 def streamed_counts(spark, d):
     out = new_folder(spark, "arrived")
-    arrivals.count_arrived(arrivals.ring_counts(arrivals.cell_stream(spark, archive.folder(spark, d, current=True))), out, new_folder(spark, "offsets"))
+    arrivals.count_arrived(arrivals.ring_counts(arrivals.cell_stream(spark, archive.folder(spark, d))), out, new_folder(spark, "offsets"))
     return spark.read.parquet(out)
 
 
 CELLS_OF_FILES = f"""images AS ({archive.oracle_images()}), of_files AS (
-  SELECT i.image_label, i.suppkey, c.* EXCLUDE (image_label, suppkey) FROM raw_cells c JOIN images i USING (suppkey) WHERE NOT i.{archive.BROKEN}
+  SELECT i.image_label, i.stem, i.suppkey, c.* EXCLUDE (image_label, suppkey) FROM raw_cells c JOIN images i USING (suppkey) WHERE NOT {archive.UNREAD}
+  UNION ALL BY NAME SELECT image_label, stem, suppkey, 1990 AS year FROM images WHERE {archive.SHORT} AND NOT {archive.UNREAD}
 ), rings_of_files AS (SELECT i.woodpiece_label, i.slide_label, i.image_label, g.* EXCLUDE (woodpiece_label, slide_label, image_label) FROM raw_rings g JOIN images i ON g.image_label = concat('I', i.suppkey))"""
-FAILED = f"({archive.BROKEN} OR {archive.UNDATED})"
+NO_FILE = f"({archive.GONE} OR {archive.EMPTY})"
+PROBLEM = f"CASE WHEN {NO_FILE} THEN 'no file' WHEN {archive.BROKEN} THEN 'no column {files.CELL_COLUMNS[-1]}' ELSE concat_ws('; ', CASE WHEN {archive.UNDATED} THEN 'no year' END, CASE WHEN {archive.SHORT} THEN 'short line' END) END"
 
 # -- processed tables ---------------------------------------------------------------------------
 
@@ -445,18 +447,18 @@ def oracle_sql() -> dict[str, str]:
       ELSE printf('SITE%d_PCAB_%02d%s_%d_%d.jpg', p_partkey % 5, p_partkey % 90, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'AB' END, p_partkey % 7, p_partkey) END AS name FROM part)"""
     flag = lambda on, field, message: f"SELECT '{field}' AS field, '{message}' AS message, count(*) FILTER (WHERE {on}) AS n FROM ds"
     return {
-        "found_sets": images + "SELECT stem, stem || '.jpg' AS fname_image, stem || '_Output_Cells.txt' AS fname_cells, stem || '_Output_Rings.txt' AS fname_rings, stem || '_ROXAS_Settings.txt' AS fname_settings FROM images",
+        "found_sets": images + f"SELECT stem, stem || '.jpg' AS fname_image, CASE WHEN NOT {NO_FILE} THEN stem || '_Output_Cells.txt' END AS fname_cells, stem || '_Output_Rings.txt' AS fname_rings, stem || '_ROXAS_Settings.txt' AS fname_settings FROM images",
         "image_structure": images + "SELECT stem AS name, split_part(stem, '_', 1) AS site_label, 'PISY' AS species_code, tree_label, woodpiece_label, slide_label, image_label FROM images",
         "load_cells": archived + f"SELECT image_label, year, {', '.join(r(f'{c}::DOUBLE', c) for c in ['xpix', 'ypix', *CELL_MEASURES])} FROM of_files",
         "load_rings": archived + f"SELECT woodpiece_label, slide_label, image_label, year, {rings} FROM rings_of_files",
-        "load_failures": images + f"SELECT image_label, stem || '_Output_Cells.txt' AS fname_cells FROM images WHERE {FAILED}",
+        "load_failures": images + f"SELECT * FROM (SELECT image_label, CASE WHEN NOT {NO_FILE} THEN stem || '_Output_Cells.txt' END AS fname_cells, {PROBLEM} AS problem FROM images) WHERE problem <> ''",
         "load_bundle": archived + "SELECT 'cells' AS tbl, image_label, count(*) AS n FROM of_files GROUP BY ALL UNION ALL SELECT 'rings', image_label, count(*) FROM rings_of_files GROUP BY ALL",
         "load_settings": images + """SELECT stem || '_ROXAS_Settings.txt' AS fname_settings, 'conf' || suppkey AS configuration_file, '03.02.2021 10:11:12' AS created_at, '3.0.' || (suppkey % 4) AS sw_version, 'ROXAS' AS software,
             2.27::DOUBLE AS spatial_resolution, suppkey + 0.5::DOUBLE AS origin_calibrated_x, (suppkey % 7)::DOUBLE AS origin_calibrated_y, CASE suppkey % 2 WHEN 1 THEN 'linear' ELSE 'circular' END AS meas_geometry,
             (suppkey % 100)::INT AS circ_lower_limit, (1990 + suppkey % 30)::INT AS outmost_year, (suppkey % 50)::INT AS min_cell_area, NULL::INT AS max_cell_area FROM images""",
         "image_info": images + f"SELECT stem || '.jpg' AS fname_image, 'JPEG' AS img_filetype, {len(archive.jpeg(1, 1))}::BIGINT AS img_size, (100 + suppkey % 900)::INT AS img_width, (200 + suppkey % 700)::INT AS img_height FROM images",
         "combined_metadata": images + "SELECT image_label, woodpiece_label, (100 + suppkey % 900)::INT AS img_width, CASE suppkey % 2 WHEN 1 THEN 'linear' ELSE 'circular' END AS meas_geometry, (1990 + suppkey % 30)::INT AS outmost_year, stem || '.jpg' AS fname_image, 'fname_settings,fname_image,fname_cells,fname_rings' AS last_columns FROM images",
-        "streamed_counts": archived + "SELECT stem, c.year, count(*) AS cno FROM raw_cells c JOIN images i USING (suppkey) GROUP BY ALL",
+        "streamed_counts": archived + "SELECT stem, year, count(*) AS cno FROM of_files GROUP BY ALL",
         "processed_cells": views(MEASURED, BOUNDARY) + f"SELECT {K}, xpix::INT AS xpix, ypix::INT AS ypix, {r('la', 'la')}, {r('rtsr', 'rtsr')}, {r('tca', 'tca')}, {r('cdratio', 'cdratio')}, sector100, CASE WHEN sector100 IS NULL OR max_ew_sector IS NULL THEN NULL WHEN sector100 <= max_ew_sector THEN 'EW' ELSE 'LW' END AS ew_lw FROM measured LEFT JOIN boundary USING ({K})",
         "processed_rings": views(MEASURED, BOUNDARY) + f"SELECT woodpiece_label, slide_label, {K}, {rings}, {r('eww', 'eww')}, {r('lww', 'lww')} FROM rings LEFT JOIN boundary USING ({K})",
         "profile_file": views() + f"SELECT {K}, sector_n, {r('avg(la)', 'la_mean')}, {r('avg(cwttan)', 'cwttan_mean')}, {r('quantile_cont(la, 0.5)', 'la_q50')}, {r('quantile_cont(cwttan, 0.5)', 'cwttan_q50')} FROM (SELECT *, CASE WHEN rraddistr > 100 AND rraddistr <= 101 THEN 5 WHEN rraddistr BETWEEN 0 AND 100 THEN greatest(ceil(rraddistr / 20), 1)::INT END AS sector_n FROM cells) WHERE sector_n IS NOT NULL GROUP BY {K}, sector_n",

@@ -16,7 +16,7 @@ from cambium.functions import expr as X
 from cambium.operators.model import Measurements, require
 from cambium.operators.validate import Table, align_to_schema
 
-from .scratch import listed
+from .scratch import file_system, listed
 
 #: Fixed: kinds of files and their endings, in any case; images in such paths don't count.
 ENDINGS = {"cells": r"_Output_Cells\.txt", "rings": r"_Output_Rings\.txt", "settings": r"_ROXAS_Settings\.txt", "image": r"\.jpe?g"}
@@ -35,13 +35,16 @@ SETTINGS = {
     18: "circ_lower_limit", 19: "circ_upper_limit", 20: "outmost_year", 31: "min_cell_area", 33: "max_cell_area", 166: "dbl_cwt_threshold",
     203: "max_cwtrad_s", 204: "max_cwtrad_l", 205: "relwidth_cwt_window", 206: "maxrel_opp_cwt", 207: "max_cwttan_s", 208: "max_cwttan_l",
 }
+#: Fixed: types of settings and of the columns of processed tables.
 INT_SETTINGS = ["circ_lower_limit", "circ_upper_limit", "outmost_year", "min_cell_area", "max_cell_area"]
 DOUBLE_SETTINGS = ["spatial_resolution", "dbl_cwt_threshold", "max_cwtrad_s", "max_cwtrad_l", "relwidth_cwt_window", "maxrel_opp_cwt", "max_cwttan_s", "max_cwttan_l"]
 INT_COLUMNS = ["year", "cno", "xpix", "ypix", "nbrno", "nbrid", "sector100"]
 TEXT_COLUMNS = ["site_label", "tree_label", "woodpiece_label", "slide_label", "image_label", "ew_lw", "comment"]
-_HEAD_BYTES = 1 << 16
 FLAG_COLUMNS = ["incomplete_ring", "missing_ring", "duplicate_ring", "exclude_dupl", "exclude_issues"]
 
+#: Labels and paths of so many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 # -- discovery ----------------------------------------------------------------------------------
 
@@ -76,34 +79,12 @@ def incomplete_sets(files: DataFrame) -> DataFrame:
 
 def _key(c: Column) -> Column:
     """Paths alike, however they name their file system."""
-    return F.regexp_replace(c, "^[a-z]+:/*", "/")
-
+    return F.regexp_replace(c, "^[a-z][a-z0-9+.-]*:/*", "/")
 
-def _first_line(path: str) -> str:
-    """The first line of a file; no more than a block of it is read."""
-    system, inner = pa_fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
-    with system.open_input_stream(inner) as f:
-        return f.read(_HEAD_BYTES).split(b"\n", 1)[0].decode("utf-8", "replace")
 
-
-def headers(paths: DataFrame, column: str, columns: list[str], variants: dict[str, list[str]] | None = None) -> DataFrame:
-    """(file_key, places): where each of `columns`, or else an older name of it, stands in a file's header; null if a column is absent.
-
-    Only first lines are read, in tasks over the files.
-    """
-
-    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for path in p["path"]:
-                head = [h.strip().strip('"') for h in _first_line(path).rstrip("\r").split("\t")]
-                names = [next((n for n in [c, *(variants or {}).get(c, [])] if n in head), None) for c in columns]
-                rows.append(None if None in names else [head.index(n) for n in names])
-            yield pd.DataFrame({"path": p["path"], "places": rows})
-
-    known = paths.select(F.col(column).alias("path")).dropna().distinct()
-    spread = known.repartition("path")  # one file's head is little work, many files' heads are spread over tasks
-    return spread.mapInPandas(find, "path string, places array<int>").select(_key(F.col("path")).alias("file_key"), "places")
+def _metadata_key() -> Column:
+    """The key of a scan's own path, whose odd characters are encoded."""
+    return _key(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
 
 
 def any_case(ending: str) -> str:
@@ -111,53 +92,84 @@ def any_case(ending: str) -> str:
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending.replace("\\", ""))
 
 
-def read_tsv(structure: DataFrame, fname: str, kind: str, labels: list[str], columns: list[str], variants: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of the files that structure names in `fname`: its labels and the columns as doubles; and the labels of unreadable files.
-
-    One scan of the lines of all files below the folder that they share, whatever their headers; each line
-    is joined with its file's labels and the places of its columns, so no list of paths or headers is held by
-    the driver. What isn't a number is null. A file that lacks a column is unreadable.
-    """
+def folders_of(structure: DataFrame, fname: str) -> list[str]:
+    """The folders of the files that structure names, without those that aren't there. The driver holds folders, not files."""
     spark = structure.sparkSession
-    ends = structure.agg(F.min(fname), F.max(fname)).first()
-    if ends[0] is None:
-        raise FileNotFoundError("no files to read")
-    folder = os.path.commonprefix([ends[0], ends[1]]).rsplit("/", 1)[0]  # the least and the greatest path share what all share
-    heads = headers(structure, fname, columns, variants)
-    side = structure.select(_key(F.col(fname)).alias("file_key"), *labels).join(heads, "file_key")
-    lines = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(ENDINGS[kind])).load(folder)
-    lines = lines.select("value", _key(F.col("_metadata.file_path")).alias("file_key"))
-    joined = lines.join(side.filter("places IS NOT NULL"), "file_key").select(*labels, "places", F.split("value", "\t").alias("parts"))
-    body = joined.filter(F.trim(F.get("parts", F.get("places", F.lit(0))), F.lit('"\r ')) != columns[0]).filter(F.length(F.array_join("parts", "")) > 0)
-    number = lambda k: _number(F.get("parts", F.get("places", F.lit(k))))
-    return body.select(*labels, *(number(k).alias(c.lower()) for k, c in enumerate(columns))), side.filter("places IS NULL").select(*labels)
+    found = structure.select(F.regexp_extract(fname, "^(.*)/[^/]*$", 1).alias("folder")).dropna().distinct().collect()
+    there = lambda folder: (fs := file_system(spark, folder))[0].exists(fs[1](folder))
+    return sorted(r[0] for r in found if there(r[0]))
 
 
-def _number(c: Column) -> Column:
-    return X.clean_double(F.trim(c, F.lit('"\r ')).try_cast("double"))
+def beside(structure: DataFrame, fname: str, kind: str, labels: list[str]) -> DataFrame:
+    """(labels, value) of the files that structure names in fname, each a row with its whole text.
+
+    Only the folders that occur are read, by Spark's text source, so any file system that Spark knows will do. The labels are
+    joined to files, not to lines: by broadcast up to BROADCAST_BYTES of labels and paths, else by a shuffle of the files.
+    Files that are missing, empty (Spark lists none) or can't be read are left out.
+    """
+    spark = structure.sparkSession
+    side = structure.select(_key(F.col(fname)).alias("file_key"), *labels)
+    folders = folders_of(structure, fname)
+    if not folders:
+        return side.limit(0).select(*labels, F.lit(None).cast("string").alias("value"))
+    source = spark.read.format("text").options(wholetext=True, ignoreCorruptFiles=True, ignoreMissingFiles=True, pathGlobFilter=any_case(ENDINGS[kind]))
+    texts = source.load(folders).select(_metadata_key().alias("file_key"), "value")
+    size = side.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 for c in side.columns), F.lit(0)))).first()[0] or 0
+    return texts.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, "file_key").select(*labels, "value")
+
+
+def parsed(files: DataFrame, keep: list[str], columns: list[str], variants: dict[str, list[str]] | None = None) -> DataFrame:
+    """The lines of whole files (column value), batch or stream: keep, line, problem and the columns as doubles.
+
+    A file's own first line says where each column stands, by its name or else an older one. What isn't a number is null.
+    problem says what is wrong with a row: a file that lacks columns is one row that names them; a line with too few fields has
+    nulls for the rest; a line may have no year. Blank lines count for nothing. A file with no other line is a row of nulls.
+    """
+    older = variants or {}
+    clean = lambda c: F.trim(c, F.lit('"\r \ufeff'))
+    place = lambda c: F.coalesce(*(F.nullif(F.array_position("head", n), F.lit(0)) for n in [c, *older.get(c, [])])).cast("int") - 1
+    lines = files.select(*keep, F.split("value", "\n").alias("lines"))
+    heads = lines.select(*keep, "lines", F.transform(F.split(F.get("lines", F.lit(0)), "\t"), clean).alias("head"))
+    placed = heads.select(*keep, "lines", F.array(*(place(c) for c in columns)).alias("places"))
+    lacks = F.array_compact(F.array(*(F.when(F.get("places", F.lit(k)).isNull(), c) for k, c in enumerate(columns))))
+    told = placed.select(*keep, "lines", "places", F.when(F.size(lacks) > 0, F.concat(F.lit("no column "), F.array_join(lacks, ", "))).alias("lacking"))
+    body = F.when(F.col("lacking").isNull(), F.filter(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda t: clean(t) != ""))
+    each = told.select(*keep, "places", "lacking", F.posexplode_outer(body).alias("line", "text"))
+    cut = each.select(*keep, "line", "places", "lacking", F.split("text", "\t").alias("parts"))
+    number = lambda k: X.clean_double(clean(F.get("parts", F.get("places", F.lit(k)))).try_cast("double"))
+    short = F.size("parts") <= F.array_max("places")
+    rows = cut.select(*keep, "line", "lacking", short.alias("short"), *(number(k).alias(c.lower()) for k, c in enumerate(columns)))
+    dated = _integral_year(rows)
+    problem = F.coalesce("lacking", F.when(F.col("short"), "short line"), F.when(F.col("line").isNotNull() & F.col("year").isNull(), "no year"))
+    return dated.select(*keep, "line", problem.alias("problem"), *(c.lower() for c in columns))
 
 
 def _integral_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.when(F.col("year") == F.floor("year"), F.col("year")).cast("int"))
 
 
-def _collected(df: DataFrame, unreadable: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    dated = _integral_year(df)
-    failed = dated.filter("year IS NULL").select("image_label").unionByName(unreadable.select("image_label")).distinct()
-    return dated.filter("year IS NOT NULL").select(*columns), failed
+def read_tsv(structure: DataFrame, fname: str, kind: str, labels: list[str], columns: list[str], variants: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that structure names in `fname`: its labels and the columns; and (image_label, problem) of the images with any.
+
+    Rows without a year are left out. A file that is missing or empty, lacks columns, or has short lines or lines without a
+    year is reported, and the load goes on with the rest.
+    """
+    rows = parsed(beside(structure, fname, kind, labels), labels, columns, variants)
+    told = F.array_join(F.array_sort(F.collect_set("problem")), "; ")  # a few kinds for a file
+    seen = rows.groupBy("image_label").agg(told.alias("problem"))
+    problems = structure.select("image_label").distinct().join(seen, "image_label", "left").withColumn("problem", F.coalesce("problem", F.lit("no file")))
+    return rows.filter("year IS NOT NULL").select(*labels, *(c.lower() for c in columns)), problems.filter("problem <> ''")
 
 
 def collect_cells(spark: SparkSession, structure: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of all files (rows without a year left out), and the image_labels that had such rows or couldn't be read."""
-    df, unreadable = read_tsv(structure, "fname_cells", "cells", ["image_label"], CELL_COLUMNS, CELL_VARIANTS)
-    return _collected(df, unreadable, ["image_label", *(c.lower() for c in CELL_COLUMNS)])
+    """Cells of all files (rows without a year left out), and (image_label, problem) of the files that weren't read whole."""
+    return read_tsv(structure, "fname_cells", "cells", ["image_label"], CELL_COLUMNS, CELL_VARIANTS)
 
 
 def collect_rings(spark: SparkSession, structure: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rings of all files with their labels, and the image_labels that had rows without a year or couldn't be read."""
-    labels = ["woodpiece_label", "slide_label", "image_label"]
-    df, unreadable = read_tsv(structure, "fname_rings", "rings", labels, RING_COLUMNS)
-    return _collected(df.withColumnsRenamed(RING_RENAMED), unreadable, [*labels, *(RING_RENAMED.get(c.lower(), c.lower()) for c in RING_COLUMNS)])
+    """Rings of all files with their labels, and (image_label, problem) of the files that weren't read whole."""
+    df, failed = read_tsv(structure, "fname_rings", "rings", ["woodpiece_label", "slide_label", "image_label"], RING_COLUMNS)
+    return df.withColumnsRenamed(RING_RENAMED), failed
 
 
 def collect_measurements(spark: SparkSession, structure: DataFrame) -> Measurements:

@@ -4,20 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cambium.sources.measurements import CELL_COLUMNS, ENDINGS, any_case
+from cambium.sources.measurements import CELL_COLUMNS, CELL_VARIANTS, ENDINGS, any_case, parsed
 
 
-def cell_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Cells of the files that arrive in a folder (header of the current version), with their stem.
+def arrived_cells(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The lines of the cell files that arrive below a folder: their stem, line, problem and columns, as `parsed` gives them.
 
-    Each file is read once; the checkpoint of the sink remembers which ones have been.
+    Columns are found by each file's own header, as in a batch. Each file is read once; the checkpoint of the sink
+    remembers which ones have been. A file must arrive whole (by a rename).
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["ID", *CELL_COLUMNS]])
-    raw = spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", any_case(ENDINGS["cells"])).csv(folder)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return raw.select(F.regexp_replace(name, f"(?i){ENDINGS['cells']}$", "").alias("stem"), *(F.expr(f"try_cast({c} as double)").alias(c.lower()) for c in CELL_COLUMNS)).filter("year IS NOT NULL")
+    raw = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", any_case(ENDINGS["cells"])).load(folder)
+    name = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+    return parsed(raw.select(F.regexp_replace(name, f"(?i){ENDINGS['cells']}$", "").alias("stem"), "value"), ["stem"], CELL_COLUMNS, CELL_VARIANTS)
+
+
+def cell_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Cells with a year of the files that arrive below a folder, with their stem."""
+    return arrived_cells(spark, folder, files_per_trigger).filter("year IS NOT NULL").drop("line", "problem")
+
+
+def problem_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """stem, line and problem of what was wrong with the files that arrive."""
+    return arrived_cells(spark, folder, files_per_trigger).filter("problem IS NOT NULL").select("stem", "line", "problem")
 
 
 def ring_counts(cells: DataFrame) -> DataFrame:

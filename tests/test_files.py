@@ -85,12 +85,57 @@ def test_settings_and_images(spark, folder):
     assert [r["date_problem"] for r in dates] == [None, None, "future", "unparsed"] and dates[1]["d"] == dt.datetime(2021, 2, 3, 9, 5)
 
 
-def test_only_first_lines_are_read_for_headers(spark, folder, monkeypatch):
-    data = sets_with_labels(spark, folder)
-    heads = measurements.headers(data, "fname_cells", ["YEAR", "LA"], {"LA": ["CA"]}).collect()
-    assert [r["places"] for r in heads] == [[1, 8], [1, 8]]
-    assert {r["places"] for r in measurements.headers(data, "fname_cells", ["NO"]).collect()} == {None}
-    assert measurements._first_line(str(folder / "SITEA_PISY_01A_1_2_Output_Rings.txt")).startswith("YEAR\t")
+def odd_files(tmp_path):
+    """In two far-apart folders: CID in the second place, old names, a missing, an empty and a broken file, short lines; and one beside that nobody names."""
+    names = measurements.CELL_COLUMNS
+    old = ["BEND" if c == "TB2" else "CA" if c == "LA" else c for c in names]
+    a, b = tmp_path / "a b+c", tmp_path / "far" / "away"
+    values = lambda y: [str(y), *(f"{k}.5" for k in range(1, len(names)))]
+    write(a / "moved_Output_Cells.txt", ["\t".join(["ID", "CID", *reversed(names)]), "\t".join(["x", "77", *reversed(values(1999))])])
+    write(b / "old_OUTPUT_cells.TXT", ["\t".join(f'"{c}"' for c in ["ID", *old]) + "\r", "\t".join(["x", *values(2000)]) + "\r", "", "\t".join(["x", *values("NA")]) + "\r"])
+    write(b / "short_Output_Cells.txt", ["\t".join(["ID", *names]), "\t".join(["x", *values(2001)]), "x\t2002\t5", "x"])
+    write(b / "broken_Output_Cells.txt", ["\t".join(["ID", *names[:-2]]), "\t".join(["x", *values(2001)])])
+    write(a / "head_Output_Cells.txt", ["\t".join(["ID", *names])])
+    (a / "empty_Output_Cells.txt").write_text("")
+    write(tmp_path / "far" / "other_Output_Cells.txt", ["nobody", "asked"])
+    where = {"moved": a / "moved_Output_Cells.txt", "old": b / "old_OUTPUT_cells.TXT", "gone": tmp_path / "no" / "gone_Output_Cells.txt", "unnamed": None}
+    return where | {n: b / f"{n}_Output_Cells.txt" for n in ("short", "broken", "missing")} | {n: a / f"{n}_Output_Cells.txt" for n in ("head", "empty")}
+
+
+PROBLEMS = {"broken": "no column CWA, RWD", "empty": "no file", "gone": "no file", "missing": "no file", "old": "no year", "short": "short line", "unnamed": "no file"}
+
+
+def test_columns_by_name_and_failures_reported(spark, tmp_path):
+    where = odd_files(tmp_path)
+    data = spark.createDataFrame([(n, None if p is None else str(p)) for n, p in where.items()], "image_label string, fname_cells string")
+    cells, failed = measurements.collect_cells(spark, data)
+    got = {(r["image_label"], r["year"]): r for r in cells.collect()}
+    assert sorted(got) == [("moved", 1999), ("old", 2000), ("short", 2001), ("short", 2002)]
+    for key in [("moved", 1999), ("old", 2000), ("short", 2001)]:
+        assert [got[key][c.lower()] for c in measurements.CELL_COLUMNS[1:]] == [k + 0.5 for k in range(1, 26)]
+    assert got["short", 2002]["xpix"] == 5 and got["short", 2002]["rwd"] is None
+    assert {r[0]: r[1] for r in failed.collect()} == PROBLEMS
+    assert not any("other" in f for f in cells.inputFiles()) and len(cells.inputFiles()) == 6
+    none, all_failed = measurements.collect_cells(spark, data.filter("image_label IN ('gone', 'unnamed')"))
+    assert none.isEmpty() and all_failed.count() == 2
+
+
+def test_labels_by_shuffle(spark, tmp_path, monkeypatch):
+    where = odd_files(tmp_path)
+    data = spark.createDataFrame([(n, None if p is None else str(p)) for n, p in where.items()], "image_label string, fname_cells string")
+    monkeypatch.setattr(measurements, "BROADCAST_BYTES", 0)
+    cells, failed = measurements.collect_cells(spark, data)
+    assert cells.count() == 4 and {r[0]: r[1] for r in failed.collect()} == PROBLEMS
+
+
+def test_stream_reads_columns_by_name(spark, tmp_path):
+    odd_files(tmp_path)
+    for name, stream in (("cells", arrivals.cell_stream), ("problems", arrivals.problem_stream)):
+        stream(spark, str(tmp_path)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"at_{name}")).option("path", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    assert sorted(tuple(r) for r in cells.select("stem", "year", "la").collect()) == [("moved", 1999, 7.5), ("old", 2000, 7.5), ("short", 2001, 7.5), ("short", 2002, None)]
+    problems = spark.read.parquet(str(tmp_path / "problems"))
+    assert sorted((r["stem"], r["problem"]) for r in problems.collect() if r["stem"] != "other") == [("broken", "no column CWA, RWD"), ("old", "no year"), ("short", "short line"), ("short", "short line")]
 
 
 def test_woodpieces_of_several_letters(spark):
