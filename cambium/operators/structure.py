@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,33 +136,72 @@ def site_coordinates(sites: DataFrame) -> DataFrame:
     return sites.select(number("longitude", 180).alias("longitude"), number("latitude", 90).alias("latitude")).dropna().distinct()
 
 
+#: Where in a cell its reference point is: off any line that coordinates are likely to be on.
+_AT_X, _AT_Y = 0.3819660112501051, 0.7236067977499790
+_SLACK = 1e-9
+
+
+def polygon_index(polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """A grid index of polygons: code, part, cell_x, cell_y, inside, edges.
+
+    polygons: code and ring, an array of (lon, lat) structs, a row for each ring. Rings with the same code and `part` are one
+    polygon by the even-odd rule: outer rings, holes, islands in holes. Without a column `part` each ring is a polygon. A cell
+    has an entry for each polygon that meets it: the edges that run through the cell, and whether the cell's reference
+    point is inside. The reference points of a row of cells lie on a line, so that is a running count of the edges that the
+    line crosses. No entry has more than its cell's edges, however long the coastline.
+    """
+    named = polygons if "part" in polygons.columns else polygons.withColumn("part", F.xxhash64("code", "ring"))
+    size = F.size("ring")
+    around = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", (i + 1) % size).alias("b")))
+    rings = named.filter(size > 2).select("code", "part", "ring").distinct()
+    edges = rings.select("code", "part", F.explode(around).alias("e")).select("code", "part", *(F.col(f"e.{p}.{c}").alias(f"{p}{c[1]}") for p in "ab" for c in ("lon", "lat")))
+    edges = edges.toDF("code", "part", "ax", "ay", "bx", "by").filter("ax <> bx OR ay <> by")
+    at = lambda c: F.floor(c / F.lit(cell)).cast("int")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = edges.withColumn("cell_y", F.explode(F.sequence(at(low - _SLACK), at(high + _SLACK))))
+
+    y = (F.col("cell_y") + _AT_Y) * cell
+    crossing = rows.filter((F.col("ay") > y) != (F.col("by") > y)).withColumn("x", F.expr("ax") + (y - F.col("ay")) * F.expr("(bx - ax) / (by - ay)"))
+    starts = crossing.groupBy("code", "part", "cell_y", (F.floor(F.col("x") / cell - _AT_X) + 1).cast("int").alias("start")).agg(F.count("*").alias("n"))
+    row = Window.partitionBy("code", "part", "cell_y").orderBy("start")
+    runs = starts.withColumn("n", F.sum("n").over(row)).withColumn("end", F.lead("start").over(row) - 1).filter("n % 2 = 1 AND end >= start")
+    within = runs.select("code", "part", F.explode(F.sequence("start", "end")).alias("cell_x"), "cell_y", F.lit(1).alias("inside"), F.lit(None).cast("struct<ax:double,ay:double,bx:double,by:double>").alias("edge"))
+
+    def reach(bound):  # x of an edge where it enters or leaves a row of cells
+        part = F.least(high, F.greatest(low, bound))
+        return F.when(F.col("ay") == F.col("by"), F.col("ax")).otherwise(F.expr("ax") + (part - F.col("ay")) * F.try_divide(F.expr("bx - ax"), F.expr("by - ay")))
+
+    ends = [reach(F.col("cell_y") * cell - _SLACK), reach((F.col("cell_y") + 1) * cell + _SLACK)]
+    flat = F.col("ay") == F.col("by")
+    ends = [F.when(flat, F.least("ax", "bx")).otherwise(F.least(*ends)), F.when(flat, F.greatest("ax", "bx")).otherwise(F.greatest(*ends))]
+    cut = rows.withColumn("cell_x", F.explode(F.sequence(at(ends[0] - _SLACK), at(ends[1] + _SLACK))))
+    clipped = cut.select("code", "part", "cell_x", "cell_y", F.lit(0).alias("inside"), F.struct("ax", "ay", "bx", "by").alias("edge"))
+    return within.unionByName(clipped).groupBy("code", "part", "cell_x", "cell_y").agg(F.max("inside").alias("inside"), F.collect_list("edge").alias("edges"))
+
+
 def site_countries(sites: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """Country code of each site by point in polygon: site_label, country_code ("" where none or unknown).
 
-    polygons: code and ring, an array of (lon, lat) structs. Each polygon's box is laid out on a grid
-    of `cell` degrees (64,800 cells of one degree at most), and points meet the polygons of their own cell by an equal
-    key, so no side has to be small. The ray casting is an array aggregate, so nothing leaves
-    the JVM. Points on an edge may fall either way. Null or odd coordinates: no country.
+    Points meet the entries of polygon_index for their own cell by an equal key, so no side has to be small. From the cell's
+    reference point a segment runs to the site; each edge that it crosses turns inside to outside. A site in a hole isn't
+    in the polygon, and one on an edge or corner is in none (it isn't within). Of several countries the first code
+    counts. Null or odd coordinates: no country. All of it is array work in the JVM.
     """
-    bounded = polygons.select(
-        "code", "ring",
-        F.array_min(F.transform("ring", lambda p: p["lon"])).alias("w"), F.array_max(F.transform("ring", lambda p: p["lon"])).alias("e"),
-        F.array_min(F.transform("ring", lambda p: p["lat"])).alias("s"), F.array_max(F.transform("ring", lambda p: p["lat"])).alias("n"),
-    )
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
-    box = bounded.withColumn("cell_x", F.explode(F.sequence(at("w"), at("e")))).withColumn("cell_y", F.explode(F.sequence(at("s"), at("n"))))
-    near = sites.select("site_label", "longitude", "latitude", at("longitude").alias("cell_x"), at("latitude").alias("cell_y")).join(box, ["cell_x", "cell_y"], "left")
-    size = F.size("ring")
-    edges = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", (i + 1) % size).alias("b")))
+    index = polygon_index(polygons, cell)
+    place = lambda c: F.when(F.abs(F.col(c)) <= 1e6, F.floor(F.col(c) / cell)).cast("int")
+    near = sites.select("site_label", "longitude", "latitude", place("longitude").alias("cell_x"), place("latitude").alias("cell_y")).join(index, ["cell_x", "cell_y"], "left")
+    site, start = (F.col("longitude"), F.col("latitude")), ((F.col("cell_x") + _AT_X) * cell, (F.col("cell_y") + _AT_Y) * cell)
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    def crossed(e):
+        a, b = (e["ax"], e["ay"]), (e["bx"], e["by"])
+        return ((turn(start, site, a) > 0) != (turn(start, site, b) > 0)) & ((turn(a, b, start) > 0) != (turn(a, b, site) > 0))
 
-    def crosses(e):
-        a, b = e["a"], e["b"]
-        x = a["lon"] + F.try_divide((F.col("latitude") - a["lat"]) * (b["lon"] - a["lon"]), b["lat"] - a["lat"])
-        return ((a["lat"] > F.col("latitude")) != (b["lat"] > F.col("latitude"))) & (F.col("longitude") < x)
+    def on(e):
+        return (turn((e["ax"], e["ay"]), (e["bx"], e["by"]), site) == 0) & site[0].between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & site[1].between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
 
-    boxed = F.col("longitude").between(F.col("w"), F.col("e")) & F.col("latitude").between(F.col("s"), F.col("n"))
-    inside = F.when(boxed, F.size(F.filter(edges, crosses)) % 2 == 1)
-    found = near.withColumn("inside", F.coalesce(inside, F.lit(False))).groupBy("site_label").agg(F.min(F.when(F.col("inside") & (F.col("code") != "-99"), F.col("code"))).alias("code"))
+    inside = ((F.col("inside") + F.size(F.filter("edges", crossed))) % 2 == 1) & ~F.exists("edges", on)
+    found = near.withColumn("within", F.coalesce(inside, F.lit(False))).groupBy("site_label").agg(F.min(F.when(F.col("within") & (F.col("code") != "-99"), F.col("code"))).alias("code"))
     return found.select("site_label", F.coalesce("code", F.lit("")).alias("country_code"))
 
 

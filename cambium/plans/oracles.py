@@ -238,5 +238,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'c_nationkey', CASE WHEN count(*) FILTER (WHERE c_nationkey <> 0) > 1 THEN 'Too many checked' END FROM customer) WHERE message IS NOT NULL""",
         "fill_downup": """SELECT event_id, user_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
             first_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS mark FROM (SELECT event_id, user_id, CASE WHEN event_id % 4 = 1 THEN event_type END AS mark FROM events)""",
-        "site_countries": "SELECT 'C' || c_custkey AS site_label, CASE WHEN c_custkey % 59 < 50 AND c_custkey % 37 < 30 THEN chr((65 + (c_custkey % 59) // 10)::INT) || chr((65 + (c_custkey % 37) // 10)::INT) ELSE '' END AS country_code FROM customer",
+        "site_countries": """WITH s AS (SELECT 'C' || c_custkey AS site_label, c_custkey % 59 + 0.25 AS x, c_custkey % 37 + 0.75 AS y FROM customer)
+            SELECT site_label, CASE WHEN x BETWEEN 12.5 AND 14 AND y BETWEEN 12.5 AND 15 OR x BETWEEN 17 AND 19.5 AND y BETWEEN 11.5 AND 18 THEN '' WHEN x BETWEEN 11 AND 16 AND y BETWEEN 11 AND 16.5 THEN 'ZZ'
+              WHEN x < 50 AND y < 30 THEN chr(65 + floor(x / 10)::INT) || chr(65 + floor(y / 10)::INT) ELSE '' END AS country_code FROM s""",
     }

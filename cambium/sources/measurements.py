@@ -289,15 +289,14 @@ def read_raw_table(spark: SparkSession, path: str, table: Table, force_required:
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Country polygons from CSV (code, wkt): code and ring, an array of (lon, lat); a row for each outer ring.
+    """Country polygons from CSV (code, wkt): code, part and ring, an array of (lon, lat); a row for each ring, holes too.
 
-    POLYGON and MULTIPOLYGON texts in longitude and latitude; holes are left out.
+    POLYGON and MULTIPOLYGON texts in longitude and latitude. All rings of a text are one part, for the even-odd rule.
     """
-    raw = spark.read.csv(path, header=True, nullValue="", escape='"', schema="code string, wkt string")
-    # an outer ring follows two opening brackets, or, as a further one of a multipolygon, `)), ((`
-    rings = raw.select("code", F.explode(F.regexp_extract_all("wkt", F.lit(r"\(\(([^()]+)\)"), F.lit(1))).alias("text"))
+    raw = spark.read.csv(path, header=True, nullValue="", escape='"', schema="code string, wkt string").distinct()
+    rings = raw.select("code", F.xxhash64("code", "wkt").alias("part"), F.explode(F.regexp_extract_all("wkt", F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("text"))
     point = lambda p: F.struct(F.get(F.split(F.trim(p), r"\s+"), F.lit(0)).cast("double").alias("lon"), F.get(F.split(F.trim(p), r"\s+"), F.lit(1)).cast("double").alias("lat"))
-    return rings.select("code", F.transform(F.split("text", ","), point).alias("ring"))
+    return rings.select("code", "part", F.transform(F.split("text", ","), point).alias("ring"))
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:

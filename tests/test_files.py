@@ -276,3 +276,51 @@ def test_stream(spark, folder, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.table("arrived").collect()) == [("one", 2000, 2), ("one", 2001, 1)]
+
+
+def brute_within(x, y, rings):
+    """Even-odd over all rings in exact fractions; not on an edge."""
+    from fractions import Fraction as Q
+
+    odd, (x, y) = False, (Q(x), Q(y))
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            ax, ay, bx, by = Q(ax), Q(ay), Q(bx), Q(by)
+            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return False
+            odd ^= ((ay > y) != (by > y)) and x < ax + (y - ay) * (bx - ax) / (by - ay)
+    return odd
+
+
+@pytest.mark.parametrize("cell", [1.0, 0.37, 25.0])
+def test_holes_islands_and_edges(spark, tmp_path, cell):
+    import math
+    import random
+
+    rng = random.Random(11)
+
+    def star(x, y, least, most, n):  # a ring that never crosses itself, on eighths of a degree
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        out = [(round((x + r * math.cos(t)) * 8) / 8, round((y + r * math.sin(t)) * 8) / 8) for t in turns for r in [rng.uniform(least, most)]]
+        return out
+
+    countries = {"AA": [star(0, 0, 6, 9, 40), star(0, 0, 3, 5, 30), star(0, 0, 1, 2, 12), star(20, 5, 1, 8, 25)], "BB": [star(0, 0, 3, 5, 30)], "CC": [[(-30.0, -5.0), (-20.0, -5.0), (-20.0, 5.0), (-30.0, 5.0)], [(-28.0, -3.0), (-22.0, -3.0), (-22.0, 3.0), (-28.0, 3.0)]]}
+    text = lambda ring: "(" + ", ".join(f"{x} {y}" for x, y in [*ring, ring[0]]) + ")"
+    kinds = {"AA": f"MULTIPOLYGON (({', '.join(text(r) for r in countries['AA'][:2])}), ({text(countries['AA'][2])}), ({text(countries['AA'][3])}))", "BB": f"POLYGON({text(countries['BB'][0])})", "CC": f"POLYGON (({text(countries['CC'][0])[1:-1]}),{text(countries['CC'][1])})"}
+    write(tmp_path / "p.csv", ["code,wkt", *(f'{c},"{w}"' for c, w in kinds.items())])
+    points = [(rng.uniform(-32, 30), rng.uniform(-12, 14)) for _ in range(600)] + [(rng.randint(-240, 240) / 8, rng.randint(-80, 104) / 8) for _ in range(1500)]
+    corners = [p for rings in countries.values() for ring in rings for p in ring]
+    points += corners + [(-30.0, 0.0), (-25.0, 5.0), (-24.0, -3.0), (-25.0, 0.0), (-29.0, 1.0), (-21.0, 5.0)]
+    sites = spark.createDataFrame([(str(k), *p) for k, p in enumerate(points)] + [("nan", float("nan"), 1.0), ("far", 1e300, 0.0)], "site_label string, longitude double, latitude double")
+    got = {r[0]: r[1] for r in structure.site_countries(sites, measurements.read_polygons(spark, str(tmp_path / "p.csv")), cell).collect()}
+    want = {str(k): min((c for c, rings in countries.items() if brute_within(*p, rings)), default="") for k, p in enumerate(points)}
+    assert got == want | {"nan": "", "far": ""}
+    assert sum(v == "AA" for v in want.values()) > 100 and sum(v == "CC" for v in want.values()) > 20
+
+
+def test_a_cell_holds_its_own_edges_only(spark):
+    """The coastline of one polygon has 4,000 edges, of which no cell has more than a few."""
+    ring = [(k / 100, 0.25 + k % 2 / 2) for k in range(2000)] + [(k / 100, 9.25 + k % 2 / 2) for k in reversed(range(2000))]
+    index = structure.polygon_index(spark.createDataFrame([("AA", ring)], "code string, ring array<struct<lon:double,lat:double>>"), 1.0)
+    sizes = {(r["cell_x"], r["cell_y"]): (len(r["edges"]), r["inside"]) for r in index.collect()}
+    assert max(n for n, _ in sizes.values()) <= 110 and sizes[7, 5] == (0, 1) and len(sizes) <= 220
