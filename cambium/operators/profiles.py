@@ -9,6 +9,7 @@ from cambium.functions import expr as X
 from cambium.sources.scratch import kept
 
 from .model import RING_KEY, require
+from .selection import medians
 
 
 def quantile_name(param: str, prob: float) -> str:
@@ -53,13 +54,13 @@ def chronology_series(rings: DataFrame, param: str, profiles: DataFrame | None =
 def biweight(values: DataFrame, keys: list[str], param: str, c: float = 9.0, tiny: float = 1e-6) -> DataFrame:
     """Tukey's biweight robust mean of each group, nulls left out: keys and `value`.
 
-    The median, the median deviation and the weighted mean are three groupings over values that are
+    Two medians (exact, by narrowing where a group is large) and the weighted mean are groupings over values that are
     written once; their small results are joined back, so no group's rows have to meet in one task.
     """
     known = kept(values.dropna(subset=keys).filter(F.col(param).isNotNull() & ~F.isnan(param)).select(*keys, F.col(param).cast("double").alias("x")), "values")
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    centred = known.join(known.groupBy(*keys).agg(median(F.col("x")).alias("m")), keys)
-    spread = centred.join(centred.groupBy(*keys).agg(median(F.abs(F.col("x") - F.col("m"))).alias("s")), keys)
+    centred = known.join(medians(known, keys).withColumnRenamed("median", "m"), keys)
+    away = kept(centred.select(*keys, "m", F.col("x").alias("value"), F.abs(F.col("x") - F.col("m")).alias("x")), "deviations")
+    spread = away.join(medians(away.select(*keys, "x"), keys).withColumnRenamed("median", "s"), keys).drop("x").withColumnRenamed("value", "x")
     u = (F.col("x") - F.col("m")) / (F.col("s") * c + tiny)
     weight = F.when(F.abs(u) <= 1, F.pow(1 - u * u, F.lit(2))).otherwise(0.0)
     weighed = spread.withColumn("w", weight)
