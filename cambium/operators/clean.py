@@ -123,16 +123,34 @@ def cwt_estimates(log: DataFrame) -> DataFrame:
     return log.groupBy("image_label").agg(F.count("mean_cwttan").alias("n")).filter("n = 0").select("image_label")
 
 
+#: Gaps of more years are told as one row by dating_issues.
+LONG_GAP = 1000
+#: Years of a gap that are laid out at a time.
+_STRETCH = 4096
+
+
+def year_gaps(log: DataFrame) -> DataFrame:
+    """(image_label, first, last) of each run of years that is missing between an image's first and last."""
+    if log.schema["year"].dataType.simpleString() not in ("int", "bigint", "smallint"):
+        raise ValueError("year must be a whole number")
+    year = F.col("year").cast("long")
+    after = F.lead(year).over(Window.partitionBy("image_label").orderBy("year"))
+    return log.filter("year IS NOT NULL").select("image_label", (year + 1).alias("first"), (after - 1).alias("last")).filter("last >= first")
+
+
+def gap_years(gaps: DataFrame) -> DataFrame:
+    """(image_label, year) of the years of gaps; a long one is laid out in stretches, so no row holds all its years."""
+    stretch = gaps.withColumn("start", F.explode(F.expr(f"sequence(first, last, {_STRETCH})")))
+    each = F.explode(F.sequence("start", F.least(F.col("start") + (_STRETCH - 1), "last")))
+    return stretch.select("image_label", each.alias("year")).withColumn("year", F.col("year").cast("int"))
+
+
 def complete_years(log: DataFrame) -> DataFrame:
     """The log plus a row for each year that is missing between an image's first and last.
 
     Added rows have missing_year true and cno 0, others false; labels are filled per image.
     """
-    if log.schema["year"].dataType.simpleString() not in ("int", "bigint", "smallint"):
-        raise ValueError("year must be a whole number")
-    span = log.groupBy("image_label").agg(F.min("year").alias("lo"), F.max("year").alias("hi")).filter("lo IS NOT NULL")
-    every = span.select("image_label", F.explode(F.sequence("lo", "hi")).alias("year"))
-    gaps = every.join(log.select(*RING_KEY).distinct(), RING_KEY, "left_anti").withColumns({"missing_year": F.lit(True), "cno": F.lit(0)})
+    gaps = gap_years(year_gaps(log)).withColumns({"missing_year": F.lit(True), "cno": F.lit(0)})
     whole = log.withColumn("missing_year", F.lit(False)).unionByName(gaps, allowMissingColumns=True)
     order = [F.col("year").asc_nulls_last()]
     return whole.withColumns({c: X.fill_both_ways(F.col(c), "image_label", order) for c in ("woodpiece_label", "slide_label")})
@@ -141,20 +159,26 @@ def complete_years(log: DataFrame) -> DataFrame:
 def dating_issues(log: DataFrame, meta: DataFrame, current_year: int) -> DataFrame:
     """(image_label, year, issues) of rings with doubtful dates; issues are comma-joined.
 
-    Of several rings with one image and year all but one are duplicates.
+    Of several rings with one image and year all but one are duplicates. A gap of more than LONG_GAP years, such as a mistyped year
+    makes, is one row: its first year, and "missing until" its last, which is what the other checks look at.
     """
     nr = F.row_number().over(Window.partitionBy(*RING_KEY).orderBy("cno"))
-    dated = complete_years(log).withColumn("dupl_year", F.col("year").isNotNull() & (nr > 1))
-    dated = dated.join(meta.select("image_label", "outmost_year"), "image_label", "left")
-    year = F.col("year")
+    gaps = year_gaps(log)
+    long = F.col("last") - F.col("first") >= LONG_GAP
+    none = F.lit(False)
+    rows = log.select(*RING_KEY, F.col("year").alias("until"), none.alias("missing"), (F.col("year").isNotNull() & (nr > 1)).alias("dupl_year"))
+    rows = rows.unionByName(gap_years(gaps.filter(~long)).select(*RING_KEY, F.col("year").alias("until"), F.lit(True).alias("missing"), none.alias("dupl_year")))
+    rows = rows.unionByName(gaps.filter(long).select("image_label", F.col("first").cast("int").alias("year"), F.col("last").cast("int").alias("until"), F.lit(True).alias("missing"), none.alias("dupl_year")))
+    dated = rows.join(meta.select("image_label", "outmost_year"), "image_label", "left")
     named = [
-        (F.col("missing_year"), "missing"),
-        (F.col("dupl_year"), "duplicate"),
-        (year.isNull(), "undated"),
-        (year > current_year, "in future"),
-        (year > F.col("outmost_year"), "after outmost"),
+        (F.col("missing") & (F.col("until") > F.col("year")), F.concat(F.lit("missing until "), F.col("until").cast("string"))),
+        (F.col("missing") & (F.col("until") == F.col("year")), F.lit("missing")),
+        (F.col("dupl_year"), F.lit("duplicate")),
+        (F.col("year").isNull(), F.lit("undated")),
+        (F.col("until") > current_year, F.lit("in future")),
+        (F.col("until") > F.col("outmost_year"), F.lit("after outmost")),
     ]
-    issues = F.concat_ws(", ", *(F.when(cond, F.lit(name)) for cond, name in named))
+    issues = F.concat_ws(", ", *(F.when(cond, name) for cond, name in named))
     return dated.select(*RING_KEY, issues.alias("issues")).filter("issues <> ''")
 
 

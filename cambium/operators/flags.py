@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cambium.sources.scratch import file_system
+
 from .model import RING_KEY, require
 from .tables import arranged
 
@@ -16,7 +18,7 @@ DISQUALIFYING = [
     "orientation", "tyloses", "decay", "technical_issues", "other_disqual",
 ]
 TECHNICAL = ["out_of_focus", "cracks", "paraffin", "compressed_cells", "overlapping_cells", "broken_cells", "tang_incomplete"]
-#: Flags that should come with an exclusion.
+#: Fixed: flags that should come with an exclusion.
 SHOULD_EXCLUDE = ["incomplete_ring", "missing_ring", "x_dating", "compression_wood", "orientation"]
 
 
@@ -46,11 +48,36 @@ def undo_edits(edits: DataFrame, last: int, order: str = "edit_nr") -> DataFrame
     return edits.filter(F.col(order) <= last)
 
 
+#: Buckets of images that committed rings are stored in.
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("image_label"), F.lit(BUCKETS)).cast("int")
+
+
+def _write_buckets(rings: DataFrame, path: str) -> None:
+    """Replaces the buckets that rings are in, and no other."""
+    out = rings.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "woodpiece_label", "year", "image_label")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def commit_edits(rings: DataFrame, edits: DataFrame, path: str, order: str = "edit_nr") -> DataFrame:
-    """Writes the edited rings, by woodpiece and year, and reads them back: from here on they are the input."""
-    merged = apply_edits(rings, edits, order)
-    arranged(merged, ["woodpiece_label", "year", "image_label"]).write.mode("overwrite").parquet(path)
-    return rings.sparkSession.read.schema(merged.schema).parquet(path)
+    """Commits edits to the rings stored at path and reads them back: from here on they are the input.
+
+    Rings are stored by buckets of images; the first commit puts `rings` there, later ones take them from there. Only the
+    buckets of the edits' images are read, changed and overwritten, all others stay as they are. Committing the
+    same edits again changes nothing. Within a bucket rings are in the order of woodpieces and years. What was read
+    before a commit is to be read again after it.
+    """
+    spark = rings.sparkSession
+    fs, at = file_system(spark, path)
+    if not fs.exists(at(path)):
+        _write_buckets(rings, path)
+    stored = spark.read.schema(T.StructType([*rings.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+    touched = [r[0] for r in edits.select(_bucket()).distinct().collect()]  # BUCKETS at most
+    _write_buckets(apply_edits(stored.filter(F.col("bucket").isin(touched)).drop("bucket"), edits, order), path)
+    return spark.read.schema(stored.schema).parquet(path).drop("bucket")
 
 
 #: Kinds that columns of an editor's input must have.

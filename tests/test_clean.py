@@ -96,6 +96,38 @@ def test_rings_log_and_dating(spark):
         clean.assert_dated(log, meta, 2025)
 
 
+def test_an_absurd_year_is_one_row(spark):
+    """A mistyped year makes an interval, not a row for each of two thousand million years."""
+    rows = [("a", 1990, 5), ("a", 1992, 1), ("a", 1992, 1), ("a", 2_147_483_647, 1), ("b", None, 1), ("b", 2000, 1), ("b", 2001 + clean.LONG_GAP, 1), (None, 2000, 1), (None, 2002, 1)]
+    log = spark.createDataFrame([("P", "S", *r) for r in rows], "woodpiece_label string, slide_label string, image_label string, year int, cno int")
+    meta = spark.createDataFrame([("a", 2010, 1.0)], "image_label string, outmost_year int, spatial_resolution double")
+    key = lambda r: (str(r[0]), r[1] or 0, r[2])
+    assert sorted(map(tuple, clean.year_gaps(log).collect()), key=key) == [(None, 2001, 2001), ("a", 1991, 1991), ("a", 1993, 2_147_483_646), ("b", 2001, 2000 + clean.LONG_GAP)]
+    issues = [tuple(r) for r in clean.dating_issues(log, meta, 2025).collect()]
+    single = [i for i in issues if i[0] != "b"]
+    assert sorted(single, key=key) == [(None, 2001, "missing"), ("a", 1991, "missing"), ("a", 1992, "duplicate"), ("a", 1993, "missing until 2147483646, in future, after outmost"), ("a", 2_147_483_647, "in future, after outmost")]
+    assert len(issues) - len(single) == clean.LONG_GAP + 2  # each year of the shorter gap, the undated ring, the one in future
+    years = clean.gap_years(clean.year_gaps(log.filter("image_label = 'b'")).selectExpr("image_label", "first", "first + 9999 AS last"))
+    assert sorted(r["year"] for r in years.collect()) == list(range(2001, 12001))
+
+
+def test_commits_rewrite_what_they_touch(spark, tmp_path):
+    rings = spark.createDataFrame([(f"w{k % 7}", f"i{k % 300}", 1900 + k // 300, False, None) for k in range(3000)], "woodpiece_label string, image_label string, year int, exclude_issues boolean, comment string")
+    at = str(tmp_path / "rings")
+    edit = lambda rows: spark.createDataFrame(rows, "image_label string, year int, exclude_issues boolean, comment string, edit_nr int")
+    flags.commit_edits(rings, edit([("i1", 1900, True, None, 1)]), at)
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "rings").rglob("*.parquet")}
+    before = stamps()
+    ten = edit([(f"i{k}", 1903, True, f"c{k}", k) for k in range(10)] + [("i3", 1903, False, None, 99), ("nobody", 1, True, None, 5)])
+    after = flags.commit_edits(rings, ten, at).collect()
+    rewritten = {p.parent.name for p, t in stamps().items() if before.get(p) != t}
+    assert 1 <= len(rewritten) <= 11 and len(set(stamps()) & set(before)) >= len(before) - 11  # ten images, and one that isn't there
+    got = {(r["image_label"], r["year"]): (r["exclude_issues"], r["comment"]) for r in after}
+    assert len(got) == 3000 and got["i1", 1900] == (True, None) and got["i3", 1903] == (False, "c3") and got["i4", 1903] == (True, "c4")
+    assert sum(v != (False, None) for v in got.values()) == 11
+    assert sorted(flags.commit_edits(rings, ten, at).collect(), key=str) == sorted(after, key=str)
+
+
 def reference_stats(pdf, res):
     """Innermost statistics of one ring with NumPy, for rings whose xpix differ."""
     pdf = pdf.sort_values("xpix")
