@@ -75,7 +75,7 @@ def load_bundle(spark, d):
 
 
 def _settings(spark, d, data):
-    return files.collect_settings(spark, [row[0] for row in data.select("fname_settings").collect()])
+    return files.collect_settings(spark, data)
 
 
 def load_settings(spark, d):
@@ -85,14 +85,14 @@ def load_settings(spark, d):
 
 def image_info(spark, d):
     data = archive.structure(spark, d)
-    info = files.collect_image_info(spark, [row[0] for row in data.select("fname_image").collect()])
+    info = files.collect_image_info(spark, data)
     return info.select(_base("fname_image"), "img_filetype", "img_size", "img_width", "img_height")
 
 
 def combined_metadata(spark, d):
     """Structure, images and settings joined, the file names last, as text lines of the columns' order and values."""
     data = archive.structure(spark, d)
-    info = files.collect_image_info(spark, [row[0] for row in data.select("fname_image").collect()])
+    info = files.collect_image_info(spark, data)
     whole = structure.combine_metadata(data, info, _settings(spark, d, data))
     last = F.lit(",".join(whole.columns[-4:]))
     return whole.select("image_label", "woodpiece_label", "img_width", "meas_geometry", "outmost_year", _base("fname_image"), last.alias("last_columns"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs as pa_fs
@@ -195,35 +194,123 @@ def pivot_settings(rows: DataFrame) -> DataFrame:
     return out.withColumns({c: number(c).cast("int") for c in INT_SETTINGS}).drop("origin_calibrated").withColumnRenamed("path", "fname_settings")
 
 
-def collect_settings(spark: SparkSession, paths: list[str], version: str = "classic") -> DataFrame:
+def _named(spark: SparkSession, files: DataFrame | list[str], fname: str) -> DataFrame:
+    """The paths (column fname) of a structure or of a list, once each."""
+    known = files if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], f"{fname} string")
+    return known.select(fname).dropna().distinct()
+
+
+def collect_settings(spark: SparkSession, files: DataFrame | list[str], version: str = "classic") -> DataFrame:
+    """One row of named, typed settings for each file that a structure names in fname_settings (or of a list of paths).
+
+    Folders are read, not paths; a file that isn't there has no row.
+    """
     if version != "classic":
         raise NotImplementedError(f"settings of version {version}")
-    raw = spark.read.schema("RNUM string, SETTING string, DESCRIPTION string").csv(paths, sep="\t", header=True)
-    return pivot_settings(raw.select(F.col("_metadata.file_path").alias("path"), F.expr("try_cast(RNUM as double)").alias("rnum"), F.col("SETTING").alias("setting")))
+    known = _named(spark, files, "fname_settings")
+    source = spark.read.schema("RNUM string, SETTING string, DESCRIPTION string").options(sep="\t", header=True, pathGlobFilter=any_case(ENDINGS["settings"]))
+    raw = source.csv(folders_of(known, "fname_settings")).select(_metadata_key().alias("file_key"), F.expr("try_cast(RNUM as double)").alias("rnum"), F.col("SETTING").alias("setting"))
+    named = raw.filter(F.col("rnum").isin(list(SETTINGS))).join(known.select(_key(F.col("fname_settings")).alias("file_key"), F.col("fname_settings").alias("path")), "file_key")
+    return pivot_settings(named.select("path", "rnum", "setting"))
+
+
+#: Python's names of file systems that Spark calls otherwise.
+_PYTHON_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+#: Bytes that a step through an image's segments reads.
+_STEP_BYTES = 64
 
 
-def _jpeg_size(head: bytes) -> tuple[int | None, int | None]:
-    """Width and height from a JPEG's frame header."""
+def frame_size(read: Callable[[int, int], bytes]) -> tuple[int | None, int | None]:
+    """Width and height of a JPEG by `read(at, n)`: from segment to segment up to the frame header, wherever it is."""
+    if read(0, 2) != b"\xff\xd8":
+        return None, None
     at = 2
-    while head[:2] == b"\xff\xd8" and at + 9 < len(head) and head[at] == 0xFF:
-        marker, length = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
+    while True:
+        head = read(at, _STEP_BYTES)
+        fill = len(head) - len(head.lstrip(b"\xff")) - 1  # any number of 0xFF may come before a marker
+        if fill > 0 and fill + 1 < len(head):
+            at, head = at + fill, head[fill:]
+        elif fill > 0:
+            at += fill
+            continue
+        if len(head) < 4 or head[0] != 0xFF:
+            return None, None
+        marker, length = head[1], struct.unpack(">H", head[2:4])[0]
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", head[at + 5 : at + 9])
-            return width, height
-        at += 2 + length
-    return None, None
+            if len(head) < 9:
+                head = read(at, 9)
+            return (None, None) if len(head) < 9 else struct.unpack(">HH", head[5:9])[::-1]
+        if marker == 0x01 or 0xD0 <= marker <= 0xD8:
+            at += 2  # no length follows
+        elif marker in (0xD9, 0xDA) or length < 2:
+            return None, None  # image data, or its end, without a frame header
+        else:
+            at += 2 + length
+
+
+def _file(path: str):
+    """A file of random access in a task, and its size."""
+    scheme = path.split(":/", 1)[0] if ":/" in path else ""
+    uri = path.replace(scheme, _PYTHON_SCHEMES[scheme], 1) if scheme in _PYTHON_SCHEMES else path if scheme not in ("", "file") else None
+    system, inner = pa_fs.FileSystem.from_uri(uri) if uri else (pa_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"))
+    return system.open_input_file(inner)
+
+
+def _heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size, width and height of files by ranged reads; nulls for one that can't be opened."""
+    for p in parts:
+        rows = []
+        for path in p["fname_image"]:
+            try:
+                with _file(path) as f:
+                    size = f.size()
+                    rows.append((path, size, *frame_size(lambda at, n: f.read_at(max(0, min(n, size - at)), at) if at < size else b"")))  # noqa: B023
+            except OSError:
+                rows.append((path, None, None, None))
+        yield _image_rows(rows)
+
+
+def _image_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["fname_image", "img_size", "img_width", "img_height"]).astype({c: "Int64" for c in ("img_size", "img_width", "img_height")})
+    out.insert(1, "img_filetype", ["JPEG" if w is not None else None for *_, w, _ in rows])
+    return out
+
+
+def _whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        yield _image_rows([(path, size, *frame_size(lambda at, n: bytes(c[at : at + n]))) for path, size, c in zip(p["path"], p["length"], p["content"], strict=True)])  # noqa: B023
 
 
-def collect_image_info(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """fname_image, img_filetype, img_size, img_width, img_height of JPEG files."""
+def collect_image_info(spark: SparkSession, files: DataFrame | list[str]) -> DataFrame:
+    """fname_image, img_filetype, img_size, img_width, img_height of the JPEG files that a structure names (or of a list of paths).
+
+    Tasks step through each file's segments and read some bytes of each, however large the file and wherever its frame
+    header is. On a file system that only Spark knows, its folders are read whole. A file that can't be opened has nulls, and
+    so has one that isn't a JPEG, but for its size.
+    """
+    known = _named(spark, files, "fname_image").filter(F.rlike("fname_image", F.lit(r"(?i)\.jpe?g$")))
+    schemes = known.select(F.regexp_extract("fname_image", "^([a-z][a-z0-9+.-]*):/", 1).alias("scheme")).distinct().collect()  # a few
+    foreign = [r[0] for r in schemes if not _known_to_python(r[0])]
+    scheme = F.regexp_extract("fname_image", "^([a-z][a-z0-9+.-]*):/", 1)
+    columns = "fname_image string, img_filetype string, img_size long, img_width int, img_height int"
+    near = known.filter(~scheme.isin(foreign)) if foreign else known
+    out = near.repartition("fname_image").mapInPandas(_heads, columns)
+    if foreign:
+        far = known.filter(scheme.isin(foreign))
+        read = spark.read.format("binaryFile").option("pathGlobFilter", any_case(".jp") + "*").load(folders_of(far, "fname_image"))
+        named = far.select(_key(F.col("fname_image")).alias("file_key"), F.col("fname_image").alias("path"))
+        out = out.unionByName(read.select(_key(F.col("path")).alias("file_key"), "length", "content").join(named, "file_key").select("path", "length", "content").mapInPandas(_whole, columns))
+    return out
 
-    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            wh = [_jpeg_size(bytes(c)) for c in p["content"]]
-            yield pd.DataFrame({"fname_image": p["path"], "img_filetype": "JPEG", "img_size": p["length"], "img_width": [w for w, _ in wh], "img_height": [h for _, h in wh]})
 
-    files = spark.read.format("binaryFile").load(paths).filter(F.rlike("path", F.lit(r"(?i)\.jpe?g$"))).select("path", "length", F.substring("content", 1, 1 << 20).alias("content"))
-    return files.mapInPandas(sizes, "fname_image string, img_filetype string, img_size long, img_width double, img_height double").withColumns({c: F.col(c).cast("int") for c in ("img_width", "img_height")})
+def _known_to_python(scheme: str) -> bool:
+    if scheme in ("", "file"):
+        return True
+    try:
+        pa_fs.FileSystem.from_uri(f"{_PYTHON_SCHEMES.get(scheme, scheme)}://host/path")
+    except (OSError, ValueError):
+        return False
+    return True
 
 
 # -- processed tables ----------------------------------------------------------------------------
@@ -253,14 +340,14 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     require(df, ["image_label", "year", "sector_n"], "read_profiles")
     if len(df.columns) < 4:
         raise ValueError("read_profiles: no measure")
-    return _whole(df, ["image_label", "year", "sector_n"])
+    return _without_nulls(df, ["image_label", "year", "sector_n"])
 
 
 def read_ring_flags(spark: SparkSession, path: str) -> DataFrame:
     """A ring table from CSV with its labels and flags; the key must be whole."""
     df = spark.read.schema(processed_schema(spark.read.option("header", True).csv(path).columns)).csv(path, header=True, nullValue="NA")
     require(df, ["woodpiece_label", "slide_label", "image_label", "year", *FLAG_COLUMNS], "read_ring_flags")
-    return _whole(df, ["woodpiece_label", "slide_label", "image_label", "year"])
+    return _without_nulls(df, ["woodpiece_label", "slide_label", "image_label", "year"])
 
 
 def read_image_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -275,7 +362,7 @@ def _typed_csv(spark: SparkSession, path: str, kind) -> DataFrame:
     return spark.read.schema(", ".join(f"`{c}` {kind(c)}" for c in head)).csv(path, header=True, nullValue="NA")
 
 
-def _whole(df: DataFrame, key: list[str]) -> DataFrame:
+def _without_nulls(df: DataFrame, key: list[str]) -> DataFrame:
     """df, if it has rows and no null in its key; else an error."""
     seen = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in key)).first()
     if not seen["n"] or any(seen[c] < seen["n"] for c in key):

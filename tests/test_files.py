@@ -85,6 +85,42 @@ def test_settings_and_images(spark, folder):
     assert [r["date_problem"] for r in dates] == [None, None, "future", "unparsed"] and dates[1]["d"] == dt.datetime(2021, 2, 3, 9, 5)
 
 
+def long_jpeg(width, height, segments=40):
+    """A JPEG whose frame header comes after megabytes of other segments, with fill bytes before markers."""
+    segment = b"\xff\xff\xff\xe1" + struct.pack(">H", 65535) + b"\xff\xc0" + b"t" * 65531  # a thumbnail's frame header doesn't count
+    return b"\xff\xd8" + segment * segments + b"\xff" * 200 + b"\xc2" + struct.pack(">HBHH", 17, 8, height, width) + b"\0" * 50_000
+
+
+def test_image_heads_are_read_in_ranges():
+    data, asked = long_jpeg(4321, 1234), []
+
+    def read(at, n):
+        asked.append(n)
+        return data[at : at + n]
+
+    assert measurements.frame_size(read) == (4321, 1234) and sum(asked) < 4000 < 1 << 20 < len(data)
+    for odd in (b"", b"\xff\xd8", b"PNG", b"\xff\xd8\xff\xe0\x00\x00", b"\xff\xd8\xff\xda\x00\x08", b"\xff\xd8" + b"\xff" * 500, b"\xff\xd8\xff\xc0\x00\x11"):
+        assert measurements.frame_size(lambda at, n, o=odd: o[at : at + n]) == (None, None)
+
+
+def test_image_info_of_odd_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b.jpg").write_bytes(long_jpeg(70, 80, 20))
+    (tmp_path / "no.JPEG").write_bytes(b"text")
+    (tmp_path / "x.png").write_bytes(b"text")
+    data = spark.createDataFrame([(f"{p}",) for p in (f"file:{tmp_path}/a b.jpg", tmp_path / "no.JPEG", tmp_path / "gone.jpg", tmp_path / "x.png", tmp_path / "no.JPEG")] + [(None,)], "fname_image string")
+    show = lambda df: {r[0].rsplit("/", 1)[1]: tuple(r)[1:] for r in df.collect()}
+    size = (tmp_path / "a b.jpg").stat().st_size
+    assert show(measurements.collect_image_info(spark, data)) == {"a b.jpg": ("JPEG", size, 70, 80), "no.JPEG": (None, 4, None, None), "gone.jpg": (None, None, None, None)}
+    monkeypatch.setattr(measurements, "_known_to_python", lambda scheme: False)  # by Spark's own reader
+    assert show(measurements.collect_image_info(spark, data)) == {"a b.jpg": ("JPEG", size, 70, 80), "no.JPEG": (None, 4, None, None)}
+
+
+def test_settings_of_named_files_only(spark, folder):
+    data = sets_with_labels(spark, folder)
+    got = measurements.collect_settings(spark, data.filter("name LIKE '%_2'")).collect()
+    assert [r["fname_settings"] for r in got] == [r["fname_settings"] for r in data.collect() if r["name"].endswith("_2")]
+
+
 def odd_files(tmp_path):
     """In two far-apart folders: CID in the second place, old names, a missing, an empty and a broken file, short lines; and one beside that nobody names."""
     names = measurements.CELL_COLUMNS
