@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cambium.functions import expr as X
+from cambium.sources.scratch import kept
 
 #: Fixed: parts of an image's name, from the site down.
 PARTS = ["site", "species", "tree", "woodpiece", "slide", "image"]
@@ -80,15 +81,39 @@ def combine_metadata(structure: DataFrame, images: DataFrame, settings: DataFram
     return out.select(*(c for c in out.columns if c not in files), *files)
 
 
+#: Tables of the hierarchy: keys, the level below and the name of its count.
+LEVELS = {
+    "site": (["site_label"], "tree_label", "n_trees"),
+    "tree": (["site_label", "species_code", "tree_label"], "woodpiece_label", "n_woodpieces"),
+    "woodpiece": (["tree_label", "woodpiece_label"], "slide_label", "n_slides"),
+    "slide": (["woodpiece_label", "slide_label"], "image_label", "n_images"),
+}
+
+
+def hierarchy_levels(meta: DataFrame) -> DataFrame:
+    """level, the labels that are its keys, and n, for all levels at once; null counts as one value.
+
+    Grouping sets give the distinct keys with their children for every level in one pass over the images; counting
+    those by their keys is a second grouping, of what is left.
+    """
+    columns = ["site_label", "species_code", *LABELS]
+    sets = [[*keys, below] for keys, below, _ in LEVELS.values()]
+    bits = lambda cols: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cols)
+    pairs = meta.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id().alias("set"))
+    level = F.lit(None).cast("string")
+    for name, s in zip(LEVELS, sets, strict=True):
+        level = F.when(F.col("set") == bits(s), name).otherwise(level)
+    keys = [F.when(F.col("level").isin([n for n, (k, _, _) in LEVELS.items() if c in k]), F.col(c)).alias(c) for c in columns[:-1]]
+    return pairs.withColumn("level", level).groupBy("level", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def hierarchy_counts(meta: DataFrame) -> dict[str, DataFrame]:
-    """Tables of trees per site, woodpieces per tree, slides per woodpiece and images per slide; null counts as one."""
-    levels = {
-        "site": (["site_label"], "tree_label", "n_trees"),
-        "tree": (["site_label", "species_code", "tree_label"], "woodpiece_label", "n_woodpieces"),
-        "woodpiece": (["tree_label", "woodpiece_label"], "slide_label", "n_slides"),
-        "slide": (["woodpiece_label", "slide_label"], "image_label", "n_images"),
-    }
-    return {k: meta.groupBy(*keys).agg(X.distinct_with_null(F.col(c)).cast("long").alias(n)) for k, (keys, c, n) in levels.items()}
+    """Tables of trees per site, woodpieces per tree, slides per woodpiece and images per slide; null counts as one.
+
+    All are cut from one table that is written once.
+    """
+    counted = kept(hierarchy_levels(meta), "levels")
+    return {k: counted.filter(F.col("level") == k).select(*keys, F.col("n").alias(n)) for k, (keys, _, n) in LEVELS.items()}
 
 
 def padded(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:

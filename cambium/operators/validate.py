@@ -5,13 +5,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: JSON schema type -> Spark type.
+from cambium.sources.scratch import kept, listed, read_text
+
+from .structure import site_countries
+
+#: Fixed: JSON schema type -> Spark type.
 JSON_TYPES = {"string": T.StringType(), "integer": T.IntegerType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "datetime": T.TimestampType(), "null": T.StringType()}
 
 
@@ -31,6 +36,8 @@ class Rule:
     min_checks: int | None = None
     max_checks: int = 10_000
     title: str | None = None
+    #: Names of checks that look beyond a row: see declared_problems.
+    others: tuple[str, ...] = ()
 
 
 @dataclass
@@ -46,33 +53,41 @@ class Table:
 # -- schema files -------------------------------------------------------------------------------
 
 
-def latest_schema(folder: str, name: str) -> str:
-    """The path of the last schema file, by name, that has `name` in it; names begin with their dates."""
-    found = sorted(f for f in os.listdir(folder) if name in f and f.endswith(".json"))
+def latest_schema(folder: str, name: str, spark: SparkSession | None = None) -> str:
+    """The path of the last schema file, by name, that has `name` in it; names begin with their dates.
+
+    With spark, folders and files may be on any file system that Spark knows.
+    """
+    found = sorted({f for f in (listed(spark, folder) if spark else os.listdir(folder)) if name in f and f.endswith(".json")})
     if not found:
         raise FileNotFoundError(f"no schema {name} in {folder}")
-    return os.path.join(folder, found[-1])
+    return f"{folder}/{found[-1]}"
 
 
-def resolve_schema(path: str) -> dict:
+def resolve_schema(path: str, spark: SparkSession | None = None) -> dict:
     """A JSON schema with its $ref and allOf resolved: later parts win, required names become required: true."""
-    with open(path, encoding="utf-8") as f:
-        return _resolved(json.load(f), os.path.dirname(path))
 
+    def load(at: str) -> dict:
+        if spark:
+            return json.loads(read_text(spark, at))
+        with open(at, encoding="utf-8") as f:
+            return json.load(f)
+
+    return _resolved(load(path), os.path.dirname(path), load)
 
-def _resolved(node, folder: str):
+
+def _resolved(node, folder: str, load: Callable[[str], dict]):
     if isinstance(node, list):
-        return [_resolved(x, folder) for x in node]
+        return [_resolved(x, folder, load) for x in node]
     if not isinstance(node, dict):
         return node
     out: dict = {}
     if "$ref" in node:
         target = os.path.join(folder, node["$ref"].split("#")[0])
-        with open(target, encoding="utf-8") as f:
-            out = _resolved(json.load(f), os.path.dirname(target))
+        out = _resolved(load(target), os.path.dirname(target), load)
     for part in node.get("allOf", []):
-        out = _merged(out, _resolved(part, folder))
-    own = {k: _resolved(v, folder) for k, v in node.items() if k not in ("$ref", "allOf")}
+        out = _merged(out, _resolved(part, folder, load))
+    own = {k: _resolved(v, folder, load) for k, v in node.items() if k not in ("$ref", "allOf")}
     out = _merged(out, own)
     if isinstance(out.get("properties"), dict) and isinstance(out.get("required"), list):
         for name in out["required"]:
@@ -106,7 +121,7 @@ def table_of(name: str, schema: dict) -> Table:
         kind = p.get("htType") or ("dropdown" if options else kinds[type(spark_type(p)).__name__])
         rules[c] = Rule(
             kind, bool(p.get("required")), bool(p.get("unique")), p.get("minLength", -1), p.get("maxLength", 10_000), p.get("pattern"),
-            p.get("minimum"), p.get("maximum"), options, p.get("min_checks"), p.get("max_checks", 10_000), p.get("title"),
+            p.get("minimum"), p.get("maximum"), options, p.get("min_checks"), p.get("max_checks", 10_000), p.get("title"), tuple(p.get("otherChecks", [])),
         )
     return Table(name, {c: spark_type(p) for c, p in props.items()}, rules, tuple(c for c, r in rules.items() if r.required))
 
@@ -204,8 +219,6 @@ def rule_failures(column: str, rule: Rule) -> list[tuple[str, Column]]:
         out.append(("Invalid lengths", some(given & ~F.length(text).between(rule.min_length, rule.max_length))))
         if rule.pattern:
             out.append(("Invalid formats", some(given & ~F.rlike(text, F.lit(rule.pattern)))))
-        if rule.unique:
-            out.append(("Non-unique values", F.count(F.when(given, text)) > F.count_distinct(F.when(given, text))))
     elif rule.kind == "numeric":
         number = F.expr(f"try_cast(`{column}` as double)")
         out.append(("Required", some(number.isNull()) & F.lit(rule.required)))
@@ -228,16 +241,32 @@ def rule_failures(column: str, rule: Rule) -> list[tuple[str, Column]]:
     return out
 
 
+def repeated_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_values) of the columns in which a value occurs more than once; nulls and empty texts don't count.
+
+    All columns in one grouping by (column, value), with map-side combining, however many columns there are.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    counted = df.select(F.inline(pairs)).filter("value <> ''").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter("n > 1").groupBy("column").agg(F.count(F.lit(1)).alias("n_values"))
+
+
 def violations(df: DataFrame, table: Table) -> DataFrame:
-    """(tbl, field, severity, message) of the broken rules; all columns in one aggregation."""
+    """(tbl, field, severity, message) of the broken rules; one aggregation for all columns, and one for what must be unique."""
     checks = {c: rule_failures(c, r) for c, r in table.rules.items() if c in df.columns}
     if not checks:
         return df.sparkSession.createDataFrame([], "tbl string, field string, severity string, message string")
     one = df.agg(*(F.array_compact(F.array(*(F.when(broken, F.lit(m)) for m, broken in found))).alias(c) for c, found in checks.items()))
-    rows = F.array(*(F.struct(F.lit(table.rules[c].title or c).alias("field"), F.array_join(c, ", ").alias("message")) for c in checks))
-    flat = one.select(F.lit(table.name).alias("tbl"), F.inline(rows)).filter("message <> ''")
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(table.rules[c].title or c).alias("field"), F.col(c).alias("said")) for c in checks))
+    flat = one.select(F.lit(table.name).alias("tbl"), F.inline(rows))
+    unique = [c for c in checks if table.rules[c].unique and table.rules[c].kind in ("character", "text")]
+    if unique:
+        twice = repeated_values(df, unique).select("column", F.lit("Non-unique values").alias("twice"))
+        flat = flat.join(F.broadcast(twice), "column", "left")  # a row a column
+        flat = flat.withColumn("said", F.array_compact(F.concat("said", F.array("twice"))))
+    told = flat.select("tbl", "field", F.array_join("said", ", ").alias("message")).filter("message <> ''")
     # a message that says invalid is a warning only
-    return flat.select("tbl", "field", F.when(F.lower("message").contains("invalid"), "warning").otherwise("error").alias("severity"), "message")
+    return told.select("tbl", "field", F.when(F.lower("message").contains("invalid"), "warning").otherwise("error").alias("severity"), "message")
 
 
 def option_violations(df: DataFrame, table: Table, references: dict[str, DataFrame]) -> DataFrame:
@@ -287,3 +316,69 @@ def count_mismatches(parent: DataFrame, child: DataFrame, key: str, declared: st
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Values of key in child that parent lacks."""
     return child.filter(F.col(key).isNotNull()).join(parent, key, "left_anti").select(key).distinct()
+
+
+#: Fixed: the child table of each table, and the label that both have.
+CHILDREN = {"site_data": ("tree_data", "site_label"), "tree_data": ("woodpiece_data", "tree_label"), "woodpiece_data": ("slide_data", "woodpiece_label"), "slide_data": ("roxas_data", "slide_label")}
+PARENTS = {child: (parent, key) for parent, (child, key) in CHILDREN.items()}
+#: Form of a DOI, with or without its resolver.
+DOI = r"^(https?://(dx\.)?doi\.org/|doi:)?10\.[0-9]{4,9}/\S+$"
+
+
+def sequence_gaps(df: DataFrame, column: str) -> DataFrame:
+    """(n): how many of the numbers 1 to the number of rows don't occur in the column."""
+    counted = df.groupBy(F.col(column).try_cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    there = counted.crossJoin(F.broadcast(total)).filter((F.col("x") == F.floor("x")) & F.col("x").between(1, F.col("total")))  # one row
+    return total.crossJoin(there.agg(F.count(F.lit(1)).alias("found"))).select((F.coalesce("total", F.lit(0)) - F.col("found")).alias("n"))
+
+
+def declared_problems(
+    tables: dict[str, DataFrame], known: dict[str, Table], species: DataFrame | None = None, polygons: DataFrame | None = None, datasets: DataFrame | None = None
+) -> DataFrame:
+    """(tbl, field, message, n) of the checks that schemas name and that rows break; n rows each.
+
+    valid_seq: the numbers 1 to the number of rows, each once. check_counts: as many rows of the child table have the row's
+    label. valid_label: the parent table has the label. check_speciescode: the value is that of the species list (species) for the
+    row's species_code. check_coords: the site lies in the country (polygons; its code, or a text that ends with the code in
+    brackets). check_doi: the form of a DOI. check_dsid: a label that is known (datasets). Nulls and empty texts break none
+    but check_counts, where a declared number is compared. Checks whose other table or list isn't given are left out.
+    """
+    out: list[DataFrame] = []
+    told = lambda df, name, c, message: df.select(F.lit(name).alias("tbl"), F.lit(known[name].rules[c].title or c).alias("field"), F.lit(message).alias("message"), F.col("n").cast("long").alias("n")).filter("n > 0")
+    rows = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    for name, df in tables.items():
+        asked = [(c, other) for c, rule in known[name].rules.items() if c in df.columns for other in rule.others]
+        of_species = [c for c, other in asked if other == "check_speciescode"]
+        for c, other in asked:
+            given = df.filter(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+            child, parent = CHILDREN.get(name), PARENTS.get(name)
+            if other == "valid_seq":
+                out.append(told(sequence_gaps(df, c), name, c, "Invalid sequence"))
+            elif other == "check_counts" and child and child[0] in tables:
+                out.append(told(rows(count_mismatches(given, tables[child[0]], child[1], c)), name, c, "Wrong counts"))
+            elif other == "valid_label" and parent and parent[0] in tables:
+                out.append(told(rows(given.join(tables[parent[0]].select(F.col(parent[1]).alias(c)).distinct(), c, "left_anti")), name, c, "Unknown labels"))
+            elif other == "check_doi":
+                out.append(told(rows(given.filter(~F.rlike(F.trim(F.col(c)), F.lit(DOI)))), name, c, "Invalid DOI"))
+            elif other == "check_dsid" and datasets is not None:
+                out.append(told(rows(given.join(datasets.select(F.col(datasets.columns[0]).alias(c)).distinct(), c, "left_anti")), name, c, "Unknown labels"))
+            elif other == "check_coords" and polygons is not None:
+                placed = given.select(F.monotonically_increasing_id().cast("string").alias("site_label"), F.col("longitude").try_cast("double").alias("longitude"), F.col("latitude").try_cast("double").alias("latitude"), F.col(c).alias("claimed"))
+                placed = kept(placed.dropna(subset=["longitude", "latitude"]), "placed")
+                found = site_countries(placed, polygons).join(placed.select("site_label", "claimed"), "site_label")
+                code = F.coalesce(F.nullif(F.regexp_extract("claimed", r"\((\w+)\)\s*$", 1), F.lit("")), F.col("claimed"))
+                out.append(told(rows(found.filter(F.col("country_code") != code)), name, c, "Outside the country"))
+        if of_species and species is not None:
+            # one join and one aggregation for all columns that the list knows
+            side = species.select(F.col("itrdb_species_code").alias("species_code"), *(F.col(c).alias(f"listed_{c}") for c in of_species))
+            both = df.filter("species_code <> ''").join(side, "species_code", "left")
+            wrong = both.agg(*(F.count_if((F.coalesce(F.col(c), F.lit("")) != "") & ~F.col(c).eqNullSafe(F.col(f"listed_{c}"))).alias(c) for c in of_species))
+            each = wrong.select(F.inline(F.array(*(F.struct(F.lit(known[name].rules[c].title or c).alias("field"), F.col(c).alias("n")) for c in of_species))))
+            out.append(each.select(F.lit(name).alias("tbl"), "field", F.lit("Not the species' value").alias("message"), F.col("n").cast("long").alias("n")).filter("n > 0"))
+    if not out:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "tbl string, field string, message string, n long")
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole

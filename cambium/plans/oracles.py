@@ -11,8 +11,7 @@ K = "image_label, year"
 
 def r(expression: str, name: str) -> str:
     """The expression to its significant digits, a hair above ties."""
-    cases = " ".join(f"WHEN abs(x) < {limit!r} THEN round(x * {X.OFF_TIES!r}, {decimals})" for limit, decimals in X.SIGNIFICANT)
-    return f"(SELECT CASE {cases} ELSE round(x * {X.OFF_TIES!r}, {X.LAST_DECIMALS}) END + 0.0 FROM (SELECT ({expression})::DOUBLE AS x)) AS {name}"
+    return f"((({expression})::DOUBLE * {X.OFF_TIES!r})::FLOAT::DOUBLE + 0.0) AS {name}"
 
 
 def _bin(c: str, bins: int) -> str:

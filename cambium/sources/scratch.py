@@ -42,6 +42,16 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, from any file system that Spark knows."""
+    fs, at = file_system(spark, path)
+    stream = fs.open(at(path))
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def listed(spark: SparkSession, folder: str) -> list[str]:
     """The names in a folder; nothing below it is looked at."""
     fs, path = file_system(spark, folder)
