@@ -229,7 +229,7 @@ def rule_failures(column: str, rule: Rule) -> list[tuple[str, Column]]:
         out.append(("Required", some(blank) & F.lit(rule.required)))
         out.append(("Invalid options", some(given & ~text.isin(list(rule.options)))))
     elif rule.kind == "checkbox":
-        checks = F.count_if(c.cast("boolean"))
+        checks = F.count_if(c.try_cast("boolean"))
         least = rule.min_checks if rule.min_checks is not None else int(rule.required)
         out.append(("Too few checked", checks < least))
         out.append(("Too many checked", (checks >= least) & (checks > rule.max_checks)))

@@ -18,7 +18,7 @@ from cambium.sources.scratch import file_system, new_folder
 from cambium.streaming import arrivals
 
 from . import adapters, archive, registry
-from .oracles import BOUNDARY, EDITED, INNER, LOG, MEASURED, K, r, views
+from .oracles import BOUNDARY, EDITED, INNER, LOG, MEASURED, YEARS, K, r, views
 
 DAY = dt.date(2025, 1, 2)
 NOW = dt.datetime(2025, 1, 1)
@@ -248,7 +248,9 @@ def country_names(spark, d):
 
 
 def country_list(spark, d):
-    return _countries(spark)
+    """Each nation's name looked up by a code: the code NA is a value, unknown codes have no name."""
+    code = F.when(F.col("n_nationkey") == 7, "NA").otherwise(F.concat(F.expr("chr(65 + n_nationkey % 6)"), F.expr("chr(65 + n_nationkey % 4)")))
+    return _read(spark, d, "nation").select("n_name", code.alias("country_iso_code")).join(_countries(spark), "country_iso_code", "left").select("n_name", "country_iso_code", "country_name", "combined")
 
 
 def raw_metadata_table(spark, d):
@@ -289,46 +291,98 @@ def submission_parts(spark, d):
     return found.unionByName(spark.createDataFrame([(w, 0) for w in warnings], "part string, n long"))
 
 
-def schema_rules(spark, d):
-    """Columns, types and requirements of the latest schema file, its references resolved."""
+def _schemas(spark) -> str:
+    """A folder of schema files: a base, an old and a new version that extends the base."""
     folder = new_folder(spark, "schemas")
     fs, at = file_system(spark, folder)
     base = {"type": "array", "items": {"type": "object", "properties": {"label": {"type": "string"}, "n": {"type": ["integer", "null"], "minimum": 1}, "day": {"type": "string", "format": "date"}, "on": {"type": "boolean"}}, "required": ["label"]}}
-    more = {"allOf": [{"$ref": "base.json"}, {"items": {"properties": {"label": {"unique": True, "title": "Label"}, "size": {"type": "number"}}}}]}
+    more = {"allOf": [{"$ref": "base.json"}, {"items": {"properties": {"label": {"unique": True, "title": "Label"}, "size": {"type": "number"}, "code": {"unique": True, "htType": "text"}}}}]}
     for name, node in {"base.json": base, "20240101_site_schema.json": {"items": {"properties": {}}}, "20250101_site_schema.json": more}.items():
         stream = fs.create(at(f"{folder}/{name}"))
         stream.write(bytearray(json.dumps(node).encode()))
         stream.close()
-    local = folder.removeprefix("file:")
-    table = validate.table_of("site", validate.resolve_schema(validate.latest_schema(local, "site")))
-    rows = [(c, k.simpleString(), c in table.required, table.rules[c].unique, table.rules[c].title, None if table.rules[c].minimum is None else float(table.rules[c].minimum)) for c, k in table.columns.items()]
-    return spark.createDataFrame(rows, "name string, kind string, required boolean, uniq boolean, title string, minimum double")
+    return folder
+
+
+def schema_rules(spark, d):
+    """Customers under the latest schema of a folder, its references resolved: for each field the values that its type keeps, and what is broken."""
+    table = validate.table_of("site", validate.resolve_schema(validate.latest_schema(_schemas(spark), "site", spark), spark))
+    k = F.col("c_custkey")
+    raw = _read(spark, d, "customer").select(
+        F.when(k % 100 == 0, "").otherwise(F.concat(F.lit("C"), k % 1400)).alias("label"), F.when(k % 9 == 0, "x").otherwise((k % 50).cast("string")).alias("n"), F.when(k % 4 == 0, "2020-02-30").otherwise("2020-02-28").alias("day"),
+        F.when(k % 3 == 0, "yes please").otherwise("true").alias("on"), F.col("c_acctbal").cast("string").alias("size"), F.concat(F.lit("K"), k).alias("code"),
+    )
+    aligned, _ = validate.align_to_schema(raw, table)
+    kept_values = aligned.agg(*(F.count(c).alias(c) for c in table.columns)).unpivot([], list(table.columns), "field", "n_values")
+    titles = F.create_map(*(F.lit(x) for c, rule in table.rules.items() for x in (c, rule.title or c)))
+    return kept_values.withColumn("field", titles[F.col("field")]).join(validate.violations(raw, table).drop("tbl"), "field", "left")
 
 
 def empty_tables(spark, d):
-    none = validate.empty_table(spark, SITE)
-    return validate.empty_table(spark, TREE, 2).select("tree_label", "n_woodpieces", "dbh").withColumn("n_none", F.lit(none.count()))
+    """Trees, with a dummy row for the submission that has no known column, and two for one without any row."""
+    trees = structure.hierarchy_tables(adapters.meta(spark, d), SCHEMAS, _species(spark))["tree"]
+    odd, _ = validate.validated_table(_read(spark, d, "customer").select("c_name"), TREE, force_required=False)
+    return trees.unionByName(odd).unionByName(validate.empty_table(spark, TREE, 2)).unionByName(validate.empty_table(spark, TREE)).select("tree_label", "site_label", "n_woodpieces", "dbh")
 
 
 def checked_calls(spark, d):
-    """Which calls are refused: wrong columns, names, bundles and years."""
+    """Which calls are refused (wrong columns, names, bundles and years), and how many rows the others give."""
     data, out = registry._raw(spark, d), []
     calls = {
         "missing measure": lambda: clean.without_negatives(data.cells.drop("la"), CELL_MEASURES),
-        "all there": lambda: require(data.cells, CELL_MEASURES, "cells"),
+        "all there": lambda: clean.without_negatives(data.cells, CELL_MEASURES).filter("raddistr IS NULL"),
         "year not whole": lambda: clean.complete_years(registry._log(spark, d).withColumn("year", F.col("year").cast("double"))),
+        "years whole": lambda: clean.complete_years(registry._log(spark, d)),
         "unknown method": lambda: profiles.chronology_mean(data.rings.withColumn("exclude_issues", F.lit(False)), "mrw", method="other"),
+        "known method": lambda: profiles.chronology_mean(data.rings.withColumn("exclude_issues", F.lit(False)), "mrw"),
         "site given twice": lambda: structure.structure_from_names(registry._names(spark, d), site="X"),
         "no such table": lambda: tables.table_by_name(spark, "data$other", {"data": data}),
+        "such a table": lambda: tables.table_by_name(spark, "data$rings", {"data": data}),
         "not a name": lambda: tables.table_by_name(spark, "a b"),
+        "no labels": lambda: flags.ring_table_issues(data.cells),
     }
     for name, call in calls.items():
         try:
-            call()
-            out.append((name, False))
+            out.append(call().select(F.lit(name).alias("call"), F.lit(False).alias("refused"), F.lit(1).alias("row")))
         except ValueError:
-            out.append((name, True))
-    return spark.createDataFrame(out, "call string, refused boolean")
+            out.append(spark.range(1).select(F.lit(name).alias("call"), F.lit(True).alias("refused"), F.lit(None).cast("int").alias("row")))
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("call", "refused").agg(F.count("row").alias("n_rows"))
+
+
+AUTHOR = validate.Table("author_data", {"author_nr": T.LongType(), "name": T.StringType()}, {"author_nr": validate.Rule("numeric", others=("valid_seq",))})
+RELATED = validate.Table("relresource_data", {"doi": T.StringType(), "rel_ds_label": T.StringType()}, {"doi": validate.Rule("character", others=("check_doi",), title="DOI"), "rel_ds_label": validate.Rule("character", others=("check_dsid",))})
+
+
+def declared_checks(spark, d):
+    """Nations as sites, customers as trees, orders as woodpieces, suppliers as authors and parts as related works, with faults in each."""
+    k = F.col("n_nationkey")
+    customers = _read(spark, d, "customer").withColumn("site_label", F.when(F.col("c_custkey") % 97 == 0, "N99").otherwise(F.concat(F.lit("N"), "c_nationkey")))
+    counted = customers.groupBy("site_label").agg(F.count("*").alias("n_trees"))
+    named = _read(spark, d, "nation").withColumn("site_label", F.concat(F.lit("N"), k))
+    place = {"longitude": (k * 2 + 0.25).cast("string"), "latitude": (k + 0.75).cast("string")}
+    right = F.concat(F.expr("chr(cast(65 + floor((n_nationkey * 2 + 0.25) / 10) AS int))"), F.expr("chr(cast(65 + floor((n_nationkey + 0.75) / 10) AS int))"))
+    sites = named.join(counted, "site_label", "left").withColumns(place).select("site_label", (F.col("n_trees") + (k % 5 == 0).cast("int")).alias("n_trees"), "longitude", "latitude", F.when(k % 7 == 0, "XX").otherwise(F.concat(F.lit("Land ("), right, F.lit(")"))).alias("country_code"))
+    species = lambda c: F.when(F.col("c_custkey") % 11 == 0, "wrong").otherwise(c)
+    trees = customers.select(
+        F.concat(F.lit("T"), "c_custkey").alias("tree_label"), "site_label", F.concat(F.lit("SP"), F.col("c_custkey") % 3).alias("species_code"), species(F.concat(F.lit("Species "), F.col("c_custkey") % 3)).alias("species_name"),
+        F.when(F.col("c_custkey") % 13 == 0, "").otherwise(F.concat(F.lit("habit "), F.col("c_custkey") % 3)).alias("leaf_habit"), F.lit(10).cast("long").alias("n_woodpieces"),
+    )
+    pieces = _read(spark, d, "orders").select(F.concat(F.lit("T"), F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 10_000_000).otherwise(0)).alias("tree_label"), F.concat(F.lit("P"), "o_orderkey").alias("woodpiece_label"))
+    authors = _read(spark, d, "supplier").select((F.col("s_suppkey") + (F.col("s_suppkey") > 50).cast("int")).alias("author_nr"))
+    p = F.col("p_partkey")
+    related = _read(spark, d, "part").select(F.when(p % 5 == 0, F.concat(F.lit("10.12/"), p)).when(p % 7 == 0, "").otherwise(F.concat(F.when(p % 2 == 0, "https://doi.org/").otherwise(""), F.lit("10.1234/part."), p)).alias("doi"), F.concat(F.lit("DS"), p % 10).alias("rel_ds_label"))
+    label = lambda *others: validate.Rule("character", others=others)
+    known = {
+        "site_data": validate.Table("site_data", SITE.columns, {"n_trees": validate.Rule("numeric", others=("check_counts",)), "country_code": validate.Rule("autocomplete", title="Country", others=("check_coords",))}),
+        "tree_data": validate.Table("tree_data", TREE.columns, {"site_label": label("valid_label"), "n_woodpieces": validate.Rule("numeric", others=("check_counts",)), "species_name": label("check_speciescode"), "leaf_habit": label("check_speciescode")}),
+        "woodpiece_data": validate.Table("woodpiece_data", WOODPIECE.columns, {"tree_label": label("valid_label")}), "author_data": AUTHOR, "relresource_data": RELATED,
+    }
+    data = {"site_data": sites, "tree_data": trees, "woodpiece_data": pieces, "author_data": authors, "relresource_data": related}
+    squares = registry.squares(spark)
+    return validate.declared_problems(data, known, _species(spark), squares, spark.range(8).select(F.concat(F.lit("DS"), "id").alias("label")))
 
 
 def cleaned_names(spark, d):
@@ -409,8 +463,13 @@ def file_names(spark, d):
 
 
 def readable_patterns(spark, d):
-    rows = [(p, structure.readable(p)) for p in (structure.DEFAULT_PATTERN, "(?<tree>a+)_(?<image>b)")]
-    return spark.createDataFrame(rows, "pattern string, shown string")
+    """How many names each pattern fits, beside the pattern as it is shown."""
+    names, out = registry._names(spark, d), None
+    for pattern in (structure.DEFAULT_PATTERN, "(?<site>SITE[:digit:])_(?<species>PCAB)_(?<tree>[:alnum:]+)_(?<image>[:digit:]+)"):
+        fits = structure.structure_from_names(names, pattern).agg(F.count("matched").alias("n_fit"), F.count_if(F.col("matched").isNull()).alias("n_not"))
+        part = fits.select(F.lit(structure.readable(pattern)).alias("shown"), "n_fit", "n_not")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -421,7 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_table": hierarchy_table("site"), "tree_table": hierarchy_table("tree"), "woodpiece_table": hierarchy_table("woodpiece"), "slide_table": hierarchy_table("slide"),
     "species_join": species_join, "site_coordinates": site_coordinates, "country_names": country_names, "country_list": country_list,
     "raw_metadata_table": raw_metadata_table, "metadata_document": metadata_document, "document_rules": document_rules, "submission_parts": submission_parts,
-    "schema_rules": schema_rules, "empty_tables": empty_tables, "checked_calls": checked_calls, "cleaned_names": cleaned_names, "arranged_rings": arranged_rings,
+    "schema_rules": schema_rules, "empty_tables": empty_tables, "checked_calls": checked_calls, "declared_checks": declared_checks, "cleaned_names": cleaned_names, "arranged_rings": arranged_rings,
     "dating_report": dating_report, "sampled_images": sampled_images, "bound_tables": bound_tables, "unknown_options": option_violations, "date_violations": date_violations,
     "settings_dates": settings_dates, "name_problems": name_problems, "dataset_rules": dataset_rules, "label_orphans": label_orphans, "ring_kinds": ring_kinds,
     "file_names": file_names, "readable_patterns": readable_patterns,
@@ -475,14 +534,33 @@ def oracle_sql() -> dict[str, str]:
         "site_coordinates": f"WITH {SITES_SQL} SELECT DISTINCT longitude, latitude FROM sites WHERE longitude IS NOT NULL AND latitude <= 90",
         "country_names": f"""WITH {SITES_SQL}, s AS (SELECT *, {square} AS nr FROM sites), n AS (SELECT *, CASE WHEN nr = 14 THEN 'AC' WHEN nr = 7 OR nr IS NULL OR nr = 4 THEN '' ELSE chr(65 + nr // 3) || chr(65 + nr % 3) END AS code FROM s)
             SELECT site_label, longitude, latitude, CASE WHEN longitude IS NULL OR latitude > 90 THEN NULL WHEN code = '' THEN '' ELSE 'Land ' || code || ' (' || code || ')' END AS country_code FROM n""",
-        "country_list": "WITH c AS (SELECT chr((65 + i)::INT) || chr((65 + j)::INT) AS c, i, j FROM range(5) a(i), range(3) b(j)) SELECT 'Land ' || c AS country_name, c AS country_iso_code, 'Land ' || c || ' (' || c || ')' AS combined FROM c WHERE NOT (i = 1 AND j = 1) UNION ALL SELECT 'Namibia', 'NA', 'Namibia (NA)'",
+        "country_list": """WITH c AS (SELECT chr((65 + i)::INT) || chr((65 + j)::INT) AS c, i, j FROM range(5) a(i), range(3) b(j)), known AS (
+              SELECT 'Land ' || c AS country_name, c AS country_iso_code, 'Land ' || c || ' (' || c || ')' AS combined FROM c WHERE NOT (i = 1 AND j = 1) UNION ALL SELECT 'Namibia', 'NA', 'Namibia (NA)')
+            SELECT n_name, country_iso_code, country_name, combined FROM (SELECT n_name, CASE n_nationkey WHEN 7 THEN 'NA' ELSE chr(65 + n_nationkey::INT % 6) || chr(65 + n_nationkey::INT % 4) END AS country_iso_code FROM nation) LEFT JOIN known USING (country_iso_code)""",
         "raw_metadata_table": "SELECT 'C' || c_custkey AS site_label, NULL::VARCHAR AS site_name, CASE WHEN c_custkey % 3 <> 0 THEN 7 END::BIGINT AS n_trees, NULL::DOUBLE AS longitude, (c_custkey % 40)::DOUBLE AS latitude, NULL::VARCHAR AS country_code FROM customer",
         "metadata_document": views(species, site, tree) + "SELECT tree_label, site_label, species_code, species_name, n_woodpieces FROM tree UNION ALL SELECT NULL, site_label, NULL, NULL, n_trees FROM site",
         "document_rules": "SELECT 'site_data' AS tbl, 'n_trees' AS field, 'error' AS severity, 'Out of range values' AS message UNION ALL SELECT 'site_data', 'site_name', 'error', 'Required'",
         "submission_parts": views(species, site, tree) + "SELECT 'image/roxas_data' AS part, count(*) AS n FROM meta UNION ALL SELECT 'dataset/ds_data', 1 UNION ALL SELECT 'site/site_data', count(*) FROM site UNION ALL SELECT 'site/tree_data', count(*) FROM tree UNION ALL SELECT 'missing tables: woodpiece_data', 0",
-        "schema_rules": "SELECT * FROM (VALUES ('label', 'string', true, true, 'Label', NULL), ('n', 'int', false, false, NULL, 1.0), ('day', 'date', false, false, NULL, NULL), ('on', 'boolean', false, false, NULL, NULL), ('size', 'double', false, false, NULL, NULL)) v(name, kind, required, uniq, title, minimum)".replace("1.0)", "1.0::DOUBLE)"),
-        "empty_tables": "SELECT '' AS tree_label, NULL::BIGINT AS n_woodpieces, NULL::DOUBLE AS dbh, 0 AS n_none FROM range(2)",
-        "checked_calls": "SELECT * FROM (VALUES ('missing measure', true), ('all there', false), ('year not whole', true), ('unknown method', true), ('site given twice', true), ('no such table', true), ('not a name', true)) v(call, refused)",
+        "schema_rules": """WITH c AS (SELECT CASE WHEN c_custkey % 100 = 0 THEN '' ELSE 'C' || (c_custkey % 1400) END AS label, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 50 END AS n, c_custkey FROM customer)
+            SELECT 'Label' AS field, count(*) AS n_values, CASE WHEN count(label) FILTER (WHERE label <> '') > count(DISTINCT label) FILTER (WHERE label <> '') THEN 'Required, Non-unique values' ELSE 'Required' END AS message, 'error' AS severity FROM c
+            UNION ALL SELECT 'n', count(n), 'Out of range values', 'error' FROM c UNION ALL SELECT 'day', count(*) FILTER (WHERE c_custkey % 4 <> 0), 'Invalid date formats', 'warning' FROM c
+            UNION ALL SELECT 'on', count(*) FILTER (WHERE c_custkey % 3 <> 0), NULL, NULL FROM c UNION ALL SELECT 'size', count(*), NULL, NULL FROM c UNION ALL SELECT 'code', count(*), NULL, NULL FROM c""",
+        "empty_tables": views(species, tree) + "SELECT tree_label, site_label, n_woodpieces, NULL::DOUBLE AS dbh FROM tree UNION ALL SELECT '', '', NULL, NULL FROM range(3)",
+        "checked_calls": views(LOG, YEARS) + f"""SELECT * FROM (VALUES ('missing measure', true, 0), ('year not whole', true, 0), ('unknown method', true, 0), ('site given twice', true, 0), ('no such table', true, 0), ('not a name', true, 0), ('no labels', true, 0)) v(call, refused, n_rows)
+            UNION ALL SELECT 'all there', false, count(*) FROM raw_cells WHERE raddistr IS NULL OR raddistr < 0 UNION ALL SELECT 'such a table', false, count(*) FROM raw_rings UNION ALL SELECT 'known method', false, count(DISTINCT year) FROM raw_rings
+            UNION ALL SELECT 'years whole', false, count(*) FROM years""",
+        "declared_checks": """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 97 = 0 THEN 'N99' ELSE 'N' || c_nationkey END AS site_label FROM customer), o AS (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS tree, count(*) AS n FROM orders GROUP BY 1), r AS (
+              SELECT 'site_data' AS tbl, 'n_trees' AS field, 'Wrong counts' AS message, (SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0 AND 'N' || n_nationkey IN (SELECT site_label FROM t)) AS n
+              UNION ALL SELECT 'site_data', 'Country', 'Outside the country', (SELECT count(*) FROM nation WHERE n_nationkey % 7 = 0)
+              UNION ALL SELECT 'tree_data', 'site_label', 'Unknown labels', (SELECT count(*) FROM t WHERE site_label = 'N99')
+              UNION ALL SELECT 'tree_data', 'n_woodpieces', 'Wrong counts', (SELECT count(*) FROM t LEFT JOIN o ON tree = c_custkey WHERE coalesce(o.n, 0) <> 10)
+              UNION ALL SELECT 'tree_data', 'species_name', 'Not the species'' value', (SELECT count(*) FROM t WHERE c_custkey % 11 = 0 OR c_custkey % 3 = 2)
+              UNION ALL SELECT 'tree_data', 'leaf_habit', 'Not the species'' value', (SELECT count(*) FROM t WHERE c_custkey % 13 <> 0 AND c_custkey % 3 = 2)
+              UNION ALL SELECT 'woodpiece_data', 'tree_label', 'Unknown labels', (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer))
+              UNION ALL SELECT 'author_data', 'author_nr', 'Invalid sequence', (SELECT CASE WHEN count(*) > 50 THEN 1 ELSE 0 END FROM supplier)
+              UNION ALL SELECT 'relresource_data', 'DOI', 'Invalid DOI', (SELECT count(*) FROM part WHERE p_partkey % 5 = 0)
+              UNION ALL SELECT 'relresource_data', 'rel_ds_label', 'Unknown labels', (SELECT count(*) FROM part WHERE p_partkey % 10 > 7))
+            SELECT * FROM r WHERE n > 0""",
         "cleaned_names": f"SELECT c_custkey::VARCHAR AS tree_label, 4::BIGINT AS n_woodpieces, {r('c_acctbal', 'dbh')} FROM customer",
         "arranged_rings": views(LOG, INNER) + f"SELECT woodpiece_label, {K}, row_number() OVER (PARTITION BY woodpiece_label ORDER BY image_label DESC NULLS LAST, year)::INT AS position FROM valid",
         "dating_report": "WITH i AS (" + registry.oracles.oracle_sql()["dating_issues"] + "), n AS (SELECT *, row_number() OVER (ORDER BY image_label, year) AS nr FROM i) SELECT nr::INT AS nr, CASE WHEN nr = 10 THEN '...' ELSE image_label || ', ' || year || ': ' || issues END AS line FROM n WHERE nr <= 10",
@@ -502,6 +580,6 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'counts', r_regionkey, 5, n FROM (SELECT r_regionkey, count(n_nationkey) AS n FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON n_regionkey = r_regionkey GROUP BY 1) WHERE n <> 5""",
         "ring_kinds": "SELECT 'type of year' AS issue, 1::BIGINT AS n UNION ALL SELECT 'type of other_issues', 1",
         "file_names": f"SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'dataset' ELSE substr(regexp_replace(regexp_replace(trim({part}), '[^A-Za-z0-9_-]', '_', 'g'), '^[-_]+', ''), 1, 32) END AS file_name FROM part",
-        "readable_patterns": "SELECT * FROM (VALUES ('(?<tree>a+)_(?<image>b)', '{tree}_{image}'), ('" + structure.DEFAULT_PATTERN + "', '{site}_{species}_{tree}{woodpiece}_{slide}_{image}')) v(pattern, shown)",
+        "readable_patterns": f"WITH {names}, m AS (SELECT regexp_matches(name, 'SITE[0-9]_PCAB_[0-9A-Z]+_[0-9]+') AS other, name NOT LIKE 'scan%' AS usual FROM names) SELECT '{{site}}_{{species}}_{{tree}}{{woodpiece}}_{{slide}}_{{image}}' AS shown, count(*) FILTER (WHERE usual) AS n_fit, count(*) FILTER (WHERE NOT usual) AS n_not FROM m UNION ALL SELECT '{{site}}_{{species}}_{{tree}}_{{image}}', count(*) FILTER (WHERE other), count(*) FILTER (WHERE NOT other) FROM m",
     }
 

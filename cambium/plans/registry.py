@@ -223,14 +223,17 @@ def name_stem_mismatch(spark, d):
     return files.incomplete_sets(every.select(F.concat(F.lit("stem_"), "p_partkey").alias("stem"), "kind", F.concat("p_partkey", "kind").alias("path")))
 
 
-def site_countries(spark, d):
-    """Squares of ten degrees; one has an enclave, which is a country with a lake, and a lake of its own."""
+def squares(spark) -> DataFrame:
+    """Countries of ten degrees square; one has an enclave, which is a country with a lake, and a lake of its own."""
     box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n)]
     rings = [(chr(65 + i) + chr(65 + j), 0, box(i * 10.0, j * 10.0, i * 10.0 + 10, j * 10.0 + 10)) for i in range(5) for j in range(3)]
     rings += [("BB", 0, box(11.0, 11.0, 16.0, 16.5)), ("ZZ", 1, box(11.0, 11.0, 16.0, 16.5)), ("ZZ", 1, box(12.5, 12.5, 14.0, 15.0)), ("BB", 0, box(17.0, 11.5, 19.5, 18.0))]
-    polygons = spark.createDataFrame(rings, "code string, part int, ring array<struct<lon:double,lat:double>>")
+    return spark.createDataFrame(rings, "code string, part int, ring array<struct<lon:double,lat:double>>")
+
+
+def site_countries(spark, d):
     sites = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("C"), "c_custkey").alias("site_label"), (F.col("c_custkey") % 59 + 0.25).cast("double").alias("longitude"), (F.col("c_custkey") % 37 + 0.75).cast("double").alias("latitude"))
-    return structure.site_countries(sites, polygons)
+    return structure.site_countries(sites, squares(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
