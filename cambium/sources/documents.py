@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
 import datetime as dt
+import io
+import json
+import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,16 +19,83 @@ from cambium.operators.structure import file_name_of
 from cambium.operators.tables import arranged
 from cambium.operators.validate import SchemaError, Table, validated_document, violations
 
-from .scratch import listed
+from .measurements import known_to_python, open_file
+from .scratch import file_system, kept, listed, new_folder
+
+
+#: What splitting a document looks at: whole strings (or one that the text breaks off in) and brackets.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[\[\]{}]', re.DOTALL)
+_CHUNK = 1 << 20
+_ROWS = 10_000
+
+
+def split_records(chunks: Iterator[str]) -> Iterator[tuple[str, str | None]]:
+    """(table, record) of the text of an object of record arrays, as it comes in; (table, None) where an array begins.
+
+    No more than a chunk and a record is held. Members that aren't arrays are left out.
+    """
+    text, at, depth, name, table, start = "", 0, 0, None, None, None
+    for chunk in chunks:
+        text += chunk
+        for m in _TOKEN.finditer(text, at):
+            token = m[0]
+            if token[0] == '"':
+                if len(token) == 1 or token[-1] != '"' or m.end() == len(text):
+                    break  # it may go on in the next chunk
+                if depth == 1:
+                    name = token
+            elif token in "[{":
+                depth += 1
+                if depth == 2 and token == "[":
+                    table = json.loads(name)
+                    yield table, None
+                elif depth == 3 and table is not None and token == "{":
+                    start = m.start()
+            else:
+                if depth == 3 and start is not None:
+                    yield table, text[start : m.end()]
+                    start = None
+                depth -= 1
+                if depth == 1:
+                    table = None
+            at = m.end()
+        cut = at if start is None else start
+        text, at, start = text[cut:], at - cut, None if start is None else 0
+
+
+def _texts(read: Callable[[int], bytes]) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    while part := read(_CHUNK):
+        yield decoder.decode(part)
+
+
+def _split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of documents: path, or content where only Spark can read the path."""
+    for p in parts:
+        for row in p.itertuples(index=False):
+            with io.BytesIO(row.content) if row.content is not None else open_file(row.path) as f:
+                records = split_records(_texts(f.read))
+                while rows := list(islice(records, _ROWS)):
+                    yield pd.DataFrame(rows, columns=["tbl", "record"])
 
 
 def read_metadata(spark: SparkSession, path: str, tables: dict[str, Table]) -> dict[str, DataFrame]:
-    """The document's tables that are known, typed by their schemas; absent ones are left out."""
-    record = lambda t: T.ArrayType(T.StructType([T.StructField(c, k) for c, k in t.columns.items()]))
-    schema = T.StructType([T.StructField(name, record(t)) for name, t in tables.items()])
-    doc = spark.read.schema(schema).json(path, multiLine=True)
-    there = doc.select(*(F.col(name).isNotNull().alias(name) for name in tables)).first()
-    return {name: doc.select(F.inline(name)) for name in tables if there is not None and there[name]}
+    """The document's tables that are known, typed by their schemas; absent ones are left out.
+
+    A document is one value, so one task goes through it, but as a stream that cuts records out; they are stored, and
+    parsed wherever they are read.
+    """
+    fs, at = file_system(spark, path)
+    files = [f.getPath().toString() for f in fs.listStatus(at(path)) if f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+    if all(known_to_python(f) for f in files):
+        documents = spark.createDataFrame([(f, None) for f in files], "path string, content binary")
+    else:
+        documents = spark.read.format("binaryFile").load(files).select("path", "content")
+    records = kept(documents.mapInPandas(_split, "tbl string, record string"), "records")
+    there = {r[0] for r in records.filter("record IS NULL").select("tbl").distinct().collect()}  # the document's tables
+    schema = lambda t: T.StructType([T.StructField(c, k) for c, k in t.columns.items()])
+    of = lambda name: records.filter((F.col("tbl") == name) & F.col("record").isNotNull())
+    return {name: of(name).select(F.from_json("record", schema(t)).alias("r")).select("r.*") for name, t in tables.items() if name in there}
 
 
 def read_valid_metadata(spark: SparkSession, folder: str, tables: dict[str, Table], dataset: str | None = None, force_valid: bool = True) -> tuple[dict[str, DataFrame], DataFrame | None]:
@@ -56,18 +130,38 @@ def read_submission(spark: SparkSession, path: str, tables: dict[str, Table]) ->
     return found[IMAGE_TABLE], part(DATASET_TABLES), part(SITE_TABLES), warnings
 
 
-def metadata_document(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row, one column `value`: the JSON object of the tables. Metadata tables are small."""
-    doc = None
-    for name, df in tables.items():
-        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        doc = one if doc is None else doc.crossJoin(one)  # one row each
-    return doc.select(F.to_json(F.struct(*tables), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
-
-
 def write_metadata(tables: dict[str, DataFrame], folder: str, dataset: str) -> str:
+    """Writes one JSON object of the tables, each an array with a record a line, and gives its path.
+
+    Tables are written by tasks, in the order of their partitions; the parts are then copied behind each other into one file,
+    as bytes. No row holds a table, and the document is there whole or not at all.
+    """
+    spark = next(iter(tables.values())).sparkSession
     path = f"{folder}/{file_name_of(dataset)}_metadata.json"
-    metadata_document(tables).coalesce(1).write.mode("overwrite").text(path)
+    parts = new_folder(spark, "parts")
+    for name, df in tables.items():
+        record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        df.select(F.concat(F.lit(","), record).alias("value")).write.text(f"{parts}/{name}")
+    fs, at = file_system(spark, path)
+    source, part_at = file_system(spark, parts)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    unfinished = f"{path}.unfinished"
+    out = fs.create(at(unfinished))
+    put = lambda text: out.write(bytearray(text.encode()))
+    for k, name in enumerate(tables):
+        put(("{" if k == 0 else ",") + f"\n{json.dumps(name)} : [\n")
+        files = sorted(f.getPath().toString() for f in source.globStatus(part_at(f"{parts}/{name}/part-*")) if f.getLen())
+        for i, file in enumerate(files):
+            stream = source.open(part_at(file))
+            stream.seek(0 if i else 1)  # the first record has no comma before it
+            copy(stream, out, _CHUNK, False)
+            stream.close()
+        put("]")
+    put("\n}\n")
+    out.close()
+    fs.delete(at(path), True)
+    fs.rename(at(unfinished), at(path))
+    source.delete(part_at(parts), True)
     return path
 
 

@@ -248,7 +248,7 @@ def frame_size(read: Callable[[int, int], bytes]) -> tuple[int | None, int | Non
             at += 2 + length
 
 
-def _file(path: str):
+def open_file(path: str):
     """A file of random access in a task, and its size."""
     scheme = path.split(":/", 1)[0] if ":/" in path else ""
     uri = path.replace(scheme, _PYTHON_SCHEMES[scheme], 1) if scheme in _PYTHON_SCHEMES else path if scheme not in ("", "file") else None
@@ -262,7 +262,7 @@ def _heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path in p["fname_image"]:
             try:
-                with _file(path) as f:
+                with open_file(path) as f:
                     size = f.size()
                     rows.append((path, size, *frame_size(lambda at, n: f.read_at(max(0, min(n, size - at)), at) if at < size else b"")))  # noqa: B023
             except OSError:
@@ -290,7 +290,7 @@ def collect_image_info(spark: SparkSession, files: DataFrame | list[str]) -> Dat
     """
     known = _named(spark, files, "fname_image").filter(F.rlike("fname_image", F.lit(r"(?i)\.jpe?g$")))
     schemes = known.select(F.regexp_extract("fname_image", "^([a-z][a-z0-9+.-]*):/", 1).alias("scheme")).distinct().collect()  # a few
-    foreign = [r[0] for r in schemes if not _known_to_python(r[0])]
+    foreign = [r[0] for r in schemes if not known_to_python(f"{r[0]}:/" if r[0] else "/")]
     scheme = F.regexp_extract("fname_image", "^([a-z][a-z0-9+.-]*):/", 1)
     columns = "fname_image string, img_filetype string, img_size long, img_width int, img_height int"
     near = known.filter(~scheme.isin(foreign)) if foreign else known
@@ -303,7 +303,9 @@ def collect_image_info(spark: SparkSession, files: DataFrame | list[str]) -> Dat
     return out
 
 
-def _known_to_python(scheme: str) -> bool:
+def known_to_python(path: str) -> bool:
+    """Whether tasks can open files of the path's file system by themselves."""
+    scheme = path.split(":/", 1)[0] if ":/" in path else ""
     if scheme in ("", "file"):
         return True
     try:

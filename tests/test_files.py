@@ -111,7 +111,7 @@ def test_image_info_of_odd_files(spark, tmp_path, monkeypatch):
     show = lambda df: {r[0].rsplit("/", 1)[1]: tuple(r)[1:] for r in df.collect()}
     size = (tmp_path / "a b.jpg").stat().st_size
     assert show(measurements.collect_image_info(spark, data)) == {"a b.jpg": ("JPEG", size, 70, 80), "no.JPEG": (None, 4, None, None), "gone.jpg": (None, None, None, None)}
-    monkeypatch.setattr(measurements, "_known_to_python", lambda scheme: False)  # by Spark's own reader
+    monkeypatch.setattr(measurements, "known_to_python", lambda path: False)  # by Spark's own reader
     assert show(measurements.collect_image_info(spark, data)) == {"a b.jpg": ("JPEG", size, 70, 80), "no.JPEG": (None, 4, None, None)}
 
 
@@ -121,6 +121,31 @@ def test_settings_of_named_files_only(spark, folder):
     assert [r["fname_settings"] for r in got] == [r["fname_settings"] for r in data.collect() if r["name"].endswith("_2")]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_records_are_split_wherever_chunks_end(size):
+    doc = {"$schema": "x[{", "a": [{"t": 'q"\\{["', "n": [1, {"m": "}"}]}, {}, {"t": "é漢\\\\"}], "none": [], "o": {"k": [{"x": 1}]}, 'b " [': [{"z": None}]}
+    text = json.dumps(doc, ensure_ascii=False, indent=1)
+    got = list(documents.split_records(iter([text[i : i + size] for i in range(0, len(text), size)])))
+    named = [(t, None if r is None else json.loads(r)) for t, r in got]
+    assert named == [x for k, v in doc.items() if isinstance(v, list) for x in [(k, None), *((k, r) for r in v)]]
+
+
+def test_a_document_is_written_in_parts(spark, tmp_path, monkeypatch):
+    images = spark.range(5000).selectExpr("concat('i', id) AS image_label", r"""CASE WHEN id % 3 = 0 THEN 'say "[{\n' END AS note""").repartition(7)
+    none = spark.createDataFrame([], "image_label string, note string")
+    path = documents.write_metadata({"images": images, "none": none}, str(tmp_path), "big one")
+    doc = json.loads((tmp_path / "big_one_metadata.json").read_text())
+    assert len(doc["images"]) == 5000 and doc["none"] == [] and doc["images"][0].keys() == {"image_label", "note"} and path.endswith("big_one_metadata.json")
+    table = validate.Table("images", {"image_label": T.StringType(), "note": T.StringType()})
+    for _ in range(2):
+        back = documents.read_metadata(spark, path, {"images": table, "none": table, "absent": table})
+        assert set(back) == {"images", "none"} and back["none"].isEmpty() and back["images"].exceptAll(images).isEmpty() and back["images"].count() == 5000
+        monkeypatch.setattr(documents, "known_to_python", lambda path: False)  # read by Spark, split all the same
+    pretty = tmp_path / "other_metadata.json"
+    pretty.write_text(json.dumps({"images": [{"image_label": "a", "note": "é"}, {"image_label": None}]}, indent=4))
+    assert [tuple(r) for r in documents.read_metadata(spark, str(pretty), {"images": table})["images"].collect()] == [("a", "é"), (None, None)]
+
+
 def odd_files(tmp_path):
     """In two far-apart folders: CID in the second place, old names, a missing, an empty and a broken file, short lines; and one beside that nobody names."""
     names = measurements.CELL_COLUMNS
