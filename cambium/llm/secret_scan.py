@@ -111,7 +111,9 @@ def secret_scan(docs: DataFrame, wide_owners: int = 3, repository: str = "source
     found = docs.select("doc_id", held.alias("repository"), (named(owner) if owner in docs.columns else held).alias("owner"), F.array_sort(spans).alias("all"))
     found = stored(found.withColumn("row_id", F.monotonically_increasing_id()))
     candidates = found.filter(F.size("all") > 0).select("row_id", "repository", "owner", F.explode("all").alias("s")).select("row_id", "repository", "owner", _hashed(F.col("s")).alias("key"))
-    holders = candidates.groupBy("key", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
+    # stored, so that the join below is between two plain shuffles and Spark can split the rows of a widely copied value
+    once = candidates.groupBy("key", "owner", "repository").agg(F.lit(1).alias("one"))
+    holders = stored(once.groupBy("key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories")))
     judged = (
         candidates.join(holders, "key")
         .groupBy("row_id")
@@ -132,15 +134,17 @@ def secret_scan(docs: DataFrame, wide_owners: int = 3, repository: str = "source
     )
 
 
-#: The kinds as DuckDB's expressions have them: either case spelled out, no look-behind, no possessive repeats. The
-#: bodies of private keys end alike but where a text breaks off in the middle of one.
+#: The kinds as DuckDB's expressions have them: either case spelled out, no possessive repeats, which change nothing here. What looks
+#: behind or ahead takes a character more, in a group of its own that is cut off again: kind, pattern, shortest value, groups of the value
+#: (0: the match), of what is too much before it and after it (0: nothing).
+_SQL_SPACE = r"[ \t\n\x0B\f\r]"
 _SQL_KINDS = [
-    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
-    ("access", "AKIA[A-Z0-9]+", 16, 0),
-    ("hex", "[0-9a-f]{32,}", 32, 0),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 26, 0),
-    ("pem", rf"{_HEAD}(?:[^-]*(?:-[^-]+){{0,16}}{_END})?", 27, 0),
-]
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, 0, 0),
+    ("access", "AKIA[A-Z0-9]+", 16, 0, 0, 0),
+    ("hex", "[0-9a-f]{32,}", 32, 0, 0, 0),
+    ("jwt", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 26, 0, 1, 0),
+    ("pem", rf"""{_HEAD}(?:[^-]*(?:-[^-]+){{0,16}}{_END}|(?:(?:\\[nr]|[ \t\n\x0B\f\r"',])*[A-Za-z0-9+/=]{{16,}})+(?:{_SQL_SPACE}*[A-Za-z0-9+/]{{1,15}}={{0,2}}([ \t\n\x0B\f\r"',]|$))?)?""", 27, 0, 0, 1),
+]
 
 
 def _quoted(text: str) -> str:
@@ -148,16 +152,21 @@ def _quoted(text: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_quoted(k)}, {least})" for i, (k, _, least, _) in enumerate(_SQL_KINDS))}) v(rank, kind, least)),
+WITH kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_quoted(k[0])}, {k[2]})" for i, k in enumerate(_SQL_KINDS))}) v(rank, kind, least)),
 d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text FROM documents),
 cut AS (
-  {" UNION ALL ".join(f"SELECT row_id, {i} AS rank, regexp_extract_all(text, {_quoted(p)}, 0) AS m, regexp_extract_all(text, {_quoted(p)}, {g}) AS v, string_split_regex(text, {_quoted(p)}) AS gaps FROM d WHERE regexp_matches(text, {_quoted(p)})" for i, (_, p, _, g) in enumerate(_SQL_KINDS))}
+  {" UNION ALL ".join(f"SELECT row_id, {i} AS rank, {', '.join(f'regexp_extract_all(text, {_quoted(p)}, {g}) AS {c}' for c, g in (('m', 0), ('v', value), ('early', before), ('late', after)))}, {before} AS before, {after} AS after, string_split_regex(text, {_quoted(p)}) AS gaps FROM d WHERE regexp_matches(text, {_quoted(p)})" for i, (_, p, _, value, before, after) in enumerate(_SQL_KINDS))}
 ), flat AS (
-  SELECT row_id, rank, unnest(m) AS m, unnest(v) AS v, unnest(gaps[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM cut
+  SELECT row_id, rank, before, after, unnest(m) AS m, unnest(v) AS v, unnest(early) AS early, unnest(late) AS late, unnest(gaps[:len(m)]) AS gap, unnest(range(len(m))) AS i FROM cut
+), sized AS (
+  SELECT *, CASE WHEN before > 0 THEN coalesce(length(early), 0) ELSE 0 END AS n_early, CASE WHEN after > 0 THEN coalesce(length(late), 0) ELSE 0 END AS n_late FROM flat
 ), placed AS (
-  SELECT row_id, rank, v, length(m) AS size, sum(length(gap) + length(m)) OVER (PARTITION BY row_id, rank ORDER BY i) AS stop FROM flat
+  SELECT row_id, rank, CASE WHEN before + after = 0 THEN v ELSE substr(m, n_early + 1, length(m) - n_early - n_late) END AS v, length(m) - n_early - n_late AS size,
+    sum(length(gap) + length(m)) OVER (PARTITION BY row_id, rank ORDER BY i) - n_late AS stop FROM sized
+), bodies AS (
+  SELECT *, CASE WHEN rank = {len(_SQL_KINDS) - 1} THEN regexp_replace(v, {_quoted(_KEY_FRAME.replace(chr(92) + "s", " " + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r"))}, '', 'g') ELSE '' END AS body FROM placed
 ), spans AS (
-  SELECT row_id, rank, kind, (stop - size)::BIGINT AS start, stop::BIGINT AS stop, sha256(v) AS key FROM placed JOIN kinds USING (rank) WHERE length(v) >= least
+  SELECT row_id, rank, kind, (stop - size)::BIGINT AS start, stop::BIGINT AS stop, sha256(CASE WHEN body <> '' THEN body ELSE v END) AS key FROM bodies JOIN kinds USING (rank) WHERE length(v) >= least
 ), holders AS (SELECT key, count(DISTINCT source) AS n FROM spans JOIN d USING (row_id) GROUP BY key),
 per AS (
   SELECT row_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
