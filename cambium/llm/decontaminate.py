@@ -14,6 +14,8 @@ WINDOW = 10
 GRAM = 5
 #: Rows up to which a side is broadcast (some tens of MB); beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of words up to which items are broadcast with their words.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -25,6 +27,12 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _checked_words(items: DataFrame) -> DataFrame:
+    """Items with a broadcast hint if their rows and the bytes of all their words allow one."""
+    rows, size = items.agg(F.count("*"), F.sum(F.octet_length(F.array_join("words", "")) + 24 * F.size("words"))).first()
+    return F.broadcast(items) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else items
+
+
 def _indices(n: Column, length: int) -> Column:
     """0 .. n - length, or nothing."""
     return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
@@ -103,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared span of WINDOW words is missed. An item of fewer words is one window and found by the hash of its length.
 
     The items' fingerprints and the ids of suspect documents are broadcast only behind a count
-    of their rows; larger sides are joined by shuffle. The texts never shuffle in the first pass, and of a
+    of their rows, the items' words behind a sum of their bytes; larger sides are joined by shuffle. The texts never shuffle in the first pass, and of a
     very long suspect each hit takes no more words than its item has.
 
     Null texts and texts without words: 0 words, nothing hit; items of that sort never occur.
@@ -138,7 +146,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     # an item_id with several texts: each is laid on
     hits = (
-        _extended(seeds, texts, _checked(items))
+        _extended(seeds, texts, _checked_words(items.select("item_id", "words", "n_words")))
         .groupBy("key", "text_hash")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     )
