@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
-from cambium.llm.common import stored, table
+from cambium.llm.common import free_name, stored, table
 from cambium.llm.queries import VOCABULARY
 
 
@@ -26,8 +26,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     learned = docs.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = langid.fit(learned.select("doc_id", F.lower("text").alias("text"), "lang"))
-    judged = langid.identify(docs, model, docs.columns, prefix="__langid_")
-    return judged.filter("NOT __langid_rejected").select(*docs.columns)
+    prefix = "langid_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    judged = langid.identify(docs, model, docs.columns, prefix=prefix)
+    return judged.filter(~F.col(f"{prefix}rejected")).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,30 +40,32 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text's hash are the key of a row's own decision. Null and empty texts are one group. Null doc_ids come last; of rows
     with the winner's doc_id the longest text stays, and of fully equal rows any one.
     """
-    found = stored(exact_dedup.exact_dedup(docs).filter("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("__sha"), "kept"))
-    gone = found.filter("NOT kept").select("doc_id", "__sha").distinct()
-    many = found.filter("kept").groupBy("doc_id", "__sha").count().filter("count > 1").select("doc_id", "__sha")
-    return _without(docs, ["doc_id", "__sha"], F.unhex(F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)), gone, many)
+    found = stored(exact_dedup.exact_dedup(docs.select("doc_id", "text")).filter("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("sha"), "kept"))
+    gone = found.filter("NOT kept").select("doc_id", "sha").distinct()
+    many = found.filter("kept").groupBy("doc_id", "sha").count().filter("count > 1").select("doc_id", "sha")
+    return _without(docs, [F.col("doc_id"), F.unhex(F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256))], gone, many)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id (null: last) of each component of linked shingle sets.
 
     The operator ties rows of one doc_id together and leaves out those without, so it gets a
-    hash of doc_id and text as the id. Rows without words (null texts too) link with nothing and stay. Of
+    number for the SHA-256 of doc_id and text as the id, which no other pair has. Rows without words (null texts too) link with nothing and stay. Of
     rows with the first one's doc_id and text one stays.
     """
-    key = F.xxhash64("doc_id", "text")
-    joined = stored(ngram_join.ngram_join(docs.select(key.alias("doc_id"), "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id"))
+    known = lambda c: F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")).cast("binary")
+    key = F.unhex(F.sha2(F.concat(F.sha2(known("doc_id"), 256).cast("binary"), known("text")), 256))
+    rows = _numbered(docs.select("doc_id", "text", key.alias("key")))
+    joined = stored(ngram_join.ngram_join(rows.select(F.col("id").alias("doc_id"), "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("id"), "component_id"))
     shared = joined.groupBy("component_id").count().filter("count > 1").select("component_id")
-    members = stored(joined.join(shared, "component_id").groupBy("__key", "component_id").agg(F.count("*").alias("n")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")
-    ids = members.join(docs.select("doc_id", key.alias("__key")), "__key")
-    first = stored(ids.groupBy("component_id").agg(F.min(order)["__key"].alias("first")))
+    linked = joined.join(shared, "component_id").select("id", "component_id").distinct()
+    members = stored(linked.join(rows.select("id", "key", "doc_id"), "id").groupBy("component_id", "key", "doc_id").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = stored(members.groupBy("component_id").agg(F.min(order)["key"].alias("first")))
     judged = members.join(first, "component_id")
-    gone = judged.filter("__key <> first").select("__key")
-    many = judged.filter("__key = first AND n > 1").select("__key")
-    return _without(docs, ["__key"], key, gone, many)
+    gone = judged.filter("key <> first").select("key")
+    many = judged.filter("key = first AND n > 1").select("key")
+    return _without(docs, [key], gone, many)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     go or stay together, whatever their doc_ids. Null texts and texts without words stay."""
     sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     found = decontaminate.decontaminate(docs.select(F.hex(sha).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(docs, ["__sha"], sha, found.filter("contaminated").select(F.unhex("doc_id").alias("__sha")).distinct())
+    return _without(docs, [sha], found.filter("contaminated").select(F.unhex("doc_id").alias("sha")).distinct())
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,18 +81,34 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.bpe_digest(docs, VOCABULARY, with_ids=True)
 
 
-def _without(docs: DataFrame, on: list[str], key: Column, gone: DataFrame, many: DataFrame | None = None) -> DataFrame:
-    """The rows of docs whose key (the columns `on`, of which the last is `key`) isn't in gone; of
-    the rows with a key in many only one, the longest text.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with id, a number of the key: its 64-bit hash, and where several keys have one hash, another one for all but the first.
+
+    That takes some 10^9 different keys, so the keys that move are a few, if any.
+    """
+    numbered = rows.withColumn("id", F.xxhash64("key"))
+    shared = numbered.groupBy("id").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("id", "first")
+    moved = stored(shared)
+    if moved.isEmpty():
+        return numbered
+    again = numbered.join(moved, "id", "left")
+    return again.withColumn("id", F.when(F.col("key") != F.col("first"), F.xxhash64("key", F.lit(1))).otherwise(F.col("id"))).drop("first")
+
+
+def _without(docs: DataFrame, key: list[Column], gone: DataFrame, many: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose key isn't in gone (the same columns in the same order); of the rows with a key in many only
+    one, the longest text.
 
     What goes is less than what stays, so the keys that go are joined against: by broadcast
-    behind a count, by shuffle beyond it. Nulls are equal.
+    behind a count, by shuffle beyond it. Nulls are equal. Helper columns have names that docs hasn't.
     """
-    keyed = docs.withColumn(on[-1], key)
+    names = [free_name(f"key_{i}", docs.columns) for i in range(len(key))]
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(key, names, strict=True)))
 
     def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(*(F.col(c).alias(f"__of_{c}") for c in on))
-        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in on]
+        others = [free_name(f"of_{n}", [*docs.columns, *names]) for n in names]
+        keys = keys.toDF(*others)
+        same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(names, others, strict=True)]
         return rows.join(F.broadcast(keys) if keys.count() <= decontaminate.BROADCAST_ROWS else keys, same, how)
 
     rest = joined(keyed, stored(gone), "left_anti")
@@ -96,7 +117,8 @@ def _without(docs: DataFrame, on: list[str], key: Column, gone: DataFrame, many:
         return rest.select(*docs.columns)
     row = F.struct(*docs.columns)
     longest = F.max_by(row, F.struct(F.length("text"), F.to_json(row)))
-    one = joined(rest, many, "left_semi").groupBy(*on).agg(longest.alias("__row")).select("__row.*")
+    kept = free_name("kept_row", [*docs.columns, *names])
+    one = joined(rest, many, "left_semi").groupBy(*names).agg(longest.alias(kept)).select(f"{kept}.*")
     return joined(rest, many, "left_anti").select(*docs.columns).unionByName(one)
 
 
