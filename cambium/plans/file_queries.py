@@ -145,6 +145,15 @@ def edited_rings_file(spark, d):
     return files.read_ring_flags(spark, path).select("woodpiece_label", "slide_label", *RING_KEY, "cno", "exclude_dupl", "exclude_issues", "comment")
 
 
+def sorted_sink(spark, d):
+    """Where each ring stands in the file that was written in order, among those of its woodpiece: by part and line, as the bytes are."""
+    rings, edits = _edited(spark, d)
+    path = documents.write_table(flags.apply_edits(rings, edits).select("woodpiece_label", *RING_KEY), new_folder(spark, "sorted"), "demo", "rings", DAY, order=["-woodpiece_label", "year", "image_label"])
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("part"), F.posexplode(F.split("value", "\n")).alias("line", "text")).filter("line > 0 AND text <> ''")
+    rows = parts.select("part", "line", F.from_csv("text", "woodpiece_label string, image_label string, year int").alias("r")).select("part", "line", "r.*")
+    return tables.positions(rows, ["woodpiece_label"], ["part", "line"]).drop("part", "line")
+
+
 def committed_rings(spark, d):
     rings, edits = _edited(spark, d)
     return flags.commit_edits(rings, edits, new_folder(spark, "committed")).select("woodpiece_label", *RING_KEY, "exclude_issues", "comment")
@@ -476,7 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "found_sets": found_sets, "image_structure": image_structure, "load_cells": load_cells, "load_rings": load_rings, "load_failures": load_failures, "load_bundle": load_bundle,
     "load_settings": load_settings, "image_info": image_info, "combined_metadata": combined_metadata, "streamed_counts": streamed_counts,
     "processed_cells": processed("cells"), "processed_rings": processed("rings"), "profile_file": profile_file, "edited_rings_file": edited_rings_file,
-    "committed_rings": committed_rings, "undone_edits": undone_edits, "image_metadata_file": image_metadata_file, "named_table": named_table,
+    "sorted_sink": sorted_sink, "committed_rings": committed_rings, "undone_edits": undone_edits, "image_metadata_file": image_metadata_file, "named_table": named_table,
     "site_table": hierarchy_table("site"), "tree_table": hierarchy_table("tree"), "woodpiece_table": hierarchy_table("woodpiece"), "slide_table": hierarchy_table("slide"),
     "species_join": species_join, "site_coordinates": site_coordinates, "country_names": country_names, "country_list": country_list,
     "raw_metadata_table": raw_metadata_table, "metadata_document": metadata_document, "document_rules": document_rules, "submission_parts": submission_parts,
@@ -522,6 +531,7 @@ def oracle_sql() -> dict[str, str]:
         "processed_rings": views(MEASURED, BOUNDARY) + f"SELECT woodpiece_label, slide_label, {K}, {rings}, {r('eww', 'eww')}, {r('lww', 'lww')} FROM rings LEFT JOIN boundary USING ({K})",
         "profile_file": views() + f"SELECT {K}, sector_n, {r('avg(la)', 'la_mean')}, {r('avg(cwttan)', 'cwttan_mean')}, {r('quantile_cont(la, 0.5)', 'la_q50')}, {r('quantile_cont(cwttan, 0.5)', 'cwttan_q50')} FROM (SELECT *, CASE WHEN rraddistr > 100 AND rraddistr <= 101 THEN 5 WHEN rraddistr BETWEEN 0 AND 100 THEN greatest(ceil(rraddistr / 20), 1)::INT END AS sector_n FROM cells) WHERE sector_n IS NOT NULL GROUP BY {K}, sector_n",
         "edited_rings_file": edited + f"SELECT woodpiece_label, slide_label, {K}, cno, exclude_dupl, exclude_issues, comment FROM edited",
+        "sorted_sink": edited + f"SELECT woodpiece_label, {K}, row_number() OVER (PARTITION BY woodpiece_label ORDER BY year, image_label)::INT AS position FROM edited",
         "committed_rings": edited + f"SELECT woodpiece_label, {K}, exclude_issues, comment FROM edited",
         "undone_edits": edited + f"SELECT woodpiece_label, {K}, exclude_issues, CASE WHEN comment IS NOT NULL THEN 'checked' END AS comment FROM edited",
         "image_metadata_file": meta + "SELECT image_label, slide_label, woodpiece_label, tree_label, site_label, species_code, printf('%.1f', spatial_resolution) AS spatial_resolution, outmost_year::VARCHAR AS outmost_year, image_label || '.jpg' AS fname_image FROM meta",

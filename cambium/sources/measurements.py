@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from cambium.functions import expr as X
 from cambium.operators.model import Measurements, require
+from cambium.operators.tables import head_lines
 from cambium.operators.validate import Table, align_to_schema
 
-from .scratch import file_system, listed
+from .scratch import file_system, kept, listed
 
 #: Fixed: kinds of files and their endings, in any case; images in such paths don't count.
 ENDINGS = {"cells": r"_Output_Cells\.txt", "rings": r"_Output_Rings\.txt", "settings": r"_ROXAS_Settings\.txt", "image": r"\.jpe?g"}
@@ -48,9 +49,65 @@ BROADCAST_BYTES = 64 << 20
 # -- discovery ----------------------------------------------------------------------------------
 
 
+#: Python's names of file systems that Spark calls otherwise.
+_PYTHON_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _system(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path, for a task, and the path in it."""
+    scheme = path.split(":/", 1)[0] if ":/" in path else ""
+    if scheme in ("", "file"):
+        return pa_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pa_fs.FileSystem.from_uri(path.replace(scheme, _PYTHON_SCHEMES.get(scheme, scheme), 1))
+
+
+def open_file(path: str):
+    """A file of random access in a task."""
+    system, inner = _system(path)
+    return system.open_input_file(inner)
+
+
+def known_to_python(path: str) -> bool:
+    """Whether tasks can open files of the path's file system by themselves."""
+    scheme = path.split(":/", 1)[0] if ":/" in path else ""
+    if scheme in ("", "file"):
+        return True
+    try:
+        pa_fs.FileSystem.from_uri(f"{_PYTHON_SCHEMES.get(scheme, scheme)}://host/path")
+    except (OSError, ValueError):
+        return False
+    return True
+
+
+def _entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is in folders, a row each; hidden entries (with a dot or an underscore in front) and empty files count for nothing, as in Spark."""
+    for p in parts:
+        for folder in p["folder"]:
+            system, inner = _system(folder)
+            found = [(f"{folder.rstrip('/')}/{x.base_name}", x.type == pa_fs.FileType.Directory) for x in system.get_file_info(pa_fs.FileSelector(inner)) if x.base_name[0] not in "._" and (x.size or x.type == pa_fs.FileType.Directory)]
+            yield pd.DataFrame(found, columns=["path", "folder"])
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a folder.
+
+    Folders are rows that tasks list, level by level: the folders found on one level are the rows of the next, so the driver holds
+    neither files nor folders. On a file system that only Spark knows, Spark's own listing does it.
+    """
+    if not known_to_python(root):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    level, files = spark.createDataFrame([(root,)], "folder string"), None
+    while not level.isEmpty():
+        found = kept(level.repartition("folder").mapInPandas(_entries, "path string, folder boolean"), "listing")
+        own = found.filter("NOT folder").select("path")
+        files = own if files is None else files.unionByName(own)
+        level = found.filter("folder").select(F.col("path").alias("folder"))
+    return files
+
+
 def found_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, stem, kind) of the measurement files below a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    files = listed_files(spark, folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind, stem = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, ending in ENDINGS.items():
@@ -73,6 +130,19 @@ def incomplete_sets(files: DataFrame) -> DataFrame:
     return file_sets(files).select("stem", F.concat_ws(", ", *(F.when(F.col(f"fname_{k}").isNull(), F.lit(k)) for k in ENDINGS)).alias("missing")).filter("missing <> ''")
 
 
+class IncompleteError(ValueError):
+    """Raised for a folder whose images lack files."""
+
+
+def assert_complete(files: DataFrame, shown: int = 9) -> None:
+    """An error if there are no files, or if an image lacks one of its four; it names the first of them."""
+    if files.isEmpty():
+        raise IncompleteError("no measurement files")
+    lines = head_lines(incomplete_sets(files), F.concat("stem", F.lit(" has no "), "missing"), ["stem"], shown)
+    if lines:
+        raise IncompleteError("images without all files:\n" + "\n".join(lines))
+
+
 # -- tab separated files --------------------------------------------------------------------------
 
 
@@ -209,13 +279,14 @@ def collect_settings(spark: SparkSession, files: DataFrame | list[str], version:
         raise NotImplementedError(f"settings of version {version}")
     known = _named(spark, files, "fname_settings")
     source = spark.read.schema("RNUM string, SETTING string, DESCRIPTION string").options(sep="\t", header=True, pathGlobFilter=any_case(ENDINGS["settings"]))
-    raw = source.csv(folders_of(known, "fname_settings")).select(_metadata_key().alias("file_key"), F.expr("try_cast(RNUM as double)").alias("rnum"), F.col("SETTING").alias("setting"))
+    folders = folders_of(known, "fname_settings")
+    if not folders:
+        return pivot_settings(spark.createDataFrame([], "path string, rnum double, setting string"))
+    raw = source.csv(folders).select(_metadata_key().alias("file_key"), F.expr("try_cast(RNUM as double)").alias("rnum"), F.col("SETTING").alias("setting"))
     named = raw.filter(F.col("rnum").isin(list(SETTINGS))).join(known.select(_key(F.col("fname_settings")).alias("file_key"), F.col("fname_settings").alias("path")), "file_key")
     return pivot_settings(named.select("path", "rnum", "setting"))
 
 
-#: Python's names of file systems that Spark calls otherwise.
-_PYTHON_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 #: Bytes that a step through an image's segments reads.
 _STEP_BYTES = 64
 
@@ -248,14 +319,6 @@ def frame_size(read: Callable[[int, int], bytes]) -> tuple[int | None, int | Non
             at += 2 + length
 
 
-def open_file(path: str):
-    """A file of random access in a task, and its size."""
-    scheme = path.split(":/", 1)[0] if ":/" in path else ""
-    uri = path.replace(scheme, _PYTHON_SCHEMES[scheme], 1) if scheme in _PYTHON_SCHEMES else path if scheme not in ("", "file") else None
-    system, inner = pa_fs.FileSystem.from_uri(uri) if uri else (pa_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/"))
-    return system.open_input_file(inner)
-
-
 def _heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Size, width and height of files by ranged reads; nulls for one that can't be opened."""
     for p in parts:
@@ -303,18 +366,6 @@ def collect_image_info(spark: SparkSession, files: DataFrame | list[str]) -> Dat
     return out
 
 
-def known_to_python(path: str) -> bool:
-    """Whether tasks can open files of the path's file system by themselves."""
-    scheme = path.split(":/", 1)[0] if ":/" in path else ""
-    if scheme in ("", "file"):
-        return True
-    try:
-        pa_fs.FileSystem.from_uri(f"{_PYTHON_SCHEMES.get(scheme, scheme)}://host/path")
-    except (OSError, ValueError):
-        return False
-    return True
-
-
 # -- processed tables ----------------------------------------------------------------------------
 
 

@@ -54,7 +54,12 @@ def test_discovery_and_structure(spark, folder):
     assert files.count() == 8 and measurements.incomplete_sets(files).isEmpty()
     got = sorted(r["image_label"] for r in sets_with_labels(spark, folder).collect())
     assert got == ["SITEA_PISY_01A_1_1".replace("01A", "01_A"), "SITEA_PISY_01_A_1_2"]
+    measurements.assert_complete(files)
+    with pytest.raises(measurements.IncompleteError, match="no measurement files"):
+        measurements.assert_complete(files.limit(0))
     (folder / "SITEA_PISY_01A_1_2_Output_Rings.txt").unlink()
+    with pytest.raises(measurements.IncompleteError, match="SITEA_PISY_01A_1_2 has no rings"):
+        measurements.assert_complete(measurements.found_files(spark, str(folder)))
     assert [tuple(r) for r in measurements.incomplete_sets(measurements.found_files(spark, str(folder))).collect()] == [("SITEA_PISY_01A_1_2", "rings")]
 
 
@@ -119,6 +124,7 @@ def test_settings_of_named_files_only(spark, folder):
     data = sets_with_labels(spark, folder)
     got = measurements.collect_settings(spark, data.filter("name LIKE '%_2'")).collect()
     assert [r["fname_settings"] for r in got] == [r["fname_settings"] for r in data.collect() if r["name"].endswith("_2")]
+    assert measurements.collect_settings(spark, data.filter("false")).isEmpty()
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
@@ -146,6 +152,23 @@ def test_a_document_is_written_in_parts(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in documents.read_metadata(spark, str(pretty), {"images": table})["images"].collect()] == [("a", "é"), (None, None)]
 
 
+def test_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """Level by level, as Spark's own listing has it: no hidden entries, no empty files."""
+    names = ["a/b/c/d/x_Output_Cells.txt", "a/x_output_rings.TXT", "a b/+%20/y.JPEG", "a/annotated/z.jpg", "a/.hidden/h.jpg", "_tmp/h.jpg", "a/_h.jpg", "top.jpg", "other.txt"]
+    for name in names:
+        write(tmp_path / name, ["x"])
+    (tmp_path / "a" / "empty.jpg").write_text("")
+    (tmp_path / "nothing").mkdir()
+    listed = measurements.listed_files(spark, str(tmp_path))
+    key = lambda df: sorted(r[0] for r in df.select(measurements._key(measurements.F.col("path"))).collect())
+    mine = key(listed)
+    assert mine == sorted(f"{tmp_path}/{n}" for n in names if "/." not in n and not n.startswith("_") and "/_" not in n)
+    found = {(r["stem"], r["kind"]) for r in measurements.found_files(spark, str(tmp_path)).collect()}
+    assert found == {("x", "cells"), ("x", "rings"), ("y", "image"), ("top", "image")}
+    monkeypatch.setattr(measurements, "known_to_python", lambda path: False)
+    assert key(measurements.listed_files(spark, str(tmp_path))) == mine
+
+
 def odd_files(tmp_path):
     """In two far-apart folders: CID in the second place, old names, a missing, an empty and a broken file, short lines; and one beside that nobody names."""
     names = measurements.CELL_COLUMNS
