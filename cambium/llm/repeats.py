@@ -49,11 +49,11 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel(), dtype=np.int64)
 
 
-def with_levels(docs: DataFrame, draw: Callable[[pa.Table], np.ndarray], finish: Callable[[pa.Table, np.ndarray], Iterator[tuple]], schema: pa.Schema, kinds: str, expected: int) -> DataFrame:
+def with_levels(docs: DataFrame, draw: Callable[[pa.Table], np.ndarray], finish: Callable[[pa.Table, np.ndarray], Iterator[tuple]], schema: pa.Schema, kinds: str, expected: int, level_from: tuple[int, ...] = LEVEL_FROM) -> DataFrame:
     """finish(table, levels) for each slice of docs, where levels has one for each drawn hash.
 
     draw gives the 64-bit hashes of a slice (its rows in order); finish gives the rows of
-    `schema` (`kinds` for Spark). Level 0: the hash occurs once; 1 to 3: at least LEVEL_FROM
+    `schema` (`kinds` for Spark). Level 0: the hash occurs once; 1 and so on: at least level_from
     times. Different hashes may share a slot, of which there are SLOTS_EACH for each expected
     one, so levels may be too high, never too low.
     """
@@ -83,7 +83,7 @@ def with_levels(docs: DataFrame, draw: Callable[[pa.Table], np.ndarray], finish:
         total, rows = np.zeros(1 << low, np.uint32), table.to_pylist()
         for r in rows:
             total[_unpack(r["at"], r["n"])] += np.frombuffer(pa.decompress(r["count"], r["n"], "zstd"), np.uint8)
-        level = sum((total >= x).astype(np.uint8) for x in LEVEL_FROM)
+        level = sum((total >= x).astype(np.uint8) for x in level_from)
         out = [(r["slice"], r["bucket"], r["n"], pa.compress(level[_unpack(r["at"], r["n"])].tobytes(), "zstd", asbytes=True)) for r in rows]
         release_memory()
         return _table(out, to_slice)

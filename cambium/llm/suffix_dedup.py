@@ -158,6 +158,8 @@ def _unpacked(blob: bytes, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
 #: length; of settled spans: row, start, stop.
 KINDS = [(np.int64, 1), (np.int32, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, WIDTH), (np.int32, 1), (np.int32, 1), (np.int32, 1), (np.int32, 1), (np.int32, 1), (np.int32, 1)]
 SPANS = [(np.int32, 1), (np.int32, 1), (np.int32, 1)]
+#: Occurrences from which an anchor is hot: its strings are dealt each by itself.
+HOT = 4096
 #: Bytes of a long text and windows that are worked on at once.
 PIECE = 4 << 20
 WINDOWS_AT_ONCE = 1 << 18
@@ -191,23 +193,41 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, least: np.ndarray, base: int, at_once: int) -> Iterator[tuple]:
+def _windows(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, least: np.ndarray, hot: np.ndarray, base: int, at_once: int) -> Iterator[tuple]:
     """Windows around the anchors at `at`, with the repeats among them settled.
 
     Of equal windows only one of the smallest doc is sent on, with the runs of places where that doc has it; all
-    strings of the others begin in that doc too. Yields the anchors' hashes and the fields of KINDS.
+    strings of the others begin in that doc too. Yields the hashes that deal windows to buckets, and the fields of KINDS.
+
+    An anchor's windows meet under its hash. Where very many documents share a passage, its anchors are hot: windows at the
+    edges differ by what stands around the passage. A hot anchor's strings are windows of their own, dealt by the
+    hashes of their LENGTH bytes, so that only equal strings meet, and of those one a slice.
     """
     padded = np.concatenate((np.zeros(STARTS - 1, np.uint8), data, np.zeros(LENGTH, np.uint8)))
     edge = np.zeros(STARTS - 1, U64)
     bounds = np.concatenate((edge, least, np.zeros(LENGTH, U64)))
-    for lo in range(0, len(at), at_once):
-        yield _settled(padded, bounds, offsets, doc, at[lo : lo + at_once], hashes[lo : lo + at_once], base)
+    cold = np.flatnonzero(~hot)
+    for lo in range(0, len(cold), at_once):
+        own = cold[lo : lo + at_once]
+        low, high = _owned(bounds, at[own], hashes[own])
+        yield _settled(padded, offsets, doc, at[own], hashes[own], low, high, base)
+    warm, strings = np.flatnonzero(hot), window_hashes(data, LENGTH) if hot.any() else None
+    for lo in range(0, len(warm), max(1, at_once // STARTS)):
+        own = warm[lo : lo + max(1, at_once // STARTS)]
+        low, high = _owned(bounds, at[own], hashes[own])
+        each = high.astype(np.int64) - low + 1
+        column = _ranges(low.astype(np.int64), each)
+        where = np.repeat(at[own], each)
+        yield _settled(padded, offsets, doc, where, strings[where - (STARTS - 1) + column], column.astype(np.uint8), column.astype(np.uint8), base)
+
+
+def _owned(bounds: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the strings that belong to each anchor, by their place in its window."""
+    owned = np.lib.stride_tricks.sliding_window_view(bounds, STARTS)[at] == hashes[:, None]
+    return owned.argmax(1).astype(np.uint8), (STARTS - 1 - owned[:, ::-1].argmax(1)).astype(np.uint8)
 
 
-def _settled(padded: np.ndarray, bounds: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, base: int) -> tuple:
-    owned = np.lib.stride_tricks.sliding_window_view(bounds, STARTS)[at] == hashes[:, None]
-    low = owned.argmax(1).astype(np.uint8)
-    high = (STARTS - 1 - owned[:, ::-1].argmax(1)).astype(np.uint8)
+def _settled(padded: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> tuple:
     windows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
     column = np.arange(WIDTH)
     windows = np.where((column >= low[:, None]) & (column < high[:, None].astype(np.int64) + LENGTH), windows, 0).astype(np.uint8)
@@ -243,10 +263,11 @@ def _to_buckets(table: pa.Table, levels: np.ndarray, buckets: int, piece: int, a
     for part, data, offsets, at, h, least, base in _anchored(table, piece):
         rows += last.num_rows if last is not None and part is not last else 0
         last = part
-        again = levels[seen : seen + len(at)] > 0
+        level = levels[seen : seen + len(at)]
+        again = level > 0
         seen += len(at)
         doc = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-        for hashes, own, runs, spans in _windows(data, offsets, doc, at[again], h[again], least, base, at_once):
+        for hashes, own, runs, spans in _windows(data, offsets, doc, at[again], h[again], least, level[again] > 1, base, at_once):
             runs[0] += np.int32(rows)
             spans[0] += np.int32(rows)
             parts.append((hashes, own, runs, spans))
@@ -325,14 +346,14 @@ def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({"doc_id": table.column("doc_id"), **counts, "kept_sha256": pa.array(columns[3], pa.string())})
 
 
-def suffix_dedup(docs: DataFrame, piece: int = PIECE, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
+def suffix_dedup(docs: DataFrame, piece: int = PIECE, at_once: int = WINDOWS_AT_ONCE, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     Removes each byte that a string of LENGTH bytes covers which also begins in a document with
     a smaller doc_id; matches never cross documents and are judged on the input. Documents are
     dealt to slices by one shuffle, which three steps share: counting the anchors, sending the
     windows of anchors that may occur again (compressed, and with the repeats inside a slice
-    settled) to their buckets, and cutting out the spans that the buckets reply.
+    settled; those of anchors that occur `hot` times string by string) to their buckets, and cutting out the spans that the buckets reply.
 
     Null texts are empty. Rows without doc_id are neither smaller nor larger than others:
     nothing is removed from them. Rows that share a doc_id, and repeated rows, don't remove from each other. Very
@@ -347,7 +368,7 @@ def suffix_dedup(docs: DataFrame, piece: int = PIECE, at_once: int = WINDOWS_AT_
         return np.concatenate(found) if found else np.zeros(0, U64)
 
     fields = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("blob", pa.binary())])
-    sent = with_levels(texts, draw, lambda t, levels: _to_buckets(t, levels, buckets, piece, at_once), fields, "bucket int, slice int, blob binary", total * 2 // (STARTS + 1))
+    sent = with_levels(texts, draw, lambda t, levels: _to_buckets(t, levels, buckets, piece, at_once), fields, "bucket int, slice int, blob binary", total * 2 // (STARTS + 1), (2, hot))
     spans = sent.groupBy("bucket").applyInArrow(_match, "slice int, blob binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
