@@ -155,6 +155,37 @@ def test_suffix_dedup(docs, real, empty):
     assert suffix_dedup.suffix_dedup(empty).isEmpty()
 
 
+def test_suffix_dedup_of_hot_anchors(spark, docs, real):
+    """The same spans where anchors are hot from the second occurrence on, or from the twentieth."""
+    passage = prose(31, 40)
+    shared = spark.createDataFrame([(i, f"{prose(1000 + i, 12)} {passage} {prose(2000 + i, 12)}") for i in range(150)], "doc_id long, text string").repartition(3)
+    for df, hot in ((docs, 2), (real.limit(300), 20), (shared, 2), (shared, 100)):
+        df = spark.createDataFrame(pairs(df), "doc_id long, text string")
+        assert collections.Counter(tuple(r) for r in suffix_dedup.suffix_dedup(df, hot=hot).collect()) == brute_spans(pairs(df))
+
+
+def test_a_passage_of_many_documents_is_dealt_out():
+    """2,000 documents share a passage: its anchors' windows meet in a few buckets unless they are hot."""
+    import numpy as np
+    import pyarrow as pa
+
+    passage, most = prose(31, 40), []
+    for level in (1, 2):
+        held = collections.Counter()
+        for i in range(2000):
+            text = f"{prose(1000 + i, 8)} {passage} {prose(5000 + i, 8)}"
+            table = pa.table({"doc_id": [i], "text": [text], "slice": [i]})
+            anchored = [h for *_, h, _, _ in suffix_dedup._anchored(table)]
+            levels = np.full(sum(map(len, anchored)), level, np.uint8)
+            for bucket, _, blob in suffix_dedup._to_buckets(table, levels, 100_000, 1 << 20, 1 << 18):
+                doc, *_ = suffix_dedup._unpacked(blob, suffix_dedup.KINDS)
+                held[bucket] += len(doc)
+        inside = [n for n in held.values() if n >= 1500]
+        most.append((max(held.values()), len(inside)))
+    # hot: strings inside the passage meet, one a document (here a slice each) and string; those at its edges are dealt out
+    assert most[0][0] >= 1900 and most[1][0] <= 2100 and most[1][1] >= len(passage) - 60
+
+
 def test_suffix_dedup_without_ids(spark):
     text = prose(4)
     df = spark.createDataFrame([(None, text), (1, text), (2, text)], "doc_id long, text string")
@@ -454,6 +485,35 @@ def test_licenses_inside_longer_files(spark):
     assert got[100]["licenses"] == "MIT" and got[100]["best_dice"] == 1.0 and got[101]["licenses"] == got[102]["licenses"] == got[103]["licenses"] == ""
 
 
+def test_recall_of_license_windows(spark):
+    """Edited notices inside prose: nearly every one that some window of the template's size matches is found."""
+    rng, rows, cases = random.Random(21), [], []
+    vocabulary = prose(77, 500).split(" ")
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for i, (name, template) in enumerate([*license_scan.TEMPLATES.items()] * 25):
+        w = template.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 12))):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [w[k], *some(1)], some(1), some(1)])
+        if rng.random() < 0.3:  # a block of other words in the middle
+            k = rng.randrange(len(w))
+            w[k:k] = some(rng.randint(1, max(1, len(w) // 8)))
+        before = some(rng.randint(5, 40))
+        rows.append((i, " ".join([*before, *w, *some(rng.randint(5, 40))])))
+        cases.append((name, " ".join(w)))
+    got = {r["doc_id"]: set(r["licenses"].split(",")) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    windows, spans = [], []
+    for (i, text), (name, own) in zip(rows, cases, strict=True):
+        template = license_scan.TEMPLATES[name]
+        words_, n = re.findall("[a-z0-9]+", text.lower()), len(re.findall("[a-z0-9]+", template.lower()))
+        if any(dice(" ".join(words_[k : k + n]), template) >= 0.8 for k in range(len(words_))):
+            windows.append(name in got[i])
+        if dice(own, template) >= 0.8:
+            spans.append(name in got[i])
+    print(f"windows {sum(windows)} of {len(windows)}, spans {sum(spans)} of {len(spans)}")
+    assert len(windows) > 200 and sum(windows) >= 0.98 * len(windows) and sum(spans) >= 0.9 * len(spans)
+
+
 # -- 7 ------------------------------------------------------------------------------------------
 
 KINDS = [
