@@ -132,19 +132,27 @@ class Best:
     """For each query the `size` first entries by (-score, low)."""
 
     def __init__(self, queries: int, size: int):
-        self.size, self.q = size, np.zeros(0, np.int64)
+        self.queries, self.size, self.q = queries, size, np.zeros(0, np.int64)
         self.score, self.low, self.cid = (np.zeros(0, np.int64) for _ in range(3))
         self.kth = np.full(queries, -MOST - 1, np.int64)
 
     def add(self, q: np.ndarray, score: np.ndarray, low: np.ndarray, cid: np.ndarray) -> None:
-        q, score, low, cid = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.low, low), (self.cid, cid)))
+        """New entries; only the queries that have some are sorted again."""
+        asked = np.zeros(self.queries, bool)
+        asked[q] = True
+        again = asked[self.q]
+        held = (self.q, self.score, self.low, self.cid)
+        rest = [x[~again] for x in held]
+        q, score, low, cid = (np.concatenate((x[again], y)) for x, y in zip(held, (q, score, low, cid), strict=True))
         order = np.lexsort((cid, low, -score, q))
-        q = q[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-        keep = order[place < self.size]
-        full = order[place == self.size - 1]
-        self.q, self.score, self.low, self.cid = q[place < self.size], score[keep], low[keep], cid[keep]
-        self.kth[q[place == self.size - 1]] = score[full]
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
+        keep, full = order[place < self.size], order[place == self.size - 1]
+        self.q, self.score, self.low, self.cid = (np.concatenate((x, y[keep])) for x, y in zip(rest, (q, score, low, cid), strict=True))
+        self.kth[q[full]] = score[full]
+
+    def lists(self, keys: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(self.q, kind="stable")
+        return _lists(keys, np.bincount(self.q, minlength=self.queries), {"less": -self.score[order], "low": self.low[order], "cid": self.cid[order]})
 
 
 def nearest_bounds(file: DataFrame, cells: Cells, queries, size: int) -> DataFrame:
@@ -206,7 +214,7 @@ def certain(file: DataFrame, cells: Cells, queries, size: int) -> DataFrame:
                 at, row = at[BLOCK_PAIRS:], row[BLOCK_PAIRS:]
                 still = upper[at, row] >= best.kth[at].astype(np.float64)
                 at, row = at[still], row[still]
-        yield _lists(keys, np.bincount(best.q, minlength=len(keys)), {"less": -best.score, "low": best.low, "cid": best.cid})
+        yield best.lists(keys)
 
     found = file.select("cid", "low", "code", "v").mapInArrow(scan, "qcid long, best array<struct<less long, low long, cid long>>")
     return found.groupBy("qcid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, size).alias("best"))
