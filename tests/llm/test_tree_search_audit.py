@@ -140,6 +140,20 @@ def test_exact_top_k_of_nothing(spark):
     assert exact_topk.exact_top_k(spark.createDataFrame([(1, [1.0]), (40, None)], VECTORS)).isEmpty()
 
 
+def test_best_entries_as_they_come():
+    rng = random.Random(3)
+    best, every = exact_topk.Best(20, 4), []
+    import numpy as np
+
+    for _ in range(60):
+        new = [(rng.randrange(20), rng.randint(-5, 5), rng.randint(0, 50), len(every) + k) for k in range(rng.randint(0, 25))]
+        every += new
+        best.add(*(np.array([x[k] for x in new], np.int64) for k in range(4)))
+    for r in best.lists(np.arange(20)).to_pylist():
+        want = sorted((-s, low, c) for q, s, low, c in every if q == r["qcid"])[:4]
+        assert [(e["less"], e["low"], e["cid"]) for e in r["best"]] == want and best.kth[r["qcid"]] == (-want[3][0] if len(want) == 4 else -exact_topk.MOST - 1)
+
+
 def test_bounds_hold_and_prune():
     import numpy as np
 
