@@ -34,7 +34,7 @@ class Rule:
     maximum: float | None = None
     options: tuple[str, ...] = ()
     min_checks: int | None = None
-    max_checks: int = 10_000
+    max_checks: int | None = None
     title: str | None = None
     #: Names of checks that look beyond a row: see declared_problems.
     others: tuple[str, ...] = ()
@@ -121,7 +121,7 @@ def table_of(name: str, schema: dict) -> Table:
         kind = p.get("htType") or ("dropdown" if options else kinds[type(spark_type(p)).__name__])
         rules[c] = Rule(
             kind, bool(p.get("required")), bool(p.get("unique")), p.get("minLength", -1), p.get("maxLength", 10_000), p.get("pattern"),
-            p.get("minimum"), p.get("maximum"), options, p.get("min_checks"), p.get("max_checks", 10_000), p.get("title"), tuple(p.get("otherChecks", [])),
+            p.get("minimum"), p.get("maximum"), options, p.get("min_checks"), p.get("max_checks"), p.get("title"), tuple(p.get("otherChecks", [])),
         )
     return Table(name, {c: spark_type(p) for c, p in props.items()}, rules, tuple(c for c, r in rules.items() if r.required))
 
@@ -232,7 +232,8 @@ def rule_failures(column: str, rule: Rule) -> list[tuple[str, Column]]:
         checks = F.count_if(c.try_cast("boolean"))
         least = rule.min_checks if rule.min_checks is not None else int(rule.required)
         out.append(("Too few checked", checks < least))
-        out.append(("Too many checked", (checks >= least) & (checks > rule.max_checks)))
+        if rule.max_checks is not None:  # else a table of any length is checked as it likes
+            out.append(("Too many checked", (checks >= least) & (checks > rule.max_checks)))
     elif rule.kind == "date":
         out.append(("Required", some(blank) & F.lit(rule.required)))
         out.append(("Invalid date formats", some(given & F.expr(f"try_cast(`{column}` as date)").isNull())))

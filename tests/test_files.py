@@ -317,6 +317,12 @@ def test_schema_and_metadata(spark, tmp_path):
     assert docs["t"].count() == 3 and said[0] == "missing tables: u"
 
 
+def test_a_checkbox_without_a_maximum_may_be_checked_in_any_number_of_rows(spark):
+    table = validate.table_of("t", {"items": {"properties": {"on": {"type": "boolean"}, "few": {"type": "boolean", "max_checks": 10}}}})
+    df = spark.range(10_001).select(F.lit("true").alias("on"), F.lit("true").alias("few"))
+    assert [(r["field"], r["message"]) for r in validate.violations(df, table).collect()] == [("few", "Too many checked")]
+
+
 def test_latest_schema_and_species(spark, tmp_path):
     for name in ("20240101_site_schema.json", "20250101_site_schema.json", "20260101_tree_schema.json"):
         (tmp_path / name).write_text("{}")
