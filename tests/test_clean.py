@@ -204,3 +204,18 @@ def test_edits_and_checks(spark):
     assert not got["b"]["blue_ring"] and got["b"]["comment"] is None
     odd = flags.inconsistent_exclusions(full.withColumn("exclude_issues", F.lit(False))).collect()
     assert [(r["image_label"], r["flags"]) for r in odd] == [("b", "incomplete_ring")]
+
+
+def test_boundary_of_ties_hangs_on_cell_nr_alone(spark):
+    """0.2 + 0.8 + 1.3 and 1.3 + 0.8 + 0.2 differ in their last bit, which says whether the mean of nine sectors is at most 1."""
+
+    def limit(values, parts):
+        rows = [("a", 1, 5, v, 50.0, k) for k, v in enumerate(values)] + [("a", 1, s, 8.233333333333334 if s == 1 else 0.0, 50.0, 0) for s in (1, 2, 3, 4, 6, 7, 8, 9)]
+        df = spark.createDataFrame(rows, "image_label string, year int, sector100 int, rtsr double, mrw double, cell_nr int")
+        return clean.wood_boundary(df.orderBy(F.rand(parts)).repartition(parts, "cell_nr")).first()["max_ew_sector"]
+
+    values = [0.2, 0.8, 1.3]
+    assert ((0.2 + 0.8 + 1.3) / 3 + 8.233333333333334) / 9 != ((1.3 + 0.8 + 0.2) / 3 + 8.233333333333334) / 9
+    for own in (values, values[::-1]):
+        at_most = ((own[0] + own[1] + own[2]) / 3 + 8.233333333333334) / 9 <= 1
+        assert {limit(own, parts) for parts in (1, 2, 5)} == {5.0 if at_most else -math.inf}
