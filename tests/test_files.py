@@ -1,10 +1,12 @@
 import datetime as dt
 import json
 import struct
+from pathlib import Path
 
 import pytest
 
 from cambium.operators import structure, validate
+from cambium.plans import archive
 from cambium.sources import documents, measurements
 from cambium.streaming import arrivals
 from pyspark.sql import types as T
@@ -169,6 +171,20 @@ def test_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
     assert key(measurements.listed_files(spark, str(tmp_path))) == mine
 
 
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    rows = [(f"{tmp_path}/f{k % 7}", k, f"{k}\n".encode()) for k in range(500)] + [(f"{tmp_path}/empty", 0, b"")]
+    assert measurements.write_files(spark.createDataFrame(rows, "path string, nr int, value binary").repartition(5), ["nr"]) == 8
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["empty", *(f"f{k}" for k in range(7))]
+    assert (tmp_path / "f3").read_text() == "".join(f"{k}\n" for k in range(3, 500, 7)) and (tmp_path / "empty").read_bytes() == b""
+    held = {}
+    for by_tasks in (True, False):  # an archive is the same, whoever writes it
+        monkeypatch.setattr(archive, "_MADE", {})
+        monkeypatch.setattr(measurements, "known_to_python", lambda path, known=by_tasks: known)
+        out = Path(archive.folder(spark, "/root/testdata/sf0.001").removeprefix("file:"))
+        held[by_tasks] = {str(p.relative_to(out)): sorted(p.read_bytes().split(b"\n")) for p in out.rglob("*") if p.is_file() and p.name[0] != "."}
+    assert len(held[True]) > 40 and held[True] == held[False]
+
+
 def odd_files(tmp_path):
     """In two far-apart folders: CID in the second place, old names, a missing, an empty and a broken file, short lines; and one beside that nobody names."""
     names = measurements.CELL_COLUMNS
