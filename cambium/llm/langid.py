@@ -16,7 +16,9 @@ CENTROIDS = 4
 #: Bound of the labelled rows that centroids are fitted on, over all languages.
 SAMPLE_ROWS = 4000
 UNKNOWN = "und"
-_ROWS_AT_ONCE = 256
+#: Rows counted at a time, and bytes of texts: a task takes some 30 MB, beside its batch, where all tasks of an executor add up.
+_ROWS_AT_ONCE = 64
+_BYTES_AT_ONCE = 512 << 10
 #: Length classes of texts (powers of two of their trigrams), each with a least cosine of its own, and the rows it takes to find one.
 LENGTHS = 18
 _LEAST_ROWS = 20
@@ -25,7 +27,7 @@ CUT_CLASSES = 8
 
 def ngram_counts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Rows and their counts of hashed byte trigrams (rows x BUCKETS, float32)."""
-    for part, data, offsets in text_slices(batches, column):
+    for part, data, offsets in text_slices(batches, column, _BYTES_AT_ONCE):
         code = data.astype(np.uint32)
         code = (code[:-2] << 16 | code[1:-1] << 8 | code[2:]) if len(code) > 2 else code[:0]
         bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)).astype(np.int64)
