@@ -18,6 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     rising ids takes about 2 log n rounds. What is left at the end is one node a component, and the
     smallest of its members is looked up.
 
+    All joins are by shuffle: labels grow with the edges, and a broadcast of each round's would stay on the driver.
+
     Null ends and loops are no edges; repeated edges count once. Empty input: no rows.
     """
     edges = stored(edges.select("a", "b").filter("a <> b").distinct())
@@ -28,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         first = F.least(F.min(ranked("b")), ranked("a"))["node"]
         label = stored(both.groupBy("a").agg(first.alias("label")).withColumnRenamed("a", "node"))
         steps.append(label)
-        of = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: B023, E731
+        of = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")).hint("merge")  # noqa: B023, E731
         edges = stored(
             edges.join(of("a"), "a")
             .join(of("b"), "b")
@@ -41,9 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = steps[-1]
     for nr, label in enumerate(reversed(steps[:-1])):  # a label that isn't a node of the next round is final
-        nxt = out.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        nxt = out.select(F.col("node").alias("label"), F.col("label").alias("next")).hint("merge")
         out = label.join(nxt, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         out = stored(out) if nr % 4 == 3 else out  # so that no plan grows with the rounds
     out = stored(out)
     least = out.groupBy("label").agg(F.min("node").alias("component"))
-    return out.join(least, "label").select("node", "component")
+    return out.join(least.hint("merge"), "label").select("node", "component")

@@ -233,7 +233,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
        Equal sets become one class. 3. Classes that share a prefix shingle are clustered by
        stars around the smallest. 4. Each cluster is joined in a prefix tree, small ones
        together; one of more than BLOCK_SETS sets is cut into blocks, and every pair of blocks
-       is a task of its own. 5. Components of the links.
+       is a task of its own. 5. Components of the links. Tables that grow with the documents are joined by shuffle,
+       never by broadcast, which would pass them through the driver.
 
     Shingles are compared by 62-bit hashes. Null and empty texts: no shingles, a component of
     their own. Rows that share a doc_id, and repeated rows, count as one document of several texts; a row without
@@ -251,10 +252,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     # classes of one doc_id are one node already; one of them carries each of its tokens
     entries = classes.select("rep", F.explode("entries").alias("token"))
     stars = stored(entries.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("token", "a"))
-    edges = entries.join(stars, "token").select("a", F.col("rep").alias("b"))
+    edges = entries.join(stars.hint("merge"), "token").select("a", F.col("rep").alias("b"))
     clusters = components(edges)
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "component").select(
+    placed = clusters.join(blocks.hint("merge"), "component").select(
         F.col("node").alias("rep"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     )
     keyed = placed.select("rep", "cluster", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
@@ -263,16 +264,16 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     parts = spread(total, 16 << 20)
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.xxhash64("cluster", "i", "j"))
     sets = rows.filter("tokens IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), *key, "tokens")
-    sets = sets.join(classes.select("rep", *key), ["rep", *key], "left_semi").dropDuplicates(["rep", *key])
-    links = sets.select("rep", "tokens").join(keyed.withColumn("task", task), "rep").groupBy("task").applyInPandas(_joined, "a long, b long")
+    sets = sets.join(classes.select("rep", *key).hint("merge"), ["rep", *key], "left_semi").dropDuplicates(["rep", *key])
+    links = sets.select("rep", "tokens").join(keyed.withColumn("task", task).hint("merge"), "rep").groupBy("task").applyInPandas(_joined, "a long, b long")
     # a doc_id of several texts ties their classes together
-    owned = rows.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("owner"), *key).join(classes.select(*key, "rep"), key).select("owner", "rep")
+    owned = rows.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("owner"), *key).join(classes.select(*key, "rep").hint("merge"), key).select("owner", "rep")
     ties = stored(owned.groupBy("owner").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("owner", "a"))
-    links = links.unionByName(owned.join(ties, "owner").select("a", F.col("rep").alias("b")))
+    links = links.unionByName(owned.join(ties.hint("merge"), "owner").select("a", F.col("rep").alias("b")))
     found = components(links).select(F.col("node").alias("rep"), "component")
-    known = classes.select(*key, "rep").join(found, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    known = classes.select(*key, "rep").join(found.hint("merge"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", *key).join(stored(known), key, "left").select(
+    return rows.select("doc_id", *key).join(stored(known).hint("merge"), key, "left").select(
         F.col("doc_id").cast(kind).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).cast(kind).alias("component_id"),

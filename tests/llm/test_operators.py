@@ -934,3 +934,20 @@ def test_stages_decide_row_by_row(spark, sf_dir):
     assert run(1, [(None, a, "en"), (1, a, "en"), (1, b, "en"), (2, b, "en"), (1, b, "de"), (None, c, "en"), (None, c, "en"), (3, "x y", "en"), (3, "xy", "en")]) == want((1, a), (1, b), (-1, c), (3, "x y"))
     assert run(2, [(None, near, "en"), (7, a, "en"), (1, a, "en"), (1, b, "en"), (1, b, "en"), (9, b, "en"), (None, c, "en"), (None, c, "en"), (4, "", "en")]) == want((1, a), (1, b), (-1, c), (4, ""))
     assert run(2, [(5, a, "en"), (5, near, "en"), (5, b, "en")]) in (want((5, a), (5, b)), want((5, near), (5, b)))
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Labels and classes grow with the documents; a broadcast would pass them through the driver."""
+    edges = spark.range(2000).selectExpr("id AS a", "id + 1 AS b").filter("a % 50 <> 0")
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('one two three four five ', id % 7) AS text")
+    for df in (components(edges), ngram_join.ngram_join(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_trigrams_are_counted_in_small_runs():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["abcd" * 700] * 1000})
+    sizes = [(part.num_rows, counts.nbytes) for part, counts in langid.ngram_counts(iter([batch]))]
+    assert sum(n for n, _ in sizes) == 1000 and max(size for _, size in sizes) <= 2 << 20
