@@ -219,3 +219,14 @@ def test_boundary_of_ties_hangs_on_cell_nr_alone(spark):
     for own in (values, values[::-1]):
         at_most = ((own[0] + own[1] + own[2]) / 3 + 8.233333333333334) / 9 <= 1
         assert {limit(own, parts) for parts in (1, 2, 5)} == {5.0 if at_most else -math.inf}
+
+
+def test_windows_run_once_however_often_the_result_is_read(spark):
+    cells = spark.createDataFrame([("a", 2000, 9.0, 1.0, 0.5, 1.0, 1.0, 1.0, 1.0, 1.0, 5.0)], "image_label string, year int, la double, cwa double, rtsr double, cwttan double, cwtall double, cwtrad double, drad double, dtan double, rraddistr double")
+    rings = spark.createDataFrame([("a", 2000, 50.0), ("a", 2000, 60.0), ("b", 2000, 7.0)], "image_label string, year int, mrw double")
+    done = clean.complete_cell_measures(Measurements(cells, rings))
+    for df in (done.cells, done.rings):
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    # a cell of a ring that is listed twice is there twice, and a ring without cells stays
+    assert done.cells.count() == 2 and done.rings.count() == 3
+    assert done.cells.columns[-1] == "ew_lw" and done.rings.columns == ["image_label", "year", "mrw", "eww", "lww"]
