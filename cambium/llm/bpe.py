@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import release_memory
+from .common import release_memory, small_batches
 
 #: Fixed: the pre-split pattern of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,6 +193,7 @@ class Words(dict):
 def _per_text(docs: DataFrame, path: str, make, schema: str, carry: list[str]) -> DataFrame:
     """make(words, text) -> tuple for each row, beside the columns of `carry`."""
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.from_file(path))  # size: that of the vocabulary
+    small_batches(docs.sparkSession)
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +228,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of every row of (doc_id, ids); null ids: empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(Automaton.from_file(path))
+    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,12 +8,14 @@ import re
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import cambium.llm.ngram_join as ngram_module
 from cambium.llm import bpe, decontaminate, exact_dedup, langid, license_scan, ngram_join, secret_scan, sharding, suffix_dedup, toxicity
+from cambium.llm.common import BATCH_BYTES
 from cambium.llm.components import components
 from cambium.llm.queries import ORACLE_SQL, QUERIES, VOCABULARY
 
@@ -87,6 +89,26 @@ def test_bpe_is_the_library(spark, docs, real, empty):
     assert bpe.bpe_digest(empty, VOCABULARY).isEmpty()
 
 
+def test_bpe_texts_come_in_small_batches(spark):
+    """Arrow batches of 64 MB, several times in memory, took an executor beyond its limit; a lower limit of the session stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def largest(at_first):
+        spark.conf.set(BATCH_BYTES, at_first)
+        docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 2000).alias("text"))
+        bpe.bpe_digest(docs, VOCABULARY)
+        return docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        assert largest("64m") < 9 << 20 and largest("1m") < 2 << 20
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def test_bpe_round_trip(docs):
     encoded = bpe.bpe_encode(docs, VOCABULARY)
     back = sorted((r["doc_id"], r["text"]) for r in bpe.bpe_decode(encoded, VOCABULARY).collect())
