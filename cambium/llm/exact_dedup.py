@@ -36,16 +36,20 @@ def _bit(bitmap: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, (slot % 8).cast("int")) == 1, F.lit(False))
 
 
-def _tested(keys: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
-    """keys with `maybe`: whether the Bloom filter of `repeated` has the hash. The filter is broadcast, no key moves."""
-    bitmaps = F.broadcast(bloom_filter(repeated, bits))
+def with_maybe(keys: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """keys with `maybe`: whether the Bloom filter `bitmaps` of so many bits has their hash h. The filter is broadcast, no key moves."""
     out = keys.withColumn("slots", _slots(F.col("h"), bits))
     for k in (0, 1):
         slot = F.col("slots")[k]
         out = out.withColumn(f"bucket{k}", F.floor(slot / BITMAP_BITS).cast("int"))
-        side = bitmaps.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}"))
+        side = F.broadcast(bitmaps).select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}"))
         out = out.join(side, f"bucket{k}", "left").withColumn(f"hit{k}", _bit(F.col(f"bitmap{k}"), slot)).drop(f"bitmap{k}")
-    return out.select("doc_id", "text_sha256", "n_points", (F.col("hit0") & F.col("hit1")).alias("maybe"))
+    return out.select(*keys.columns, (F.col("hit0") & F.col("hit1")).alias("maybe"))
+
+
+def _tested(keys: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
+    """keys with `maybe`: whether the Bloom filter of `repeated` has the hash."""
+    return with_maybe(keys, bloom_filter(repeated, bits), bits).select("doc_id", "text_sha256", "n_points", "maybe")
 
 
 def exact_dedup(docs: DataFrame, bits_per_row: int = 16, most_bits: int = 1 << 30) -> DataFrame:

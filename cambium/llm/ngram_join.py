@@ -1,7 +1,7 @@
 """Jaccard join of word shingle sets by prefix trees.
 
-Sets are ordered by one global order, rare shingles first. Linked sets share a shingle of their
-prefixes, so documents that share one are brought together and each group is joined in a trie.
+Sets are ordered by one global order, rare shingles first. Linked sets share so many shingles of their
+prefixes, so documents that do are brought together and each group is joined in a trie.
 """
 
 from __future__ import annotations
@@ -9,19 +9,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U64, mix64, spread, stored, text_bytes, text_slices, word_bounds, word_hashes
 from .components import components
+from .exact_dedup import BITMAP_BITS, bloom_filter, with_maybe
 from .repeats import sliced, with_levels
 
 WORDS = 4
 PERCENT = 85
 #: Sets that one task joins; larger groups are cut into pairs of blocks.
 BLOCK_SETS = 1024
+#: A prefix shingle that more classes have is hot: it ties them all to one, instead of each two of them.
+HOT = 64
+#: Bits of the Bloom filter of the texts that are joined; with more of them it lets more of the others through.
+MOST_BITS = 1 << 28
 _FACTORS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -53,12 +57,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return made[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n))))
 
 
+def least_shared(n: int | Column) -> int | Column:
+    """How many shingles of their prefixes linked sets of n shingles or more share at least; prefixes are as long as that takes."""
+    return 1 + (F.floor(n / 16) if isinstance(n, Column) else n // 16)
+
+
 def least_overlap(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
     """Smallest intersection with 100 * intersection >= PERCENT * union."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("entries", pa.list_(pa.int64())), ("tokens", pa.binary())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("entries", pa.list_(pa.int64()))])
 
 
 def _drawn(table: pa.Table) -> np.ndarray:
@@ -67,7 +76,7 @@ def _drawn(table: pa.Table) -> np.ndarray:
 
 
 def _profiles(table: pa.Table, levels: np.ndarray) -> Iterator[tuple]:
-    """Per row: doc_id, n, the set's key, the repeated tokens of its prefix, and the set if there are any.
+    """Per row: doc_id, h, n, the set's key, and the repeated tokens of its prefix.
 
     A token is the shingle's hash below its level, so tokens sort rare first.
     """
@@ -78,13 +87,12 @@ def _profiles(table: pa.Table, levels: np.ndarray) -> Iterator[tuple]:
         seen += len(sets)
         sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix64(sets ^ U64(seed))))) for seed in (0, 0x5BF03635)]
         k1, k2 = ((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64).tolist() for s in sums)
-        ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
+        ids, hashed = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "h"))
         for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             own = np.sort(tokens[lo:hi])
             n = hi - lo
-            prefix = own[: n - (PERCENT * n + 99) // 100 + 1] if n else own
-            repeated = prefix[prefix >= U64(1 << 62)].view(np.int64)
-            yield ids[i], n, k1[i], k2[i], repeated, own.tobytes() if len(repeated) else None
+            prefix = own[: n - (PERCENT * n + 99) // 100 + least_shared(n)] if n else own
+            yield ids[i], hashed[i], n, k1[i], k2[i], prefix[prefix >= U64(1 << 62)].view(np.int64)
 
 
 class Trie:
@@ -204,20 +212,50 @@ def _look_up(sets: list[np.ndarray], ask: np.ndarray, found: np.ndarray, label:
                 out.append((q, i))
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of the groups (cluster, i, j) in one task's rows."""
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """Links of the groups (cluster, i, j) in one task's rows, whose sets are made of their texts."""
     a, b = [], []
-    pdf = pdf.sort_values(["cluster", "i", "j"], kind="stable").reset_index(drop=True)
-    keys = pdf[["cluster", "i", "j"]].to_numpy()
+    table = table.sort_by([(c, "ascending") for c in ("cluster", "i", "j", "rep", "h")]).combine_chunks()
+    keys = np.stack([table.column(c).to_numpy() for c in ("cluster", "i", "j")], 1)
     cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-    ids, blocks, tokens = pdf["rep"].to_numpy(), pdf["block"].to_numpy(), pdf["tokens"].tolist()
-    for lo, hi in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+    ids, blocks = table.column("rep").to_numpy(), table.column("block").to_numpy()
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(table)], strict=True):
         if hi - lo > 1:
-            sets = [np.frombuffer(x, U64) for x in tokens[lo:hi]]
+            sets = []
+            for _, data, offsets in text_slices(iter(table.slice(lo, hi - lo).to_batches())):
+                made, bounds = shingles(data, offsets)
+                sets += np.split(made, bounds[1:-1])
             for x, y in trie_links(sets, blocks[lo:hi]):
                 a.append(ids[lo + x])
                 b.append(ids[lo + y])
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the h of classes (h, n, entries) that connect all linked ones, and few others.
+
+    Of least_shared(n) common prefix shingles a half, or more of the sizes differ, are hot, or the others aren't. Classes that share so many
+    that aren't hot are found by pairs, of which a shingle has HOT * HOT / 2 at most. Those that share so many hot ones share one of the
+    hot ones that are left without the last of them (less one), and only these tie classes to stars. One shingle alone connects short sets only:
+    in a large corpus chance repeats of single shingles would connect nearly all.
+    """
+    entries = classes.select("h", "n", F.explode("entries").alias("token"))
+    often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = stored(entries.join(often.hint("merge"), "token"))
+    half = lambda n: F.floor((least_shared(n) + 1) / 2)
+    few = shared.filter(F.col("m") <= HOT)
+    one, two = (few.select("token", F.col("h").alias(end), F.col("n").alias(f"n_{end}")) for end in "ab")
+    less, more = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    pairs = one.join(two.hint("merge"), "token").filter((F.col("a") < F.col("b")) & (100 * less >= PERCENT * more)).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("s"))
+    pairs = pairs.filter(F.col("s") >= F.greatest(F.lit(1), least_shared(less) - half(more) + 1)).select("a", "b")
+    hot = shared.filter(F.col("m") > HOT).groupBy("h", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    kept = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - half(F.col("n")) + 1).cast("int"))
+    kept = hot.select("h", F.explode(kept).alias("token"))
+    stars = stored(kept.groupBy("token").agg(F.min("h").alias("a")))
+    return pairs.unionByName(kept.join(stars.hint("merge"), "token").select("a", F.col("h").alias("b")))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -228,10 +266,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     PERCENT * union; component_id is the smallest doc_id reachable by links.
 
     1. Count how often shingles occur (a table of bounded size); the global order is by that
-       level, then by hash. 2. Per document its prefix, in which linked sets share a shingle;
+       level, then by hash. 2. Per document its prefix, in which linked sets share least_shared(n) shingles;
        shingles that occur once are left out, so a document without near copies sends nothing.
-       Equal sets become one class. 3. Classes that share a prefix shingle are clustered by
-       stars around the smallest. 4. Each cluster is joined in a prefix tree, small ones
+       Equal sets become one class. 3. Classes that share enough prefix shingles are clustered, by numbers
+       only. 4. The texts of clustered classes, one each, are read again. Each cluster is joined in a prefix tree, small ones
        together; one of more than BLOCK_SETS sets is cut into blocks, and every pair of blocks
        is a task of its own. 5. Components of the links. Tables that grow with the documents are joined by shuffle,
        never by broadcast, which would pass them through the driver.
@@ -242,30 +280,31 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     sets meet only sets of about their size. Other columns are ignored, whatever their names. Empty input: no rows.
     """
     total = text_bytes(docs)
-    kinds = "doc_id long, n long, k1 long, k2 long, entries array<long>, tokens binary"
-    texts = sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), total)
-    rows = stored(with_levels(texts, _drawn, _profiles, PROFILE, kinds, total // 6))
+    kinds = "doc_id long, h long, n long, k1 long, k2 long, entries array<long>"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = lambda df: df.withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = stored(with_levels(told(sliced(own, total)), _drawn, _profiles, PROFILE, kinds, total // 6))
     key = ["k1", "k2", "n"]
     classes = stored(
-        rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("entries").alias("entries"))
+        rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("entries").alias("entries"))
+        .select(*key, F.col("least.doc_id").alias("rep"), F.col("least.h").alias("h"), "entries")
     )
-    # classes of one doc_id are one node already; one of them carries each of its tokens
-    entries = classes.select("rep", F.explode("entries").alias("token"))
-    stars = stored(entries.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select("token", "a"))
-    edges = entries.join(stars.hint("merge"), "token").select("a", F.col("rep").alias("b"))
-    clusters = components(edges)
+    clusters = components(candidates(classes.select("h", "n", "entries")))
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     placed = clusters.join(blocks.hint("merge"), "component").select(
-        F.col("node").alias("rep"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        F.col("node").alias("h"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     )
-    keyed = placed.select("rep", "cluster", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "rep", "cluster", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    # of all texts only one of each class that shares a cluster moves again: the others are kept back by a filter where they are read
+    wanted = stored(classes.select("rep", "h").join(placed.hint("merge"), "h"))
+    bits = min(MOST_BITS, max(BITMAP_BITS, 16 * wanted.count()))
+    near = with_maybe(told(own.filter("doc_id IS NOT NULL")), bloom_filter(wanted.select("h"), bits), bits).filter("maybe")
+    near = near.select("h", F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), ["h", "rep"]).dropDuplicates(["h", "rep"])
+    keyed = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "rep", "h", "text", "cluster", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     parts = spread(total, 16 << 20)
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(F.xxhash64("cluster", "i", "j"))
-    sets = rows.filter("tokens IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), *key, "tokens")
-    sets = sets.join(classes.select("rep", *key).hint("merge"), ["rep", *key], "left_semi").dropDuplicates(["rep", *key])
-    links = sets.select("rep", "tokens").join(keyed.withColumn("task", task).hint("merge"), "rep").groupBy("task").applyInPandas(_joined, "a long, b long")
+    links = keyed.withColumn("task", task).drop("blocks").groupBy("task").applyInArrow(_joined, "a long, b long")
     # a doc_id of several texts ties their classes together
     owned = rows.filter("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("owner"), *key).join(classes.select(*key, "rep").hint("merge"), key).select("owner", "rep")
     ties = stored(owned.groupBy("owner").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("owner", "a"))

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import cambium.llm.ngram_join as ngram_module
 from cambium.llm import bpe, decontaminate, exact_dedup, langid, license_scan, ngram_join, secret_scan, sharding, suffix_dedup, toxicity
-from cambium.llm.common import BATCH_BYTES
+from cambium.llm.common import _CLEANUP, BATCH_BYTES, stored
 from cambium.llm.components import components
 from cambium.llm.queries import ORACLE_SQL, QUERIES, VOCABULARY
 
@@ -820,6 +821,41 @@ def test_ngram_join(spark, docs, real, empty, monkeypatch, block):
     assert ngram_join.ngram_join(empty).isEmpty()
 
 
+@pytest.mark.parametrize("hot", [1, 2, 5])
+def test_ngram_join_with_hot_shingles(spark, monkeypatch, hot):
+    """Links are found by pairs and by hot shingles alike."""
+    monkeypatch.setattr(ngram_module, "HOT", hot)
+    df = spark.createDataFrame(near_rows() + [(1000 + i, prose(1000 + i % 3, 150, 2000) + f" end{i}" * (i % 7)) for i in range(21)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()}
+    assert got == brute_components(pairs(df))
+
+
+def test_chance_repeats_make_no_cluster(spark):
+    """A chain of sets that share one prefix shingle with the next, which made one cluster of all, and two that share many."""
+    chain = [(i, 200, [i, i + 1]) for i in range(50)]
+    near = [(100, 200, list(range(500, 530))), (101, 200, list(range(500, 530)))]
+    classes = spark.createDataFrame(chain + near, "h long, n long, entries array<long>")
+    assert [tuple(r) for r in ngram_module.candidates(classes).collect()] == [(100, 101)]
+
+
+def test_what_is_stored_leaves_no_shuffle(spark):
+    """No set is stored beside a row, and what was shuffled for a stored table is deleted."""
+    assert "tokens" not in ngram_module.PROFILE.names
+    before = spark.conf.get(_CLEANUP)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).endswith(".data")}
+
+    known = shuffled()
+    df = stored(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if left := shuffled() - known:
+            time.sleep(0.1)
+    assert not left and spark.conf.get(_CLEANUP) == before and df.count() == 1000
+
+
 def test_ngram_join_without_ids(spark):
     df = spark.createDataFrame([(None, prose(1)), (3, prose(1)), (2, prose(1)), (3, prose(5)), (9, prose(5))], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.ngram_join(df).collect()) == [(0, None), (2, 2), (3, 2), (3, 2), (9, 2)]
