@@ -228,6 +228,22 @@ def test_labels_by_shuffle(spark, tmp_path, monkeypatch):
     assert cells.count() == 4 and {r[0]: r[1] for r in failed.collect()} == PROBLEMS
 
 
+def test_large_folders_are_read_by_tasks(spark, folder, tmp_path, monkeypatch):
+    """No folder of many entries is listed by the driver: plans have no file scan, and rows are the same."""
+    where = odd_files(tmp_path)
+    data = spark.createDataFrame([(n, None if p is None else str(p)) for n, p in where.items()], "image_label string, fname_cells string")
+    settings = sets_with_labels(spark, folder)
+    (folder / "SITEA_PISY_01A_1_2_ROXAS_Settings.txt").write_bytes(b'RNUM\tSETTING\tDESCRIPTION\r\n\r\n8\t"a b"\td\r\n17\t0\r\n10\t3.\xc3\xa9\n')
+    rows = lambda df: sorted(map(repr, df.collect()))
+    made = lambda: [measurements.collect_cells(spark, data)[0], measurements.collect_settings(spark, settings)]
+    listed = [rows(df) for df in made()]
+    monkeypatch.setattr(measurements, "LISTED_FILES", 5)
+    cells, failed = measurements.collect_cells(spark, data)
+    assert not cells.inputFiles() and {r[0]: r[1] for r in failed.collect()} == PROBLEMS
+    assert [rows(df) for df in made()] == listed and len(listed[1]) == 2
+    assert "FileScan csv" not in measurements.collect_settings(spark, settings)._jdf.queryExecution().toString()
+
+
 def test_stream_reads_columns_by_name(spark, tmp_path):
     odd_files(tmp_path)
     for name, stream in (("cells", arrivals.cell_stream), ("problems", arrivals.problem_stream)):
