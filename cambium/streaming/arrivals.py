@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.sources.measurements import CELL_COLUMNS, CELL_VARIANTS, ENDINGS, any_case, parsed
+from cambium.sources.measurements import CELL_COLUMNS, CELL_VARIANTS, ENDINGS, any_case, listed_files, named_as, opened, parsed, spread
+from cambium.sources.scratch import file_system
 
 
 def arrived_cells(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -24,6 +25,26 @@ def cell_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000)
     return arrived_cells(spark, folder, files_per_trigger).filter("year IS NOT NULL").drop("line", "problem")
 
 
+def note_arrived(spark: SparkSession, folder: str, notes: str) -> None:
+    """Adds the paths of the cell files below a folder that the notes (a folder of Parquet files) don't have yet. Tasks list the folder and write the notes."""
+    found = listed_files(spark, folder).filter(named_as(F.col("path"), "cells"))
+    fs, at = file_system(spark, notes)
+    if fs.exists(at(notes)):
+        found = found.join(spark.read.schema("path string").parquet(notes), "path", "left_anti")
+    found.repartition(spread(spark), "path").write.mode("append").parquet(notes)
+
+
+def noted_cells(spark: SparkSession, notes: str) -> DataFrame:
+    """cell_stream of the files in notes (note_arrived), for archives whose files the driver can't hold: it sees the notes only, of which each has many.
+
+    The checkpoint of the sink remembers which notes have been read. The files must be on a file system of known_to_python.
+    """
+    paths = spark.readStream.schema("path string").parquet(notes)
+    name = F.element_at(F.split("path", "/"), -1)
+    texts = opened(paths.select("path", F.regexp_replace(name, f"(?i){ENDINGS['cells']}$", "").alias("stem")))
+    return parsed(texts, ["stem"], CELL_COLUMNS, CELL_VARIANTS).filter("year IS NOT NULL").drop("line", "problem")
+
+
 def problem_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """stem, line and problem of what was wrong with the files that arrive."""
     return arrived_cells(spark, folder, files_per_trigger).filter("problem IS NOT NULL").select("stem", "line", "problem")

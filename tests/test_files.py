@@ -244,6 +244,19 @@ def test_large_folders_are_read_by_tasks(spark, folder, tmp_path, monkeypatch):
     assert "FileScan csv" not in measurements.collect_settings(spark, settings)._jdf.queryExecution().toString()
 
 
+def test_noted_files_are_counted_once(spark, tmp_path):
+    arriving, notes = tmp_path / "arriving", str(tmp_path / "notes")
+    for n, stems in enumerate((["a", "b"], ["c"])):
+        for stem in stems:
+            cells_file(arriving / f"{stem}_Output_Cells.txt", [2000, 2000, 2001])
+        arrivals.note_arrived(spark, str(arriving), notes)
+        counts = arrivals.ring_counts(arrivals.noted_cells(spark, notes))
+        arrivals.count_arrived(counts, str(tmp_path / "out"), str(tmp_path / "at"))
+        got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert got == [(s, y, c) for s in "abc"[: 2 + n] for y, c in ((2000, 2), (2001, 1))]
+    assert spark.read.parquet(notes).count() == 3
+
+
 def test_stream_reads_columns_by_name(spark, tmp_path):
     odd_files(tmp_path)
     for name, stream in (("cells", arrivals.cell_stream), ("problems", arrivals.problem_stream)):
