@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 import struct
 from pathlib import Path
@@ -337,6 +338,27 @@ def test_processed_round_trip(spark, tmp_path):
         measurements.read_processed(spark, str(tmp_path), "other")
 
 
+@pytest.mark.parametrize("first", ["k", "-k"])
+def test_a_large_table_is_written_stretch_by_stretch(spark, tmp_path, monkeypatch, first):
+    """Whole and in order over all files, nulls last, whatever the stretches; one stretch's shuffles are gone before the next."""
+    monkeypatch.setattr(documents, "_ROWS_EACH", 1)
+    data = [(None if k % 97 == 0 else f"k{k * 37 % 1000:04}", k) for k in range(3000)]
+    df = spark.createDataFrame(data, "k string, n int")
+    written = []
+    for size in (1 << 30, 8 << 10):
+        monkeypatch.setattr(documents, "ROUND_BYTES", size)
+        path = documents.write_table(df, str(tmp_path), "demo", "cells", documents.dt.date(2025, 1, 2), compress=True, order=[first, "n"], rows=df.select("k"))
+        lines = []
+        for file in sorted(Path(path).glob("part-*.gz")):
+            lines += gzip.decompress(file.read_bytes()).decode().splitlines()[1:]
+        written.append(lines)
+        assert spark.read.csv(path, header=True).count() == 3000
+    known = sorted(((k, n) for k, n in data if k), key=lambda r: r[1])
+    known.sort(key=lambda r: r[0], reverse=first[0] == "-")
+    assert written[0] == written[1] == [f"{k},{n}" for k, n in known] + [f"NA,{n}" for k, n in data if not k]
+    assert len(documents._stretches(df.select("k"), first, 2)) == 6 and len(list(tmp_path.iterdir())) == 1
+
+
 def test_schema_and_metadata(spark, tmp_path):
     base = {"type": "array", "items": {"type": "object", "properties": {"label": {"type": "string"}, "n": {"type": ["integer", "null"], "minimum": 1}, "day": {"type": "string", "format": "date"}}, "required": ["label"]}}
     (tmp_path / "base.json").write_text(json.dumps(base))
